@@ -34,6 +34,8 @@ from .components import components
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
 #: Hashes that a task holds before it sends them; candidate pairs that are sent to all tasks (16 bytes each) rather than joined.
 FLUSH, FEW_PAIRS = 2_000_000, 2_000_000
+#: Dropped ids that are sent to all tasks (some 20 bytes each) rather than joined.
+FEW_IDS = 1_000_000
 _SHIFT = np.uint64(24)  # tokens are 40 bits of a shingle's hash; sets are verified on 48
 
 
@@ -367,3 +369,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) ->
     of_set = nodes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("comp", "node").alias("component_id"))
     out = rows.select("doc_id", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """The documents, with all their columns, without those whose component has a smaller doc_id; of rows with equal doc_id, one."""
+    found = near_duplicates(docs, percent, hot)
+    stay = Scratch(docs.sparkSession, "jaccard-keep").keep(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    away = stay.filter("component_id < doc_id").select("doc_id")
+    few = away.count() <= FEW_IDS
+    out = docs.join(F.broadcast(away) if few else away, "doc_id", "left_anti").select(*docs.columns)
+    if not stay.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out

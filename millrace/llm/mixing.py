@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, numbers, text_slices, word_bounds
 
 WEIGHTS, MOST_REPEATS, BLOCK = (5, 2, 1), 3, 192
+#: Documents whose repeats are sent to all tasks (some 40 bytes each) rather than joined.
+FEW_IDS = 500_000
 _TINY = 1e-9
 
 
@@ -140,3 +142,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         out = out.unionByName(more)
     repeats = F.col("whole") + F.col("p").cast("int")
     return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
+    """The documents, with all their columns, each as often as the mix takes it."""
+    times = mix_sources(docs, weights, most, block).groupBy("doc_id").agg(F.sum("repeats").alias("__n"), F.count("*").alias("__rows"))
+    times = Scratch(docs.sparkSession, "mixed").keep(times)
+    few = times.count() <= FEW_IDS
+    out = docs.join(F.broadcast(times) if few else times, "doc_id")
+    if not times.filter("__rows > 1").isEmpty():
+        # Rows with equal doc_id share their number of repeats, the first rows one more where it doesn't divide.
+        order = Window.partitionBy("doc_id").orderBy("source", "text")
+        k = F.row_number().over(order)
+        out = out.withColumn("__k", k).withColumn("__n", F.floor(F.col("__n") / F.col("__rows")) + F.when(F.col("__k") <= F.pmod("__n", "__rows"), 1).otherwise(0))
+    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, line_crf, mixing, packing
+from . import chat_format, html_blocks, jaccard_join, line_crf, mixing, packing, pii, suffix_tree_lm, url_rules, voronoi_join
 from .common import table
 
 
@@ -16,6 +17,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), held_out)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    return chat_format.digest(turns.unionByName(more))
+
+
+def op3_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_join.top_k(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,14 +49,28 @@ def op7_mix_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_pack_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_lm": op1_suffix_tree_lm,
+    "op2_chat_format": op2_chat_format,
+    "op3_voronoi_join": op3_voronoi_join,
+    "op4_url_rules": op4_url_rules,
     "op5_line_crf": op5_line_crf,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mix_cube": op7_mix_cube,
+    "op8_pii": op8_pii,
+    "op9_html_blocks": op9_html_blocks,
     "op10_pack_two_fit": op10_pack_two_fit,
 }
 
