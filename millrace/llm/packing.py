@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,37 +22,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbers, text_slices
+from .common import Scratch, numbers, text_slices, word_bounds, word_hashes
 
 CAPACITY, END_ID = 4096, 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordCache:
-    """Ids of whole texts from the ids of their space-separated parts, which this tokenizer treats each on its own: it drops
-    white space and no merge crosses it. Parts are encoded once; the memory is bounded."""
+    """Ids of whole texts from the ids of their parts, which this tokenizer treats each on its own: it drops white space and no
+    merge crosses it, and marks between an ASCII letter and white space are a token of their own. Parts are encoded once and
+    kept in one flat array; the memory is bounded."""
 
-    MOST = 400_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > self.MOST:
-            self.known.clear()
-        new = [w for w in parts if w not in self.known]
-        # A closing mark after an ASCII letter is a token of its own.
-        split = {w for w in new if w[-1:] in b".,;:!?|" and w[-2:-1].isalpha()}
-        whole = list(({w for w in new if w not in split} | {w[:-1] for w in split} | {w[-1:] for w in split}) - self.known.keys())
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
-        for w in split:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
-
-    def ids(self, parts: list[bytes]) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(map(self.known.__getitem__, parts)), np.uint32)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.at = array("H"), array("Q", [0])
+
+    def learn(self, new: list[bytes], many: int = 1000) -> None:
+        """Words of letters alone are encoded in one go: each ends with the only id that closes a word."""
+        plain = []
+        for w in new:
+            x = w.decode()
+            if x.isalpha() and (x.isascii() or x.lower().isalpha()):
+                plain.append((w, x))
+            else:
+                self._add([w], np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int64), None)
+        for k in range(0, len(plain), many):
+            some = plain[k : k + many]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(x for _, x in some)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                self._add([w for w, _ in some], ids, ends)
+            else:
+                for w, x in some:
+                    self._add([w], np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int64), None)
+
+    def _add(self, parts: list[bytes], ids: np.ndarray, ends: np.ndarray | None) -> None:
+        base, n = len(self.flat), len(self.at) - 1
+        self.flat.frombytes(ids.astype(np.uint16).tobytes())
+        self.at.extend([base + len(ids)] if ends is None else (base + ends).tolist())
+        self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the bounds of each text's within them."""
+        lower, plain = _LOWER[data], np.ones(len(data), bool)
+        raw = data.tobytes()
+        if b"<|" in raw:  # a special token's name may be in it, in just these letters: such texts stay as they are
+            for a, b in itertools.pairwise(offsets.tolist()):
+                if b"<|" in raw[a:b]:
+                    lower[a:b], plain[a:b] = data[a:b], False
+        starts, ends, first = word_bounds(data, offsets)
+        # The last byte of each word that isn't a mark: if it is a letter, and not the word's last, the word is cut after it.
+        tail = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(1, len(data) + 1)))[ends - 1] if len(ends) else ends
+        cut = (tail > starts) & (tail < ends)
+        cut[cut] = _LETTER[data[tail[cut] - 1]] & plain[starts[cut]]
+        more = np.concatenate([[0], np.cumsum(cut)])
+        at = np.arange(len(starts)) + more[:-1]
+        lo, hi = np.empty(len(starts) + more[-1], np.int64), np.empty(len(starts) + more[-1], np.int64)
+        lo[at], hi[at] = starts, np.where(cut, tail, ends)
+        lo[at[cut] + 1], hi[at[cut] + 1] = tail[cut], ends[cut]
+        first = first + more[first]
+        _, one, which = np.unique(word_hashes(lower, lo, hi, lower=False), return_index=True, return_inverse=True)
+        raw = lower.tobytes()
+        parts = [raw[a:b] for a, b in zip(lo[one].tolist(), hi[one].tolist(), strict=True)]
+        new = [w for w in parts if w not in self.index]
+        if len(self.index) + len(new) > self.MOST:
+            self.clear()
+            new = parts
+        self.learn(new)
+        which = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))[which]
+        bound, flat = np.frombuffer(self.at, np.uint64).astype(np.int64), np.frombuffer(self.flat, np.uint16)
+        start, sizes = bound[which], bound[which + 1] - bound[which]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return flat[np.arange(total[-1]) + np.repeat(start - total[:-1], sizes)], total[first]
 
 
 _caches: dict[str, WordCache] = {}
@@ -67,12 +126,10 @@ def _cut(path: str, capacity: int, end_id: int):
         for batch in batches:
             docs, out = numbers(batch, "doc_id"), []
             for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in itertools.pairwise(offsets.tolist())]
-                texts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-                cache.learn(set(itertools.chain.from_iterable(texts)))
-                for doc, parts in zip(docs[lo:hi], texts, strict=True):
-                    ids = np.append(cache.ids(parts), np.uint32(end_id)).astype("<u4")
+                flat, bounds = cache.ids(data, offsets)
+                ends = bounds.tolist()
+                for doc, a, b in zip(docs[lo:hi], ends, ends[1:], strict=False):
+                    ids = np.append(flat[a:b], np.uint16(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity]
                         out.append((int(doc), k, start, len(piece), zlib.crc32(piece.tobytes())))
