@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A bounded table on the driver, by way of Arrow."""
+    return df.toArrow().to_pandas()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

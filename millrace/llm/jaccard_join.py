@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, numbers, partitions, shingle_hashes, text_slices, word_bounds, word_hashes
+from .common import Scratch, collected, mix, numbers, partitions, shingle_hashes, text_slices, word_bounds, word_hashes
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
@@ -132,7 +132,7 @@ def frequent(docs: DataFrame, scratch: Scratch, most: int, least: int = 8) -> tu
         if total + k > most:
             break
         total, floor = total + k, x
-    found = counts.filter(level >= floor).toPandas() if floor is not None else pd.DataFrame({"token": [], "df": []}, dtype=np.int64)
+    found = collected(counts.filter(level >= floor)) if floor is not None else pd.DataFrame({"token": [], "df": []}, dtype=np.int64)
     scratch.drop(counts)
     tokens, df = found["token"].to_numpy().astype(np.uint64), found["df"].to_numpy()
     rank = np.empty(len(tokens), np.uint64)
@@ -319,7 +319,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, percent: int) -> D
     def sets(wanted: DataFrame) -> DataFrame:
         """key, id, own for each row (id, key) wanted."""
         if n_pairs <= FEW_PAIRS:
-            rows = wanted.toPandas().sort_values("id")
+            rows = collected(wanted).sort_values("id")
             return docs.mapInArrow(_sets_for(spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["key"].to_numpy()))), "key bigint, id bigint, own binary")
         return docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "key", "text").mapInArrow(_sets_joined, "key bigint, id bigint, own binary")
 

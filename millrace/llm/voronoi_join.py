@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbers
+from .common import Scratch, collected, numbers
 
 K, PIVOTS, SAMPLE, CHUNK, BLOCK, SCALE = 10, 48, 4096, 512, 512, 1024
 
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, n_pivots
     vectors = vectors.filter("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)")
     dim = vectors.agg(F.max(F.size("embedding")).alias("n")).first().n or 1
     whole = scratch.keep(vectors.mapInArrow(_whole(dim, scale), "vec_id bigint, v binary"))
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = collected(whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
     if not len(sample):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     c = pivots(_matrix(sample["v"]), n_pivots)
