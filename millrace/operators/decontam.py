@@ -6,7 +6,7 @@ small by nature but not by proof, so its joins are left to the planner, which br
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +14,11 @@ from ..functions import text as T
 MOST_SUITE_ROWS, GRAM_SHARE = 20, 0.2
 
 
+def grams_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, grams. Words are a projection of their own: inside the windows' expression they would be found again for each."""
+    return docs.select(key, T.words(text).alias("w")).select(key, T.grams("w").alias("grams"))
+
+
 def index(suite: DataFrame, pieces, key: str = "item_id", most: int = MOST_SUITE_ROWS) -> DataFrame:
     """Pieces of the suite that stand in at most `most` of its rows: piece, df. pieces: expression of an array of strings."""
     each = suite.select(key, F.explode(F.array_distinct(pieces)).alias("piece"))
@@ -35,10 +40,11 @@ def verdicts(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str =
     """key, why of contaminated documents: "segment" on any shared segment, else "ngram" if the share of 13-grams (repeats
     counted) that the suite has is `share` or more. Only documents without a segment hit reach the n-gram stage."""
     seg = index(suite, T.segments("text"), suite_key) if segment_index is None else segment_index
-    gram = index(suite, T.grams(T.words("text")), suite_key)
+    gram = index(grams_of(suite, suite_key, "text"), F.col("grams"), suite_key)
     hit = docs.select(key, F.explode(F.array_distinct(T.segments(text))).alias("piece")).join(seg.select("piece"), "piece", "left_semi").select(key).distinct()
     rest = docs.select(key, text).join(hit, key, "left_anti")
-    each = rest.select(key, F.explode(T.grams(T.words(text))).alias("piece"))
+    # An outer explode: for a plain one the optimizer infers a filter on the array and evaluates it from the text once more.
+    each = grams_of(rest, key, text).select(key, F.explode_outer("grams").alias("piece")).filter("piece is not null")
     marked = each.join(gram.select("piece", F.lit(1).alias("hit")), "piece", "left")
     by = marked.groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("mean")).filter(F.col("mean") >= share)
     return hit.select(key, F.lit("segment").alias("why")).unionByName(by.select(key, F.lit("ngram").alias("why")))
@@ -51,8 +57,8 @@ def report(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sharing_any_gram(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys of documents with at least one 13-gram of the suite."""
-    grams = suite.select(F.explode(T.grams(T.words("text"))).alias("piece")).distinct()
-    return docs.select(key, F.explode(F.array_distinct(T.grams(T.words(text)))).alias("piece")).join(grams, "piece", "left_semi").select(key).distinct()
+    grams = grams_of(suite.withColumn("__k", F.lit(0)), "__k", "text").select(F.explode_outer("grams").alias("piece")).filter("piece is not null").distinct()
+    return grams_of(docs, key, text).select(key, F.explode(F.array_distinct("grams")).alias("piece")).join(grams, "piece", "left_semi").select(key).distinct()
 
 
 def similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -61,7 +67,5 @@ def similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     a = left.select(F.col("id").alias("a"), F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
     b = right.select(F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
     both = a.join(b, "token").filter("a != b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     sim = both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("sim"))
     return sim.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).filter(F.col("rank") <= k)

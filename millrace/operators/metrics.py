@@ -53,9 +53,9 @@ def mcnemar(loss: Column, win: Column) -> Column:
 
 
 def gate(pairs: DataFrame, by: str, key_old: str, key_new: str, protected: list[str], p_fail: float = 0.2, net_warn: int = 5) -> DataFrame:
-    """by, both, loss, win, p, verdict of paired runs (correct before, correct after)."""
+    """by, kept, loss, win, p, verdict of paired runs (correct before, correct after)."""
     old, new = F.col(key_old), F.col(key_new)
-    counts = pairs.groupBy(by).agg(F.sum((old & new).cast("int")).alias("both"), F.sum((old & ~new).cast("int")).alias("loss"), F.sum((~old & new).cast("int")).alias("win"))
+    counts = pairs.groupBy(by).agg(F.sum((old & new).cast("int")).alias("kept"), F.sum((old & ~new).cast("int")).alias("loss"), F.sum((~old & new).cast("int")).alias("win"))
     counts = counts.withColumn("p", mcnemar(F.col("loss"), F.col("win")))
     guarded = F.lit(False)
     for name in protected:
