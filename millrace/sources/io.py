@@ -55,13 +55,13 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, position, line: position counts the lines of each file from 0 (text files are numbered within their splits, which
     a whole file is as long as wholetext reads it)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("position", "line"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """file, folder, text of whole files; the folder's name serves as label."""
-    found = spark.read.option("wholetext", True).text(path)
+    found = spark.read.text(path, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("file"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.col("value").alias("text"))
 
 
