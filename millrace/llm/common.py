@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,16 +14,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Python holds one slice of about so many bytes of text at a time (a longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null id within an operator: after all other ids.
+NO_ID = (1 << 63) - 1
+
+
+def with_id(name: str = "doc_id") -> Column:
+    """A long id, NO_ID for null."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def id_back(name: str = "doc_id") -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; where it is unset, as in tests, a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -64,6 +81,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back at the end: the worker process lives on for other tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) of slices of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -130,7 +162,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """64-bit hash of each word's bytes, A-Z lower-cased; the same on every machine."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(22, int(len(data)).bit_length())
+    size = 1 << max(20, int(len(data)).bit_length())
     up, down = _powers(size)
     codes = (_LOWER[data] if lower else data).astype(np.uint64)
     codes += np.uint64(1)

@@ -15,7 +15,8 @@ How it stays in bounds:
   different texts is lost for components; links inside a component needn't all be found.
 
 Defined cases: a null text, or one without words, has n_shingles 0 and is its own component; a text of fewer than 5 words has
-one shingle, the whole; repeated rows are one node; an empty table gives no rows; other columns are ignored.
+one shingle, the whole; repeated rows are one node; a null doc_id comes after all others and is null in the result; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collected, mix, numbers, partitions, shingle_hashes, text_slices, word_bounds, word_hashes
+from .common import Scratch, collected, id_back, mix, numbers, partitions, shingle_hashes, text_slices, tidy, with_id, word_bounds, word_hashes
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
@@ -83,6 +84,7 @@ def _count_map(n_ranges: int):
         cols = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "first", "gaps", "width", "many", "n"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -146,6 +148,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _prefixes(hot, percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = hot.value
         for batch in batches:
@@ -182,6 +185,7 @@ _ROWS = "doc_id bigint, n int, f1 bigint, f2 bigint, g bigint, prefix binary, co
 _LISTS = "token bigint, node bigint, n int, pos int"
 
 
+@tidy
 def _hot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """List entries of the frequent tokens, which stand at the end of a prefix."""
     for batch in batches:
@@ -213,6 +217,7 @@ def _cold_map(n_ranges: int):
         kinds = (pa.int32(), pa.int64(), pa.int64(), *(pa.binary(), pa.int32()) * 4)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], _BLOBS.replace(" int", "").replace(" bigint", "").replace(" binary", "").split(", "))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
@@ -263,6 +268,7 @@ def _set_bytes(own: np.ndarray) -> bytes:
 def _sets_for(pairs):
     """pairs.value: sorted ids and for each the key to send its set by."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys = pairs.value
         for batch in batches:
@@ -286,6 +292,7 @@ def _set_rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "id", "own"])
 
 
+@tidy
 def _sets_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, keys = numbers(batch, "doc_id"), numbers(batch, "key")
@@ -295,6 +302,7 @@ def _sets_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlap(percent: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = (batch.column(i) for i in range(4))
@@ -331,7 +339,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, percent: int) -> D
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of documents (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(with_id(), "text")
     scratch = Scratch(spark, "jaccard")
     listed = spark.sparkContext.broadcast(frequent(docs, scratch, hot))
     rows = scratch.keep(docs.mapInArrow(_prefixes(listed, percent), _ROWS))
@@ -368,16 +376,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) ->
         found = components(links, scratch)
     of_set = nodes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("comp", "node").alias("component_id"))
     out = rows.select("doc_id", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select(id_back(), "n_shingles", id_back("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """The documents, with all their columns, without those whose component has a smaller doc_id; of rows with equal doc_id, one."""
+    """The documents, with all their columns, without those whose component has a smaller doc_id; of rows with equal doc_id, one. Rows
+    without an id stay."""
     found = near_duplicates(docs, percent, hot)
     stay = Scratch(docs.sparkSession, "jaccard-keep").keep(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     away = stay.filter("component_id < doc_id").select("doc_id")
     few = away.count() <= FEW_IDS
     out = docs.join(F.broadcast(away) if few else away, "doc_id", "left_anti").select(*docs.columns)
-    if not stay.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    if not stay.filter("n > 1 and doc_id is not null").isEmpty():
+        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
     return out

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbers, shingle_hashes, text_slices, word_bounds, word_hashes
+from .common import numbers, shingle_hashes, text_slices, tidy, word_bounds, word_hashes
 
 SAMPLE, SHARE = 4000, 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -211,6 +211,7 @@ def fit(docs: list[np.ndarray], good: np.ndarray, rounds: int = 60, l2: float =
     return state
 
 
+@tidy
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, out = numbers(batch, "doc_id"), []
@@ -250,6 +251,7 @@ def _verdicts(data: np.ndarray, offsets: np.ndarray, field: Field, share: float)
 
 
 def _judge(field: Field, share: float, filters: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [_verdicts(data, offsets, field, share) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")))]

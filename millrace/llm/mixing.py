@@ -8,8 +8,8 @@ leaves out some ten documents of spread sizes; they and the last two fractions a
 of all, that misses the words least.
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0 take part and add
-no words; repeated rows and ties are documents each, told apart by a hash and then by their equality not mattering; an empty
-table gives no rows. The same input gives the same result.
+no words; repeated rows and ties are documents each, told apart by a hash where they differ; a null doc_id stays null; an
+empty table gives no rows; other columns are ignored by `mix_sources` and kept by `mixed`. The same input gives the same result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbers, text_slices, word_bounds
+from .common import Scratch, id_back, numbers, text_slices, tidy, with_id, word_bounds
 
 WEIGHTS, MOST_REPEATS, BLOCK = (5, 2, 1), 3, 192
 #: Documents whose repeats are sent to all tasks (some 40 bytes each) rather than joined.
@@ -30,6 +30,7 @@ FEW_IDS = 500_000
 _TINY = 1e-9
 
 
+@tidy
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = [np.diff(word_bounds(data, offsets)[2]) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")))]
@@ -40,7 +41,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_sizes, "doc_id bigint, source string, size bigint")
+    return docs.select(with_id(), F.col("source").cast("string"), "text").mapInArrow(_sizes, "doc_id bigint, source string, size bigint")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -141,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     for more in done[1:]:
         out = out.unionByName(more)
     repeats = F.col("whole") + F.col("p").cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
+    return out.select(id_back(), "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
@@ -149,7 +150,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     times = mix_sources(docs, weights, most, block).groupBy("doc_id").agg(F.sum("repeats").alias("__n"), F.count("*").alias("__rows"))
     times = Scratch(docs.sparkSession, "mixed").keep(times)
     few = times.count() <= FEW_IDS
-    out = docs.join(F.broadcast(times) if few else times, "doc_id")
+    times = times.withColumnRenamed("doc_id", "__id")
+    out = docs.join(F.broadcast(times) if few else times, docs["doc_id"].eqNullSafe(F.col("__id")))
     if not times.filter("__rows > 1").isEmpty():
         # Rows with equal doc_id share their number of repeats, the first rows one more where it doesn't divide.
         order = Window.partitionBy("doc_id").orderBy("source", "text")

@@ -4,8 +4,8 @@ The plan depends on piece lengths only, so it is made from the histogram of leng
 corpus) and names, for each length, which ranks go to which sequences. Pieces then find their place on their own: rank
 within their length class, then a look-up. No piece is collected and no group is gathered into one task.
 
-Defined cases: a null or empty text is the closing id alone; equal documents and repeated rows are packed each; an empty
-table gives no rows; other columns are ignored.
+Defined cases: a null or empty text is the closing id alone; equal documents and repeated rows are packed each; a null
+doc_id is null in the result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbers, text_slices, word_bounds, word_hashes
+from .common import Scratch, id_back, numbers, text_slices, tidy, with_id, word_bounds, word_hashes
 
 CAPACITY, END_ID = 4096, 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,7 +40,7 @@ class WordCache:
     merge crosses it, and marks between an ASCII letter and white space are a token of their own. Parts are encoded once and
     kept in one flat array; the memory is bounded."""
 
-    MOST = 500_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -117,6 +117,7 @@ _caches: dict[str, WordCache] = {}
 
 
 def _cut(path: str, capacity: int, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -194,6 +195,7 @@ def _place(rows: np.ndarray):
     """rows: sorted by length and first rank."""
     key = (rows[:, 0] << np.int64(48)) | rows[:, 1] if len(rows) else np.zeros(0, np.int64)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = numbers(batch, "length"), numbers(batch, "rank")
@@ -208,7 +210,7 @@ def _place(rows: np.ndarray):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of at most `capacity` ids of each document, `end_id` closing it."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(tokenizer, capacity, end_id), _PIECES)
+    return docs.select(with_id(), "text").mapInArrow(_cut(tokenizer, capacity, end_id), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, salts: int = 256) -> DataFrame:
@@ -223,4 +225,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     ordered = np.array(sorted(rows), np.int64).reshape(-1, 7)
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(ordered), _PIECES + ", sequence_id bigint, offset bigint")
+    placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(ordered), _PIECES + ", sequence_id bigint, offset bigint")
+    return placed.withColumn("doc_id", id_back())

@@ -245,10 +245,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with <kind> in place of each span; of overlapping spans, one mark for all, by the first. n_chars follows
     where the text changed. A null text stays null."""
     w = trained(Scratch(docs.sparkSession, "pii").keep(candidates(docs)))
-    own = docs.withColumns({"__whole": F.col("text"), "text": F.coalesce("text", F.lit(""))})
-    own = with_candidates(own).withColumn("__spans", chosen(F.col("all"), w)).drop("all")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    own = with_candidates(own).select("row", "text", chosen(F.col("all"), w).alias("found"))
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    order = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:
         new = x["start"] >= acc["at"]
@@ -261,7 +261,8 @@ def redact(docs: DataFrame) -> DataFrame:
         step,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))),
     )
-    own = own.withColumn("__cut", F.when(F.size("__spans") > 0, cut))
-    text = F.coalesce("__cut", "__whole")
-    chars = F.when(F.col("__cut").isNotNull(), F.length("__cut").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return own.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    own = own.select("row", F.when(F.size("found") > 0, cut).alias("cut"))
+    new = {"text": F.coalesce("cut", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("cut").isNotNull(), F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))
+    return own.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -7,7 +7,7 @@ group is what any other data must be able to reach. Pivots come from a bounded s
 their id); they only affect how much is copied, never the result. Groups are cut into pieces of about CHUNK rows and BLOCK
 queries, so a hot group, or one vector that a third of the rows have, is spread out.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part; missing components of shorter
+Defined cases: vectors without an id, and those that are null or hold a null or non-finite component take no part; missing components of shorter
 vectors count as 0; ties go to the smaller id; equal ids are rows each, told apart by nothing, and none is its own answer;
 fewer than k candidates give fewer rows; an empty table gives none; other columns are ignored.
 """
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, collected, numbers
+from .common import Scratch, collected, numbers, tidy
 
 K, PIVOTS, SAMPLE, CHUNK, BLOCK, SCALE = 10, 48, 4096, 512, 512, 1024
 
 
 def _whole(dim: int, scale: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
@@ -82,6 +83,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grouped(c: np.ndarray):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -94,6 +96,7 @@ def _grouped(c: np.ndarray):
 def _copies(c: np.ndarray, radius: np.ndarray, floor: np.ndarray):
     """The rows, for each query group other than their own that they can matter to."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1).to_pylist()).astype(float)
