@@ -113,10 +113,15 @@ def ema_loss(spark: SparkSession, d: str) -> DataFrame:
     return L.ema(table(spark, d, "events").filter("user_id < 20"), ["user_id"], "event_id", "value", 0.1, 3.0).withColumn("ema", F.round("ema", 6)).select("user_id", "n", "ema", "skipped")
 
 
-@C.query()
+@C.query("""
+WITH RECURSIVE p AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, i, 0 AS batch, 1 AS k FROM p WHERE i = 1 UNION ALL
+ SELECT p.source, p.doc_id, p.i, CASE WHEN (r.k + 1) * p.n_chars > 24000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN (r.k + 1) * p.n_chars > 24000 THEN 1 ELSE r.k + 1 END FROM r JOIN p ON p.source = r.source AND p.i = r.i + 1)
+SELECT source, doc_id, batch FROM r""")
 def token_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return L.batches(docs, ["source"], "doc_id", "n_chars", 24000)
+    got = L.batches(docs, ["source"], "doc_id", "n_chars", 24000)
+    return got.select("source", F.posexplode("batches").alias("batch", "b")).select("source", F.explode("b").alias("doc_id"), "batch")
 
 
 @C.query("""
@@ -194,7 +199,10 @@ def gen_truth_chains(spark: SparkSession, d: str) -> DataFrame:
     return G.truth_chains(spark, 500).select("id", "truthful")
 
 
-@C.query()
+@C.query(f"""
+WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('tracking', f'a{j}', 4, 'i')} * 10 + ({_pick('tracking', f'a{j}', 4, 'i')} + 1 + {_pick('tracking', f'b{j}', 3, 'i')}) % 4" for j in range(5))}] AS s FROM range(500) t(i)),
+n AS (SELECT id, s, ['Ann', 'Bea', 'Cal', 'Dee'] AS who FROM x)
+SELECT id, array_to_string(list_transform(s, lambda v: who[v // 10 + 1] || '-' || who[v % 10 + 1]), ' ') AS swaps, who[list_reduce(list_prepend(0, s), lambda p, v: CASE WHEN p = v // 10 THEN v % 10 WHEN p = v % 10 THEN v // 10 ELSE p END) + 1] AS holder FROM n""")
 def gen_tracking(spark: SparkSession, d: str) -> DataFrame:
     return G.tracking(spark, 500)
 
