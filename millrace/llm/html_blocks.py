@@ -2,7 +2,7 @@
 
 A page is cut into blocks of text at block-level tags. First pass: blocks in menus, footers, forms, adverts, comments and so
 on are bad; the others are good, bad, near or short by stop-word density, length and link density, and blocks inside the
-article element are never bad for few stop words. Second pass: short and near blocks take the label of the nearest decided
+article (an article or main element, or one whose name says so) are never bad for few stop words. Second pass: short and near blocks take the label of the nearest decided
 neighbours, headings that of what follows.
 
 Defined cases: a null or empty page gives an empty text; unclosed tags, comments and quotes end at the next tag or the end;
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 # Fixed values.
 BLOCK_TAGS = frozenset(
@@ -32,11 +32,15 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BAD_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 BAD_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus "
-    "disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo "
-    "promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe "
-    "subscription teaser toolbar topbar widget widgets".split()
+    "ad adbox adbanner ads adsense adslot adunit adv advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs comment commentlist "
+    "comments consent cookie cookiebanner cookiebar cookies copyright disqus disclaimer feedback footer gdpr header login masthead mainnav menu menus modal nav "
+    "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion reactions recommended related "
+    "replies reply respond search share sharing shoutbox sidebar sidebars sidenav signup skip social sponsor sponsored subnav subscribe subscription teaser "
+    "teasers toolbar topbar topnav widget widgets".split()
 )
+GOOD_NAMES = frozenset("article articlebody body content entry main maincontent post story".split())
+#: Names of classes that say what the page has, not what the element is.
+ABOUT = ("has-", "with-", "no-", "is-", "show-", "hide-", "js-")
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it "
     "its like more most my no not of on one or other our out over said she so some such than that the their them then there these they this to two up was we "
@@ -56,35 +60,46 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _bad_names(raw: str) -> tuple[bool, bool]:
-    """Of an element's attributes: bad for sure, bad by its class or id."""
-    sure = named = False
+def _marks(raw: str) -> tuple[bool, bool, bool]:
+    """Of an element's attributes: bad for sure, bad by its class or id, holding the article by these."""
+    sure, names, good = False, set(), False
     for m in _ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            named = named or any(x in BAD_NAMES for x in parts)
+            for item in value.split():
+                if not item.lower().startswith(ABOUT):
+                    names |= set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", item).lower()))
         elif key == "role":
-            sure = sure or value.lower() in BAD_ROLES
+            sure, good = sure or value.lower() in BAD_ROLES, good or value.lower() in ("main", "article")
+        elif key == "itemprop":
+            good = good or value == "articleBody"
         elif key == "style":
             sure = sure or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif key == "aria-hidden":
             sure = sure or value.lower() == "true"
-    return sure or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", _ATTRIBUTE.sub(" ", raw))), named
+    sure = sure or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", _ATTRIBUTE.sub(" ", raw)))
+    bad = names & BAD_NAMES
+    if bad == {"header"} and names & GOOD_NAMES:
+        bad = set()  # the head of an article is its own
+    return sure, bool(bad), good or (not bad and bool(names & GOOD_NAMES))
 
 
 class Block:
-    __slots__ = ("text", "linked", "sure_bad", "named", "article", "heading", "label", "first")
+    """level: 3 inside an article element, 2 inside a main one, 1 inside one whose name says so, 0 else."""
 
-    def __init__(self, text: str, linked: int, sure_bad: bool, named: tuple[int, ...], article: bool, heading: bool):
-        self.text, self.linked, self.sure_bad, self.named, self.article, self.heading = text, linked, sure_bad, named, article, heading
+    __slots__ = ("text", "linked", "sure_bad", "named", "level", "article", "heading", "title", "label", "first")
+
+    def __init__(self, text: str, linked: int, sure_bad: bool, named: tuple[int, ...], level: int, heading: int):
+        self.text, self.linked, self.sure_bad, self.named, self.level = text, linked, sure_bad, named, level
+        self.heading, self.title = heading > 0, heading == 1
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, bad for sure, number of an element with a bad name or 0, article
+    stack: list[tuple[str, bool, int, int]] = []  # tag, bad for sure, number of an element with a bad name or 0, level
     parts: list[tuple[str, bool]] = []
     links = named_count = 0
+    silent, depth = "", 0  # an inline element whose text doesn't count, and how deep in elements of its kind
 
     def flush() -> None:
         if not parts:
@@ -92,7 +107,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = len(" ".join(entities.unescape("".join(p for p, link in parts if link)).split()))
-            out.append(Block(text, linked, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), any(s[3] for s in stack), any(re.fullmatch("h[1-6]", s[0]) for s in stack)))
+            out.append(Block(text, linked, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), max((s[3] for s in stack), default=0), next((int(s[0][1]) for s in stack if re.fullmatch("h[1-6]", s[0])), 0)))
         parts.clear()
 
     at, end = 0, len(page)
@@ -100,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         lt = page.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not silent:
             parts.append((page[at:lt], links > 0))
         if lt == end:
             break
@@ -134,11 +149,15 @@ def blocks(page: str) -> list[Block]:
             parts.append((" ", links > 0))
             continue
         if tag not in BLOCK_TAGS:
-            if not closing and tag not in VOID_TAGS and any(_bad_names(raw)):
+            if tag == silent:
+                depth += -1 if closing else 1
+                silent = silent if depth else ""
+            elif not silent and not closing and raw and tag not in VOID_TAGS and not raw.endswith("/") and any(_marks(raw)[:2]):
+                silent, depth = tag, 1
                 parts.append((" ", links > 0))
             continue
         flush()
-        links = 0
+        links, silent = 0, ""
         if tag in VOID_TAGS:
             continue
         if closing:
@@ -155,14 +174,14 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
         elif stack and stack[-1][0] == "p":
             stack.pop()
-        inside = any(s[3] for s in stack)
-        sure, named = _bad_names(raw) if raw else (False, False)
-        sure = sure or tag in BAD_TAGS or (tag == "header" and not inside)
-        if tag in ("article", "main", "body", "html"):
+        sure, named, good = _marks(raw) if raw else (False, False, False)
+        level = 3 if tag == "article" else 2 if tag == "main" else int(good)
+        sure = sure or tag in BAD_TAGS or (tag == "header" and not any(s[3] > 1 for s in stack))
+        if tag in ("main", "body", "html"):
             sure = named = False
         if named:
             named_count += 1
-        stack.append((tag, sure, named_count if named else 0, tag in ("article", "main")))
+        stack.append((tag, sure, named_count if named else 0, 0 if tag in ("body", "html") else level))
     flush()
     return out
 
@@ -171,14 +190,24 @@ def first_pass(found: list[Block]) -> None:
     """Labels good, bad, near and short."""
     total = sum(len(b.text) for b in found if not b.sure_bad) or 1
     size: dict[int, int] = {}
+    titled: set[int] = set()
     for b in found:
         if not b.sure_bad:
             for k in b.named:
                 size[k] = size.get(k, 0) + len(b.text)
-    has_article = any(b.article and not b.sure_bad for b in found)
+            titled.update(b.named if b.title else ())
+    # An element that holds most of the page and its title, or without titles nearly all, isn't an advert or a menu, whatever
+    # its name.
+    has_title = any(b.title and not b.sure_bad for b in found)
+    frames = {k for k, n in size.items() if (k in titled and n > 0.5 * total if has_title else n > 0.97 * total)}
+    for b in found:
+        b.sure_bad = b.sure_bad or any(k not in frames for k in b.named)
+    # The article is what the strongest mark holds, if that is a fair part of what isn't bad.
+    rest = sum(len(b.text) for b in found if not b.sure_bad) or 1
+    level = next((n for n in (3, 2, 1) if sum(len(b.text) for b in found if not b.sure_bad and b.level >= n) >= 0.3 * rest), 0)
+    has_article = level > 0
     for b in found:
-        # An element that holds most of the page isn't an advert or a menu, whatever its name.
-        b.sure_bad = b.sure_bad or any(size.get(k, 0) <= 0.5 * total for k in b.named)
+        b.article = has_article and b.level >= level
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         density, length = b.linked / len(b.text), len(b.text)
@@ -252,4 +281,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

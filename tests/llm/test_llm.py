@@ -394,6 +394,10 @@ PAGES = {
     "article": ("<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy the best of it now.</div><article><h1>Head &amp; tail</h1><p>First  <b>bold</b>\n text.</p><p>Second &lt;p&gt;&nbsp;x<br>y</article><footer>The end of the page.</footer>", "Head & tail\nFirst bold text.\nSecond <p> x y"),
     "comments": ("<main><p>Body of the text is here.</p><div class='reader-comments'><p>I like it a lot.</p></div><aside>See also this.</aside><form>Name <input></form></main>", "Body of the text is here."),
     "plain": ("<body><div id=menu><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div><div><h2>A title</h2><p>" + "The cat sat on the mat and it was in the house of the man. " * 6 + "</p><p>And then it was over.</p><p>" + "It is the end of the story that we have to tell to you in this text. " * 5 + "</p></div><div class=footer>Copyright by the owner of this site.</div></body>", "A title\n" + ("The cat sat on the mat and it was in the house of the man. " * 6).strip() + "\nAnd then it was over.\n" + ("It is the end of the story that we have to tell to you in this text. " * 5).strip()),
+    "named": (f"<body><div class='site-header'><h1>Site</h1></div><div id='topnav'><a href=1>Home</a></div><div id='content' class='has-sidebar'><h2>Head</h2><p>{'It was the best of the times. ' * 9}</p><p>Short one.</p><p>x | y | z</p><div class='comments'><p>{'I think it is the best of all. ' * 30}</p></div></div><div id='sidebar'><p>Most read of the week.</p></div><div class='cookie-notice'>We use cookies.</div></body>", "Head\n" + ("It was the best of the times. " * 9).strip() + "\nShort one.\nx | y | z"),
+    "nested comments": ("<article class='post'><header class='entry-header'><h1>Head</h1></header><p>The text of it.</p><section id='comments'><article class='comment'><p>" + "I like it. " * 99 + "</p></article></section></article>", "Head\nThe text of it."),
+    "inline": ("<article><p>One <span class='ad'>buy <span>this</span></span> two</p><p hidden>no</p><p style='display:none'>no</p></article>", "One two"),
+    "around the article": ("<main><div class='promo'>Buy now</div><article><h1>T</h1><p>The text is in here and it is short.</p></article><section><h2>More news</h2><ul><li><a href=a>A thing</a></li></ul></section></main>", "T\nThe text is in here and it is short."),
     "broken": ("<article><p>One <b>two<p>three < four <!-- gone", "One two\nthree < four"),
     "empty": ("", ""),
     "text only": ("just words", "just words"),
