@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbers, shingle_hashes, text_slices, tidy, word_bounds, word_hashes
+from .common import numbers, shingle_hashes, small_batches, text_slices, tidy, word_bounds, word_hashes
 
 SAMPLE, SHARE = 4000, 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -36,7 +36,7 @@ def _table(chars: bytes) -> np.ndarray:
 
 _SYMBOL, _PIPE, _DIGIT = _table(b"#*$%&|<>"), _table(b"|"), _table(b"0123456789")
 _UPPER, _LETTER = _table(bytes(range(65, 91))), _table(bytes([*range(65, 91), *range(97, 123)]))
-_SHOUT, _STOP = _table(b"!"), _table(b".!?:;\"'")
+_SHOUT = _table(b"!")
 _POINT = np.ones(256, np.int32)
 _POINT[128:192] = 0
 _POINT[[9, 10, 11, 12, 13, 32]] = 0  # code points that are in words
@@ -50,7 +50,6 @@ _CUTS = (
     ("exclamation marks per word", (0.0, 0.1, 0.5)),
     ("digits per character", (0.0, 0.05, 0.3)),
     ("characters per word", (2.5, 4.0, 6.0, 8.0, 11.0)),
-    ("ends a sentence", (0.5,)),
     ("seen before in the text", (0.5,)),
     ("repeated words", (0.1, 0.5)),
 )
@@ -124,7 +123,7 @@ class Measured:
         chars = np.maximum(points[hi] - points[lo], 1)
         values = (
             self.line_words, (symbols[hi] - symbols[lo]) / n, span(_PIPE) / n, span(_UPPER) / np.maximum(span(_LETTER), 1),
-            span(_SHOUT) / n, span(_DIGIT) / chars, chars / n, _STOP[data[ends[w_hi - 1] - 1]] if len(lo) else np.zeros(0), before,
+            span(_SHOUT) / n, span(_DIGIT) / chars, chars / n, before,
             (in_window[w_hi] - in_window[w_lo]) / n,
         )
         self.features = np.stack([np.searchsorted(np.array(cuts, float), np.asarray(v, float)) + s for (_, cuts), v, s in zip(_CUTS, values, _STARTS, strict=True)], 1).astype(np.int16) if len(lo) else np.zeros((0, len(_CUTS)), np.int16)
@@ -268,6 +267,7 @@ def _judge(field: Field, share: float, filters: bool):
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_words."""
+    small_batches(docs.sparkSession)
     field = fitted(docs, labels, sample)
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_words bigint"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge(field, share, False), schema)
@@ -275,4 +275,5 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, share: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """The documents, with all their columns, that stay."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_judge(fitted(docs, labels, sample), share, True), docs.schema)
