@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python holds one slice of about so many bytes of text at a time (a longer text is a slice of its own).
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +50,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows are whole documents here, so Arrow batches of the default 10,000 rows are large: 2,000, unless the session says
+    something else."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 class Scratch:
     """Written tables that cut lineage. They survive lost executors, being in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:

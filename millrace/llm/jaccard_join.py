@@ -34,7 +34,7 @@ from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
 #: Hashes that a task holds before it sends them; candidate pairs that are sent to all tasks (16 bytes each) rather than joined.
-FLUSH, FEW_PAIRS = 2_000_000, 2_000_000
+FLUSH, FEW_PAIRS = 1_500_000, 2_000_000
 #: Dropped ids that are sent to all tasks (some 20 bytes each) rather than joined.
 FEW_IDS = 1_000_000
 _SHIFT = np.uint64(24)  # tokens are 40 bits of a shingle's hash; sets are verified on 48
