@@ -28,14 +28,20 @@ def argmax(options: Column, probs: Column) -> Column:
     return F.get(F.filter(options, lambda k: F.coalesce(probs[k], F.lit(0.0)) == best), F.lit(0))
 
 
+def picked(options: Column, probs: Column, yes_no: Column) -> Column:
+    """The answer: of a yes/no question whether true has half or more, else the best option."""
+    half = F.coalesce(probs["true"], F.lit(0.0)) >= 0.5
+    return F.when(yes_no, F.when(half, "true").otherwise("false")).otherwise(argmax(options, probs))
+
+
 def to_probs(top: Column, labels: Column, least_mass: float = 0.5) -> Column:
-    """Probabilities of labels from top tokens (array<struct<token, p>>): the first of each trimmed token counts, what is left
-    of 1 is shared equally, and the result normalised; null if the labels' own mass is below least_mass."""
+    """Probabilities of labels from top tokens (array<struct<token, p>>): the first of each trimmed token counts, the labels
+    that aren't there share what is left of 1, and the result is normalised; null if the labels' own mass is below least_mass."""
     first = lambda k: F.get(F.filter(top, lambda t: F.trim(t["token"]) == k), F.lit(0))["p"]
-    own = F.transform(labels, lambda k: F.coalesce(first(k), F.lit(0.0)))
-    mass = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-    rest = F.greatest(F.lit(0.0), 1 - mass) / F.size(labels)
-    filled = F.transform(own, lambda x: x + rest)
+    own = F.transform(labels, first)
+    mass = F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    rest = F.greatest(F.lit(0.0), 1 - mass) / F.size(F.filter(own, lambda x: x.isNull()))
+    filled = F.transform(own, lambda x: F.coalesce(x, rest))
     z = F.aggregate(filled, F.lit(0.0), lambda a, x: a + x)
     return F.when(mass >= least_mass, F.map_from_arrays(labels, F.transform(filled, lambda x: x / z)))
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How judges write their verdict.
+VERDICT_TAG, VERDICT_SIDE, VERDICT_TIE = r"\[\[(A|B|TIE)\]\]", r"assistant (a|b)\b[^.\n]*\b(?:better|wins|superior|preferred)", r"\b(tie|equal|equally)\b"
+
 
 def verdict(text: Column) -> Column:
-    """A, B or tie: the last tag in double brackets, else what the prose says, else null."""
-    tag = F.upper(F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?i)\[\[(A|B|C|TIE)\]\]"), F.lit(1)), F.lit(-1)))
-    prose = F.when(text.rlike(r"(?i)\b(assistant|answer) a (is|was) better"), "A").when(text.rlike(r"(?i)\b(assistant|answer) b (is|was) better"), "B").when(text.rlike(r"(?i)\b(tie|equally good)\b"), "tie")
-    return F.coalesce(F.when(tag.isin("A", "B"), tag).when(tag.isin("C", "TIE"), "tie"), prose)
+    """A, B or TIE: the first tag in double brackets, else what the first line says, else null."""
+    tag = F.regexp_extract(text, VERDICT_TAG, 1)
+    line = F.lower(F.get(F.split(F.trim(text, F.lit(" \n\t\r")), "\n"), F.lit(0)))
+    side = F.upper(F.regexp_extract(line, VERDICT_SIDE, 1))
+    return F.when(tag != "", tag).when(side != "", side).when(line.rlike(VERDICT_TIE), "TIE")
 
 
 def last_code(text: Column, language: str = "bash") -> Column:

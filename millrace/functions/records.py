@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 #: The two options of a yes/no question, and keys that say nothing.
 YES_NO = (("true", "Yes, the statement is true."), ("false", "No, the statement is false."))
-GENERIC_KEY = r"(?i)^(?:option_?\d+|choice_?\d+|[a-z]|\d+|k_[0-9a-f]+)$"
+GENERIC_KEY = r"^([A-Za-z]+_?\d+|[A-Z]|k_[0-9a-f]+)$"
+NO_LABELS = ("GZ",)  # left out of the alphabet
 LEAST_OPTIONS, MOST_OPTIONS, FEW_OPTIONS = 2, 255, 10
 
 
 def label(i: int) -> str:
-    """The i-th label, from 0: A to Z, AA, AB and so on."""
+    """The i-th name of the alphabet, from 0: A to Z, AA, AB and so on."""
     return string.ascii_uppercase[i] if i < 26 else label(i // 26 - 1) + string.ascii_uppercase[i % 26]
 
 
 def labels(n: int = MOST_OPTIONS) -> Column:
-    return F.array(*(F.lit(x) for x in itertools.islice(map(label, itertools.count()), n)))
+    every = (x for x in map(label, itertools.count()) if x not in NO_LABELS)
+    return F.array(*map(F.lit, itertools.islice(every, n)))
 
 
 def yes_no() -> Column:
@@ -39,7 +41,7 @@ def json_text(x: Column) -> Column:
 def option_value(key: Column, desc: Column) -> Column:
     """What an option shows, as JSON: the key where there is no description or the description would give nothing, the
     description where the key says nothing or is in it, else both."""
-    hidden = key.rlike(GENERIC_KEY) | (F.lower(key) == F.lower(desc)) | F.contains(F.lower(desc), F.lower(key))
+    hidden = key.rlike(GENERIC_KEY) | (key == desc) | F.contains(desc, key)
     both = F.concat(F.lit('{"key":'), json_text(key), F.lit(',"description":'), json_text(desc), F.lit("}"))
     return F.when(desc.isNull(), json_text(key)).when(hidden, json_text(desc)).otherwise(both)
 
@@ -51,9 +53,8 @@ def decision_prompt(state: Column, instructions: Column, options: Column, names:
 
 
 def normal_gold(gold: Column) -> Column:
-    """true or false of the spellings of yes and no; others as they are."""
-    low = F.lower(gold)
-    return F.when(low.isin("true", "yes", "1"), "true").when(low.isin("false", "no", "0"), "false").otherwise(gold)
+    """Gold of a yes/no question: true for true, yes and 1, false for anything else; null stays null."""
+    return F.when(gold.isNull(), None).when(gold.isin("true", "yes", "1"), "true").otherwise("false")
 
 
 def shuffled(options: Column, seed: Column) -> Column:

@@ -11,6 +11,11 @@ ColumnOrName = Column | str
 SEGMENT_SPLIT, WORD, SEGMENT_WORDS, GRAM_WORDS = r"[.?!:;\n]+", "[a-z0-9]+", 5, 13
 # Elements whose content is no text.
 SILENT_TAGS = ("script", "style", "noscript", "svg", "head")
+# How answers write their final number, and words of a query that say nothing about its topic.
+MARKED_NUMBER, NUMBER = r"####\s*\$?\s*(-?[\d,]*\.?\d+)", r"-?\d[\d,]*\.?\d*"
+STOP_WORDS = tuple(
+    "a an the of in on at to for and or is are was were be by with what which who whom whose when where why how did do does from as that this it its into about than then".split()
+)
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -47,9 +52,9 @@ def prefix_key(text: ColumnOrName, n: int = 300) -> Column:
 
 
 def clip(text: ColumnOrName, n: int) -> Column:
-    """The first n characters, with the number of those left out."""
-    t = _c(text)
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n), F.lit(" (+"), (F.length(t) - n).cast("string"), F.lit(" chars)")))
+    """The trimmed text's first n characters, with the number of those left out."""
+    t = F.trim(F.coalesce(_c(text), F.lit("")), F.lit(" \n\t\r"))
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n), F.lit(" ...(+"), (F.length(t) - n).cast("string"), F.lit(" chars)")))
 
 
 def strip_html(page: ColumnOrName) -> Column:
@@ -80,11 +85,19 @@ def contains_words(text: Column, answer: Column) -> Column:
 
 
 def final_number(text: ColumnOrName) -> Column:
-    """The number after ####, else the last number; separators of thousands dropped."""
-    t = F.replace(_c(text), F.lit(","), F.lit(""))
-    marked = F.regexp_extract(t, r"####\s*(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    every = F.regexp_extract_all(t, F.lit(r"-?[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    return F.coalesce(F.nullif(marked, F.lit("")), F.try_element_at(every, F.lit(-1))).try_cast("double")
+    """The number after ####, else the last number; separators of thousands and a closing point dropped."""
+    marked = F.regexp_extract(_c(text), MARKED_NUMBER, 1)
+    every = F.regexp_extract_all(_c(text), F.lit(NUMBER), F.lit(0))
+    found = F.coalesce(F.nullif(marked, F.lit("")), F.try_element_at(every, F.lit(-1)))
+    return F.rtrim(F.replace(found, F.lit(","), F.lit("")), F.lit(".")).try_cast("double")
+
+
+def relevant(query: ColumnOrName, results: Column, k: int = 3, need: float = 0.5) -> Column:
+    """Whether one of the first k results (texts) holds at least so many of the query's content words, anywhere in it; true for a
+    query without any."""
+    content = F.filter(F.array_distinct(words(query)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
+    enough = lambda r: F.size(F.filter(content, lambda w: F.contains(F.lower(r), w))) >= need * F.size(content)
+    return (F.size(content) == 0) | F.exists(F.slice(results, 1, k), enough)
 
 
 def last_match(text: ColumnOrName, pattern: str, group: int = 1) -> Column:

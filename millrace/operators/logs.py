@@ -46,29 +46,41 @@ def rates(marked: DataFrame, by: list[str], before: int, after: int) -> DataFram
     return marked.groupBy(*by).agg(n("before").alias("n_before"), n("after").alias("n_after")).withColumn("rate_before", F.col("n_before") * 60.0 / before).withColumn("rate_after", F.col("n_after") * 60.0 / after)
 
 
+#: Fixed value: what tells an error message.
+ERROR = r"(?i)error|exception|fail|timeout|timed out|refused|panic|unavailable|denied|reset|50[0-9]"
+
+
 def new_messages(marked: DataFrame, case: str, service: str, message: str, per_service: int, total: int) -> DataFrame:
     """case, service, message, n, rank: messages seen after the event and never before it; the most frequent ones of each
-    service, then of the case."""
+    service, then of the case, those that look like errors first."""
     by = marked.groupBy(case, service, message).agg(F.sum((F.col("phase") == "after").cast("int")).alias("n"), F.max((F.col("phase") == "before").cast("int")).alias("old")).filter("old = 0 and n > 0").drop("old")
-    order = [F.desc("n"), F.col(service), F.col(message)]
+    order = [F.desc(F.col(message).rlike(ERROR)), F.desc("n"), F.col(service), F.col(message)]
     by = by.withColumn("__k", F.row_number().over(Window.partitionBy(case, service).orderBy(F.desc("n"), message))).filter(F.col("__k") <= per_service).drop("__k")
     return by.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*order))).filter(F.col("rank") <= total)
 
 
-def metric_shift(marked: DataFrame, case: str, metric: str, value: str, k: int) -> DataFrame:
-    """case, metric, mean_before, mean_after, z, rank: change over the spread before, the k largest of a case."""
-    before = lambda x: F.when(F.col("phase") == "before", x)
+def metric_shift(marked: DataFrame, case: str, metric: str, value: str, k: int, least: int = 10) -> DataFrame:
+    """case, metric, mean_before, mean_after, z, rank: change over the spread before (and a hundredth of the mean), the k largest of
+    a case, of metrics with `least` values or more on either side."""
     v = F.col(value)
-    by = marked.groupBy(case, metric).agg(F.avg(before(v)).alias("mean_before"), F.avg(F.when(F.col("phase") == "after", v)).alias("mean_after"), F.stddev_pop(before(v)).alias("sd"))
-    by = by.filter("mean_before is not null and mean_after is not null").withColumn("z", (F.col("mean_after") - F.col("mean_before")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).drop("sd")
+    side = lambda p: F.when(F.col("phase") == p, v)
+    by = marked.groupBy(case, metric).agg(
+        F.avg(side("before")).alias("mean_before"), F.avg(side("after")).alias("mean_after"), F.stddev_pop(side("before")).alias("sd"),
+        F.count(side("before")).alias("nb"), F.count(side("after")).alias("na"),
+    )
+    by = by.filter((F.col("nb") >= least) & (F.col("na") >= least)).withColumn("z", (F.col("mean_after") - F.col("mean_before")) / (F.col("sd") + 1e-9 + 0.01 * F.abs("mean_before"))).drop("sd", "nb", "na")
     return by.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc(F.abs("z")), metric))).filter(F.col("rank") <= k)
 
 
-def fit_tail(steps: DataFrame, key: str, position: str, size: Column, head: int, budget: int) -> DataFrame:
-    """steps with kept: the first `head` steps, and the last ones whose sizes together stay within the budget."""
+def fit_tail(steps: DataFrame, key: str, position: str, size: Column, head: int, budget: int, marker: int = 80) -> DataFrame:
+    """steps with kept: all where they fit the budget; else the first `head` steps and as many of the last as fit what these and a
+    marker leave of it."""
     w = Window.partitionBy(key)
-    total = F.sum(size).over(w.orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return steps.withColumn("kept", (F.row_number().over(w.orderBy(position)) <= head) | (total <= budget))
+    rows = steps.withColumn("__s", size).withColumn("__rn", F.row_number().over(w.orderBy(position)))
+    first = F.col("__rn") <= head
+    tail = F.sum(F.when(first, 0).otherwise(F.col("__s"))).over(w.orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = budget - F.sum(F.when(first, F.col("__s")).otherwise(0)).over(w) - marker
+    return rows.withColumn("kept", (F.sum("__s").over(w) <= budget) | first | (tail <= left)).drop("__s", "__rn")
 
 
 def step_numbers(turns: DataFrame, key: str, position: str, is_step: Column, last: int) -> DataFrame:

@@ -19,11 +19,12 @@ def auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -
 
 
 def miss_at_share(df: DataFrame, score: str, positive: str, key: str, share: float, by: list[str]) -> DataFrame:
-    """by, n, picked, missed: share of positives among the bround(share * n) rows of lowest score."""
+    """by, n, picked, missed: share of all positives that are among the bround(share * n) rows of lowest score."""
     w = Window.partitionBy(*by)
     ranked = df.withColumn("__rn", F.row_number().over(w.orderBy(score, key))).withColumn("__n", F.count("*").over(w))
-    ranked = ranked.filter(F.col("__rn") <= F.bround(share * F.col("__n"), 0))
-    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.count("*").alias("picked"), F.avg(F.col(positive).cast("int")).alias("missed"))
+    cheap, hit = F.col("__rn") <= F.bround(share * F.col("__n"), 0), F.col(positive).cast("int")
+    missed = F.sum(F.when(cheap, hit).otherwise(0)) / F.nullif(F.sum(hit), F.lit(0))
+    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.sum(cheap.cast("int")).alias("picked"), missed.alias("missed"))
 
 
 def balanced_accuracy(truth: Column, guess: Column) -> Column:
@@ -59,9 +60,9 @@ def gate(pairs: DataFrame, by: str, key_old: str, key_new: str, protected: list[
     counts = counts.withColumn("p", mcnemar(F.col("loss"), F.col("win")))
     guarded = F.lit(False)
     for name in protected:
-        guarded = guarded | F.col(by).startswith(name)
+        guarded = guarded | F.col(by).startswith(name) | F.lit(name).startswith(F.substring_index(by, " ", 1))
     worse = F.col("loss") > F.col("win")
-    return counts.withColumn("verdict", F.when(guarded & worse & (F.col("p") < p_fail), "FAIL").when(worse & (F.col("loss") - F.col("win") >= net_warn), "warn").otherwise("ok"))
+    return counts.withColumn("verdict", F.when(guarded & worse & (F.col("p") < p_fail), "FAIL").when(guarded & (F.col("loss") - F.col("win") >= net_warn), "warn").otherwise("ok"))
 
 
 def order_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -54,28 +54,28 @@ def before_after_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query(CASES.replace("epoch(ts)::BIGINT AS t", "floor(epoch(ts))::BIGINT AS t") + """
-g AS (SELECT "case", event_type, user_id % 3 AS service, 'user ' || user_id % 10 AS message, sum((phase = 'after')::INT) AS n, max((phase = 'before')::INT) AS old FROM m GROUP BY ALL),
+g AS (SELECT "case", event_type, user_id % 3 AS service, CASE user_id % 10 WHEN 3 THEN 'failed 3' ELSE 'user ' || user_id % 10 END AS message, sum((phase = 'after')::INT) AS n, max((phase = 'before')::INT) AS old FROM m GROUP BY ALL),
 s AS (SELECT "case", service, message, sum(n) AS n, max(old) AS old FROM g GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY "case", service ORDER BY n DESC, message) AS k FROM s WHERE old = 0 AND n > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY n DESC, service, message) AS rank FROM k WHERE k <= 3)
+r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY message LIKE '%fail%' DESC, n DESC, service, message) AS rank FROM k WHERE k <= 3)
 SELECT "case", service, message, n::BIGINT AS n, rank::INT AS rank FROM r WHERE rank <= 5""")
 def new_messages(spark: SparkSession, d: str) -> DataFrame:
-    marked = _around(spark, d).withColumn("service", F.col("user_id") % 3).withColumn("message", F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string")))
+    marked = _around(spark, d).withColumn("service", F.col("user_id") % 3).withColumn("message", F.when(F.col("user_id") % 10 == 3, "failed 3").otherwise(F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string"))))
     return L.new_messages(marked, "case", "service", "message", 3, 5)
 
 
 @C.query(CASES.replace("epoch(ts)::BIGINT AS t", "floor(epoch(ts))::BIGINT AS t") + """
-g AS (SELECT "case", event_type AS metric, avg(CASE phase WHEN 'before' THEN value END) AS b, avg(CASE phase WHEN 'after' THEN value END) AS a, stddev_pop(CASE phase WHEN 'before' THEN value END) AS sd FROM m GROUP BY ALL),
-z AS (SELECT "case", metric, b, a, round((a - b) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z FROM g WHERE a IS NOT NULL AND b IS NOT NULL),
+g AS (SELECT "case", event_type AS metric, avg(CASE phase WHEN 'before' THEN value END) AS b, avg(CASE phase WHEN 'after' THEN value END) AS a, stddev_pop(CASE phase WHEN 'before' THEN value END) AS sd, count(CASE phase WHEN 'before' THEN value END) AS nb, count(CASE phase WHEN 'after' THEN value END) AS na FROM m GROUP BY ALL),
+z AS (SELECT "case", metric, b, a, round((a - b) / (sd + 1e-9 + 0.01 * abs(b)), 6) AS z FROM g WHERE nb >= 2 AND na >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY abs(z) DESC, metric) AS rank FROM z)
 SELECT "case", metric, round(b, 6) AS mean_before, round(a, 6) AS mean_after, z, rank::INT AS rank FROM r WHERE rank <= 2""")
 def metric_shift_topk(spark: SparkSession, d: str) -> DataFrame:
-    got = L.metric_shift(_around(spark, d), "case", "event_type", "value", 2).withColumnRenamed("event_type", "metric")
+    got = L.metric_shift(_around(spark, d), "case", "event_type", "value", 2, 2).withColumnRenamed("event_type", "metric")
     return got.select("case", "metric", F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"), F.round("z", 6).alias("z"), "rank")
 
 
 @C.query("""
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 1 OR sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 1500 AS kept FROM conversations""")
+SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id) <= 1500 OR turn = 0 OR sum(CASE turn WHEN 0 THEN 0 ELSE length(text) END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 1500 - 80 - sum(CASE turn WHEN 0 THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS kept FROM conversations""")
 def tail_budget(spark: SparkSession, d: str) -> DataFrame:
     return L.fit_tail(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", F.length("text"), 1, 1500).select("conv_id", "turn", "kept")
 

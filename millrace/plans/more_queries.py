@@ -26,10 +26,10 @@ def json_leaves(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(J.leaves(doc), "|").alias("leaves"))
 
 
-@C.query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'tie' WHEN 2 THEN 'B' END AS verdict, 'ls ' || o_custkey AS code, 'get_' || o_custkey AS tool FROM orders")
+@C.query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'TIE' WHEN 2 THEN 'B' END AS verdict, 'ls ' || o_custkey AS code, 'get_' || o_custkey AS tool FROM orders")
 def answer_parts(spark: SparkSession, d: str) -> DataFrame:
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
-    said = F.when(k == 0, "First [[B]] but in the end [[A]]").when(k == 1, "They are equally good.").when(k == 2, "I say answer B is better.").otherwise("Hm.")
+    said = F.when(k == 0, "First [[B]] but in the end [[A]]").when(k == 1, "They are equally good.").when(k == 2, "I say assistant b is much better.").otherwise("Hm.")
     code = F.concat(F.lit("x\n```bash\npwd\n```\nthen\n```bash\nls "), c, F.lit("\n```\n"))
     call = F.concat(F.lit('<think>no <tool_call>{"name":"bad"}</tool_call></think> <tool_call>{"name":"get_'), c, F.lit('","arguments":{"a":1}}</tool_call><tool_call>{broken}</tool_call>'))
     return table(spark, d, "orders").select("o_orderkey", E.verdict(said).alias("verdict"), E.last_code(code).alias("code"), F.get(E.tool_calls(E.without_tags(call, "think")), F.lit(0))["name"].alias("tool"))

@@ -189,8 +189,8 @@ def average_distributions(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""
 WITH x AS (SELECT s_suppkey, 0.1 + (s_suppkey % 8) / 10.0 AS a, (s_suppkey % 3) / 20.0 AS b FROM supplier),
-m AS (SELECT s_suppkey, a, b, a + b AS mass, greatest(0, 1 - a - b) / 3 AS rest FROM x)
-SELECT s_suppkey, round((a + rest) / (mass + 3 * rest), 9) AS p_a, round((b + rest) / (mass + 3 * rest), 9) AS p_b, round(rest / (mass + 3 * rest), 9) AS p_c FROM m WHERE mass >= 0.5""")
+m AS (SELECT s_suppkey, a, b, a + b AS mass, greatest(0, 1 - a - b) AS rest FROM x)
+SELECT s_suppkey, round(a / (mass + rest), 9) AS p_a, round(b / (mass + rest), 9) AS p_b, round(rest / (mass + rest), 9) AS p_c FROM m WHERE mass >= 0.5""")
 def top_token_probs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     a, b = 0.1 + (k % 8) / 10.0, (k % 3) / 20.0
@@ -219,7 +219,7 @@ def _examples(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""
 WITH x AS (SELECT p_partkey, p_type, p_size, p_brand FROM part)
-SELECT p_partkey, '{"state":{"size":' || p_size || '},"question":"Which one?","options":{"A":"' || p_brand || '","B":"' || p_type || '","C":"Size ' || p_size || '"}}' AS prompt FROM x""")
+SELECT p_partkey, '{"state":{"size":' || p_size || '},"question":"Which one?","options":{"A":"' || p_brand || '","B":"' || p_type || '","C":{"key":"size","description":"Size ' || p_size || '"}}}' AS prompt FROM x""")
 def render_prompt(spark: SparkSession, d: str) -> DataFrame:
     option = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("desc"))
     options = F.array(option(F.col("p_brand"), F.lit(None)), option(F.lit("option_1"), F.col("p_type")), option(F.lit("size"), F.concat(F.lit("Size "), F.col("p_size").cast("string"))))
@@ -237,9 +237,9 @@ def teacher_remap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 5 < 2 THEN 'true' WHEN s_suppkey % 5 < 4 THEN 'false' ELSE 'other' END AS gold FROM supplier""")
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 < 2 THEN 'true' ELSE 'false' END AS gold FROM supplier""")
 def normal_gold(spark: SparkSession, d: str) -> DataFrame:
-    spelled = F.get(F.array(*map(F.lit, ("YES", "1", "No", "FALSE", "other"))), (F.col("s_suppkey") % 5).cast("int"))
+    spelled = F.get(F.array(*map(F.lit, ("yes", "1", "No", "FALSE", "other"))), (F.col("s_suppkey") % 5).cast("int"))
     return table(spark, d, "supplier").select("s_suppkey", R.normal_gold(spelled).alias("gold"))
 
 

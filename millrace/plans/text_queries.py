@@ -130,19 +130,19 @@ def log_mask(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.mask_numbers(line).alias("line"))
 
 
-@C.query("SELECT conv_id, turn, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || ' (+' || (length(text) - 100) || ' chars)' END AS text FROM conversations")
+@C.query("SELECT conv_id, turn, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 100) || ' ...(+' || (length(text) - 100) || ' chars)' END AS text FROM (SELECT conv_id, turn, trim(text, chr(32) || chr(10) || chr(9) || chr(13)) AS text FROM conversations)")
 def clip_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.clip("text", 100).alias("text"))
 
 
 @C.query("""
-WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'So 1,2 then #### ' || o_custkey ELSE 'The totals are 3 and -' || o_custkey || '.5' END AS t,
+WITH x AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'So 1,2 then #### $' || o_custkey || ' and 5' ELSE 'The totals are 3 and -1,' || (1000 + o_custkey) || '.' END AS t,
   'I think (A) but the answer is (' || chr((65 + o_orderkey % 5)::INT) || ')' AS u FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN regexp_extract(replace(t, ',', ''), '####\\s*(-?[0-9]+)', 1)::DOUBLE ELSE regexp_extract_all(t, '-?[0-9]+(?:\\.[0-9]+)?')[-1]::DOUBLE END AS number,
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey::DOUBLE ELSE -('1' || (1000 + o_custkey))::DOUBLE END AS number,
   regexp_extract_all(u, '\\(([A-Z])\\)', 1)[-1] AS letter FROM x""")
 def answer_extraction(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_custkey").cast("string")
-    t = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("So 1,2 then #### "), key)).otherwise(F.concat(F.lit("The totals are 3 and -"), key, F.lit(".5")))
+    t = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("So 1,2 then #### $"), key, F.lit(" and 5"))).otherwise(F.concat(F.lit("The totals are 3 and -1,"), (1000 + F.col("o_custkey")).cast("string"), F.lit(".")))
     u = F.concat(F.lit("I think (A) but the answer is ("), F.char((65 + F.col("o_orderkey") % 5).cast("bigint")), F.lit(")"))
     return table(spark, d, "orders").select("o_orderkey", T.final_number(t).alias("number"), T.last_match(u, r"\(([A-Z])\)").alias("letter"))
 

@@ -73,13 +73,13 @@ def test_round_robin(spark):
 
 
 def test_option_value(spark):
-    cases = [("option_3", "d", '"d"'), ("A", "d", '"d"'), ("k_0f", "d", '"d"'), ("x y", "x y", '"x y"'), ("cat", "a cat here", '"a cat here"'), ("billing", None, '"billing"'), ("billing", "Money", '{"key":"billing","description":"Money"}')]
+    cases = [("option_3", "d", '"d"'), ("A", "d", '"d"'), ("a", "d", '{"key":"a","description":"d"}'), ("k_0f", "d", '"d"'), ("x y", "x y", '"x y"'), ("cat", "a cat here", '"a cat here"'), ("billing", None, '"billing"'), ("billing", "Money", '{"key":"billing","description":"Money"}')]
     df = spark.createDataFrame([(k, d) for k, d, _ in cases], "k string, d string")
     assert [r.v for r in df.select(R.option_value(F.col("k"), F.col("d")).alias("v")).collect()] == [v for *_, v in cases]
 
 
 def test_labels():
-    assert [R.label(i) for i in (0, 25, 26, 254)] == ["A", "Z", "AA", "IU"]
+    assert [R.label(i) for i in (0, 25, 26, 255)] == ["A", "Z", "AA", "IV"]
 
 
 def _questions(spark, rows):
@@ -88,7 +88,7 @@ def _questions(spark, rows):
 
 def test_expand_guards_and_copies(spark):
     options = lambda n: [(f"o{i}", None) for i in range(n)]
-    rows = [("r1", "q", "choice", options(1), "o0"), ("r2", "q", "choice", options(256), "o0"), ("r3", "q", "choice", options(3), None), ("r4", "q", "choice", options(3), "zz"), ("r5", "q", "choice", options(10), "o1"), ("r6", "q", "choice", options(11), "o1"), ("r7", "q", "noul", None, "YES")]
+    rows = [("r1", "q", "choice", options(1), "o0"), ("r2", "q", "choice", options(256), "o0"), ("r3", "q", "choice", options(3), None), ("r4", "q", "choice", options(3), "zz"), ("r5", "q", "choice", options(10), "o1"), ("r6", "q", "choice", options(11), "o1"), ("r7", "q", "noul", None, "yes")]
     got = O.expand(_questions(spark, rows)).collect()
     assert sorted(r.id for r in got) == ["r5#q#0", "r5#q#1", "r6#q#0", "r7#q#0", "r7#q#1"]
     assert all(r.order[r.labels.index(r.gold)] == r.gold_key for r in got)
@@ -103,7 +103,7 @@ def test_blend(spark):
 def test_top_token_mass(spark):
     top = lambda p: F.array(F.struct(F.lit("A").alias("token"), F.lit(p).alias("p")))
     got = one(spark, x=D.to_probs(top(0.49), F.array(F.lit("A"), F.lit("B"))), y=D.to_probs(top(0.5), F.array(F.lit("A"), F.lit("B"))))
-    assert got.x is None and got.y == pytest.approx({"A": 0.75, "B": 0.25})
+    assert got.x is None and got.y == pytest.approx({"A": 0.5, "B": 0.5})
 
 
 def test_distillation_loss(spark):
@@ -142,9 +142,19 @@ def test_batches(spark):
 
 
 def test_fit_tail(spark):
-    df = spark.range(10).select(F.lit(1).alias("c"), F.col("id").alias("p"), F.lit(10).alias("n"))
-    got = L.fit_tail(df, "c", "p", F.col("n"), 6, 25).filter("kept").collect()
-    assert sorted(r.p for r in got) == [0, 1, 2, 3, 4, 5, 8, 9]
+    df = spark.range(10).select(F.lit(1).alias("c"), F.col("id").alias("p"), F.lit(100).alias("n"))
+    kept = lambda budget: sorted(r.p for r in L.fit_tail(df, "c", "p", F.col("n"), 6, budget).filter("kept").collect())
+    assert kept(900) == [0, 1, 2, 3, 4, 5, 8, 9] and kept(1000) == list(range(10))
+
+
+def test_labels_leave_one_out(spark):
+    got = one(spark, x=R.labels()).x
+    assert len(got) == 255 and got[-1] == "IV" and "GZ" not in got
+
+
+def test_relevance(spark):
+    got = one(spark, x=T.relevant(F.lit("who won the Wimbledon final"), F.array(F.lit("Korean won"), F.lit("a"), F.lit("b"), F.lit("wimbledon final won"))), y=T.relevant(F.lit("Wimbledon final"), F.array(F.lit("The finals"))), z=T.relevant(F.lit("who is it"), F.array().cast("array<string>")))
+    assert (got.x, got.y, got.z) == (False, True, True)
 
 
 def test_outcomes(spark):
@@ -156,6 +166,7 @@ def test_outcomes(spark):
         ("me", [("you", "APPROVED", 5)], [1], 0, True, "yes"),
         ("me", [("you", "APPROVED", 5)], [1], 0, False, "no"),
         ("me", [("you", "APPROVED", 5)], [1], 2, False, "ambiguous"),
+        ("me", [("you", "APPROVED", 5)], [1], 1, False, "no"),
         ("renovate[bot]", [("you", "APPROVED", 5)], [1], 0, False, "bot_author"),
         ("me", [("me", "APPROVED", 5), ("codecov", "COMMENTED", 2)], [1], 0, False, "no_human_review"),
     ]
