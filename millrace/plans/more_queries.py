@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..functions import extract as E
 from ..functions import json_text as J
+from ..operators import puzzles as Z
 from ..operators import scoring as X
 from ..operators.sampling import fraction
 from .base import Catalog, table
@@ -149,3 +150,8 @@ def mean_likelihood(spark: SparkSession, d: str) -> DataFrame:
 def agent_rates(spark: SparkSession, d: str) -> DataFrame:
     right = F.col("o_totalprice") > 150000
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(right.cast("int")), 9).alias("acc"), F.round(F.avg(F.when(right, (F.col("o_custkey") % 2 == 0).cast("int"))), 9).alias("tool_rate"))
+
+
+@C.query()
+def gen_puzzles(spark: SparkSession, d: str) -> DataFrame:
+    return Z.puzzles(spark, 200)

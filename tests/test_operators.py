@@ -220,3 +220,21 @@ def test_stream_enriches_once(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(src)
         resume.enrich_once(stream, lambda df: df.withColumn("y", F.col("id") * 2), out, str(tmp_path / "cp"), "id").awaitTermination()
     assert sorted(r.y for r in spark.read.parquet(out).collect()) == [0, 2, 4, 6, 8]
+
+
+def test_puzzles(spark):
+    from millrace.operators import puzzles as Z
+
+    got = Z.puzzles(spark, 40).collect()
+    assert {r.family for r in got} == set(Z.FAMILIES) and all(r.answer in r.options and len(set(r.options)) == len(r.options) for r in got)
+    for r in got:
+        if r.family == "boolean":
+            assert str(eval(r.state)) == r.answer  # noqa: S307  made of True, False, and, or, not
+        if r.family == "program_output":
+            text, call = r.state.split("\n\n")
+            space = {}
+            exec(text, space)  # noqa: S102  one of four fixed texts
+            assert repr(eval(call, space)) == r.answer  # noqa: S307
+        if r.family == "free_slot":
+            assert [h for h in r.options if f" {h}" not in r.state.replace(",", "").replace(".", "")] == [r.answer]
+    assert [tuple(r) for r in Z.puzzles(spark, 40).orderBy("family", "id").collect()] == [tuple(r) for r in Z.puzzles(spark, 40).repartition(3).orderBy("family", "id").collect()]
