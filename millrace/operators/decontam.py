@@ -1,12 +1,13 @@
 """Decontamination against a held-out suite: segment and n-gram overlap.
 
-Hashes aren't needed in results, so pieces are joined on their text; Spark hashes them in the exchange. The suite's index is
-small by nature but not by proof, so its joins are left to the planner, which broadcasts it where its size allows.
+Pieces meet by a 64-bit hash, so a shuffle moves 8 bytes for each and not some hundred characters; hashes never show in
+results. The suite's index is small by nature but not by proof, so its joins are left to the planner, which broadcasts it where
+its size allows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,6 +20,15 @@ def grams_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, T.words(text).alias("w")).select(key, T.grams("w").alias("grams"))
 
 
+def hashed(pieces: Column) -> Column:
+    return F.transform(pieces, lambda p: F.xxhash64(p))
+
+
+def by_hash(idx: DataFrame) -> DataFrame:
+    """h of an index's pieces."""
+    return idx.select(F.xxhash64("piece").alias("h"))
+
+
 def index(suite: DataFrame, pieces, key: str = "item_id", most: int = MOST_SUITE_ROWS) -> DataFrame:
     """Pieces of the suite that stand in at most `most` of its rows: piece, df. pieces: expression of an array of strings."""
     each = suite.select(key, F.explode(F.array_distinct(pieces)).alias("piece"))
@@ -32,7 +42,7 @@ def without(idx: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def corpus_common(docs: DataFrame, idx: DataFrame, pieces, least: int, key: str = "doc_id") -> DataFrame:
     """Suite pieces that `least` documents or more have: boilerplate, to be taken out of the index."""
-    each = docs.select(key, F.explode(F.array_distinct(pieces)).alias("piece")).join(idx.select("piece"), "piece", "left_semi")
+    each = docs.select(key, F.explode(F.array_distinct(pieces)).alias("piece")).withColumn("h", F.xxhash64("piece")).join(by_hash(idx), "h", "left_semi")
     return each.groupBy("piece").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
 
 
@@ -41,11 +51,11 @@ def verdicts(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str =
     counted) that the suite has is `share` or more. Only documents without a segment hit reach the n-gram stage."""
     seg = index(suite, T.segments("text"), suite_key) if segment_index is None else segment_index
     gram = index(grams_of(suite, suite_key, "text"), F.col("grams"), suite_key)
-    hit = docs.select(key, F.explode(F.array_distinct(T.segments(text))).alias("piece")).join(seg.select("piece"), "piece", "left_semi").select(key).distinct()
+    hit = docs.select(key, F.explode(F.array_distinct(hashed(T.segments(text)))).alias("h")).join(by_hash(seg), "h", "left_semi").select(key).distinct()
     rest = docs.select(key, text).join(hit, key, "left_anti")
     # An outer explode: for a plain one the optimizer infers a filter on the array and evaluates it from the text once more.
-    each = grams_of(rest, key, text).select(key, F.explode_outer("grams").alias("piece")).filter("piece is not null")
-    marked = each.join(gram.select("piece", F.lit(1).alias("hit")), "piece", "left")
+    each = grams_of(rest, key, text).select(key, F.explode_outer(hashed(F.col("grams"))).alias("h")).filter("h is not null")
+    marked = each.join(by_hash(gram).withColumn("hit", F.lit(1)), "h", "left")
     by = marked.groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("mean")).filter(F.col("mean") >= share)
     return hit.select(key, F.lit("segment").alias("why")).unionByName(by.select(key, F.lit("ngram").alias("why")))
 
@@ -57,8 +67,8 @@ def report(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sharing_any_gram(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys of documents with at least one 13-gram of the suite."""
-    grams = grams_of(suite.withColumn("__k", F.lit(0)), "__k", "text").select(F.explode_outer("grams").alias("piece")).filter("piece is not null").distinct()
-    return grams_of(docs, key, text).select(key, F.explode(F.array_distinct("grams")).alias("piece")).join(grams, "piece", "left_semi").select(key).distinct()
+    grams = grams_of(suite.withColumn("__k", F.lit(0)), "__k", "text").select(F.explode_outer(hashed(F.col("grams"))).alias("h")).filter("h is not null").distinct()
+    return grams_of(docs, key, text).select(key, F.explode(F.array_distinct(hashed(F.col("grams")))).alias("h")).join(grams, "h", "left_semi").select(key).distinct()
 
 
 def similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
