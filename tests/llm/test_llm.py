@@ -507,6 +507,18 @@ def test_pipeline_stages_on_odd_rows(spark, small, k):
         stage(spark, df, small).collect()
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got, want = table(queries.QUERIES[name](spark, small)), con.execute(queries.SQL[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got[cols].astype(object).values.tolist()), key=repr) == sorted(map(tuple, want[cols].astype(object).values.tolist()), key=repr)
+
+
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11))
