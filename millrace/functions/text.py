@@ -40,6 +40,13 @@ def grams(tokens: ColumnOrName, n: int = GRAM_WORDS) -> Column:
     return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(tokens: ColumnOrName, n: int = GRAM_WORDS) -> Column:
+    """64-bit hashes of the windows of n words, repeats included: of the words themselves, no text is put together."""
+    w = _c(tokens)
+    made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(n))))
+    return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<bigint>"))
+
+
 def segments(text: ColumnOrName, least: int = SEGMENT_WORDS) -> Column:
     """Segments between sentence marks, as their words joined by spaces, of `least` words or more."""
     parts = F.transform(F.split(F.lower(F.coalesce(_c(text), F.lit(""))), SEGMENT_SPLIT), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))

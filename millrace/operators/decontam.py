@@ -16,8 +16,9 @@ MOST_SUITE_ROWS, GRAM_SHARE = 20, 0.2
 
 
 def grams_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, grams. Words are a projection of their own: inside the windows' expression they would be found again for each."""
-    return docs.select(key, T.words(text).alias("w")).select(key, T.grams("w").alias("grams"))
+    """key, grams: hashes of 13-word windows. Words are a projection of their own: inside the windows' expression they would be
+    found again for each."""
+    return docs.select(key, T.words(text).alias("w")).select(key, T.gram_hashes("w").alias("grams"))
 
 
 def hashed(pieces: Column) -> Column:
@@ -30,7 +31,7 @@ def by_hash(idx: DataFrame) -> DataFrame:
 
 
 def index(suite: DataFrame, pieces, key: str = "item_id", most: int = MOST_SUITE_ROWS) -> DataFrame:
-    """Pieces of the suite that stand in at most `most` of its rows: piece, df. pieces: expression of an array of strings."""
+    """Pieces of the suite that stand in at most `most` of its rows: piece, df. pieces: expression of an array."""
     each = suite.select(key, F.explode(F.array_distinct(pieces)).alias("piece"))
     return each.groupBy("piece").agg(F.count("*").alias("df")).filter(F.col("df") <= most)
 
@@ -54,8 +55,8 @@ def verdicts(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str =
     hit = docs.select(key, F.explode(F.array_distinct(hashed(T.segments(text)))).alias("h")).join(by_hash(seg), "h", "left_semi").select(key).distinct()
     rest = docs.select(key, text).join(hit, key, "left_anti")
     # An outer explode: for a plain one the optimizer infers a filter on the array and evaluates it from the text once more.
-    each = grams_of(rest, key, text).select(key, F.explode_outer(hashed(F.col("grams"))).alias("h")).filter("h is not null")
-    marked = each.join(by_hash(gram).withColumn("hit", F.lit(1)), "h", "left")
+    each = grams_of(rest, key, text).select(key, F.explode_outer("grams").alias("h")).filter("h is not null")
+    marked = each.join(gram.select(F.col("piece").alias("h"), F.lit(1).alias("hit")), "h", "left")
     by = marked.groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("mean")).filter(F.col("mean") >= share)
     return hit.select(key, F.lit("segment").alias("why")).unionByName(by.select(key, F.lit("ngram").alias("why")))
 
@@ -67,8 +68,8 @@ def report(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def sharing_any_gram(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys of documents with at least one 13-gram of the suite."""
-    grams = grams_of(suite.withColumn("__k", F.lit(0)), "__k", "text").select(F.explode_outer(hashed(F.col("grams"))).alias("h")).filter("h is not null").distinct()
-    return grams_of(docs, key, text).select(key, F.explode(F.array_distinct(hashed(F.col("grams")))).alias("h")).join(grams, "h", "left_semi").select(key).distinct()
+    grams = grams_of(suite.withColumn("__k", F.lit(0)), "__k", "text").select(F.explode_outer("grams").alias("h")).filter("h is not null").distinct()
+    return grams_of(docs, key, text).select(key, F.explode(F.array_distinct("grams")).alias("h")).join(grams, "h", "left_semi").select(key).distinct()
 
 
 def similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
