@@ -67,6 +67,20 @@ def test_lm_learns(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_keeps_contexts_of_a_fifty_thousandth(spark):
+    """A context seen in 0.001% to 0.005% of the training tokens is a state by default."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 300, 1000)) for _ in range(250)]
+    texts = [t + " v0 v1 v2" if i < 6 else t for i, t in enumerate(texts)]
+    n = " ".join(texts).split()
+    seen = sum(a == "v0" and b == "v1" for a, b in zip(n, n[1:], strict=False))
+    assert 1e-5 * len(n) <= seen < 5e-5 * len(n)
+    rows = docs(spark, [(i * 7, t) for i, t in enumerate(texts)] + [(1, "v0 v1 v2")])
+    held = F.col("doc_id") % 7 == 1
+    got, few = (table(suffix_tree_lm.score(rows, held, **more).filter("held_out")).iloc[0] for more in ({}, {"p_min": 5e-5}))
+    assert got.n_states > few.n_states and got.score > few.score
+
+
 def test_lm_empty(spark):
     assert suffix_tree_lm.score(docs(spark, []), F.lit(False)).count() == 0
     only_held = table(suffix_tree_lm.score(docs(spark, [(1, "a b")]), F.lit(True)))
