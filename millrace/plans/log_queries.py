@@ -110,7 +110,7 @@ r AS (SELECT user_id, i, n, value AS m, 0 AS k FROM p WHERE i = 1 UNION ALL
  SELECT p.user_id, p.i, p.n, CASE WHEN p.value > 3 * r.m THEN r.m ELSE 0.9 * r.m + 0.1 * p.value END, r.k + (p.value > 3 * r.m)::INT FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i + 1)
 SELECT user_id, n, round(m, 6) AS ema, k AS skipped FROM r WHERE i = n""")
 def ema_loss(spark: SparkSession, d: str) -> DataFrame:
-    return L.ema(table(spark, d, "events").filter("user_id < 20"), ["user_id"], "event_id", "value", 0.1, 3.0).withColumn("ema", F.round("ema", 6)).select("user_id", "n", "ema", "skipped")
+    return L.ema(table(spark, d, "events"), ["user_id"], "event_id", "value", 0.1, 3.0).withColumn("ema", F.round("ema", 6)).select("user_id", "n", "ema", "skipped")
 
 
 @C.query("""
@@ -129,7 +129,7 @@ WITH e AS (SELECT event_id, ts, user_id FROM events WHERE user_id < 40)
 SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.ts < b.ts + INTERVAL 2 HOUR AND b.ts < a.ts + INTERVAL 2 HOUR""")
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a user's events whose two-hour intervals overlap: joined on user and a two-hour slot, not on a range alone."""
-    e = table(spark, d, "events").filter("user_id < 40").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     slot = F.floor(F.unix_micros("ts") / 7_200_000_000)
     a = e.select("user_id", F.col("event_id").alias("a"), F.col("ts").alias("ta"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
     b = e.select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("tb"), slot.alias("slot"))
