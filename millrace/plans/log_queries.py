@@ -42,7 +42,7 @@ m AS (SELECT "case", event_type, value, user_id, CASE WHEN floor(epoch(e.ts))::B
 
 def _around(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    cases = events.filter("event_type = 'error' and event_id % 25 = 0").select(F.col("event_id").alias("case"), F.col("ts").alias("at"))
+    cases = events.filter("event_type = 'error'").select(F.col("event_id").alias("case"), F.col("ts").alias("at"))
     return L.around(events.select("ts", "event_type", "value", "user_id"), cases, "ts", 6000, 3000)
 
 

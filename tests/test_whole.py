@@ -5,6 +5,8 @@ import pytest
 
 from millrace.plans import catalog
 
+from test_queries import rows
+
 
 @pytest.fixture
 def made(spark, tmp_path):
@@ -18,6 +20,20 @@ def made(spark, tmp_path):
     return write
 
 
+TABLES = "events lineitem".split()
+
+
+def whole(folder, name, *cuts):
+    """Rows of a query's SQL, the given cuts taken out of it."""
+    sql, con = catalog.SQL[name], duckdb.connect()
+    for cut in cuts:
+        assert cut in sql
+        sql = sql.replace(cut, "")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con.execute(sql).df()
+
+
 def got(spark, name, folder):
     return sorted(tuple(r) for r in catalog.QUERIES[name](spark, folder).collect())
 
@@ -47,3 +63,10 @@ def test_interval_overlap_of_all_users(spark, made):
     assert {rows[a][1] for a, _ in want} == {3, 40, 777}
     d = made(events=(rows, "event_id bigint, user_id bigint, ts timestamp"))
     assert got(spark, "interval_overlap", d) == want
+
+
+@pytest.mark.parametrize("name", ["before_after_rates", "new_messages", "metric_shift_topk"])
+def test_every_error_is_a_case(spark, small, name):
+    want = whole(small, name, " AND event_id % 25 = 0")
+    assert (want["case"] % 25 != 0).any()
+    assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(want)
