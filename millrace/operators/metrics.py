@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +42,36 @@ def spearman(df: DataFrame, a: str, b: str, key: str, by: list[str]) -> DataFram
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(n > 1, 1 - 6 * F.sum(F.col("__d").cast("double") * F.col("__d")) / (n * (n * n - 1))).alias("rho"))
 
 
+def _stirling(n: Column) -> Column:
+    """ln n! less Stirling's formula, for n of a thousand and more."""
+    return 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
 def mcnemar(loss: Column, win: Column) -> Column:
-    """Exact two-sided p of a paired sign test: twice the binomial tail at 1/2, at most 1. The terms follow by recurrence."""
+    """Exact two-sided p of a paired sign test: twice the binomial tail at 1/2, at most 1. The terms follow by recurrence: from 0
+    up for tails of a thousand terms, else from the largest, by Loader's saddle-point form, down to where they no longer count."""
     n, k = loss + win, F.least(loss, win)
+    few = k <= 1000
     start = F.struct((n * F.lit(-1.0) * F.log(F.lit(2.0))).alias("term"), F.exp(n * F.lit(-1.0) * F.log(F.lit(2.0))).alias("total"))
 
     def step(acc: Column, i: Column) -> Column:
         term = acc["term"] + F.log((n - i + 1) / i)
         return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
 
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>")), start, step, lambda acc: acc["total"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    none = F.array().cast("array<bigint>")
+    up = F.aggregate(F.when(few & (k > 0), F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(none), start, step, lambda acc: acc["total"])
+    x, y, m = k.cast("double"), (n - k).cast("double"), n.cast("double")
+    largest = F.exp(_stirling(m) - _stirling(x) - _stirling(y) - x * F.log(2 * x / m) - y * F.log(2 * y / m)) / F.sqrt(F.lit(2 * math.pi) * x * y / m)
+
+    def down(acc: Column, i: Column) -> Column:
+        term = acc["term"] * (x - i + 1) / (y + i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    # 5 sqrt(n) terms below the largest, one is e^-50 of it or less.
+    far = F.least(k.cast("bigint"), F.ceil(5 * F.sqrt(m)))
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    below = F.aggregate(F.when(~few, F.sequence(F.lit(1).cast("bigint"), far)).otherwise(none), one, down, lambda acc: acc["total"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(few, up).otherwise(largest * below)))
 
 
 def gate(pairs: DataFrame, by: str, key_old: str, key_new: str, protected: list[str], p_fail: float = 0.2, net_warn: int = 5) -> DataFrame:

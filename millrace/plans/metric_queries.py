@@ -62,7 +62,7 @@ p AS (SELECT *, CASE WHEN loss + win = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(l
 SELECT task, kept::BIGINT AS kept, loss::BIGINT AS loss, win::BIGINT AS win, round(p, 6) AS p, CASE WHEN (task LIKE 'task1%' OR task LIKE 'task2%') AND loss > win AND p < 0.2 THEN 'FAIL' WHEN (task LIKE 'task1%' OR task LIKE 'task2%') AND loss - win >= 5 THEN 'warn' ELSE 'ok' END AS verdict FROM p""")
 def mcnemar_gate(spark: SparkSession, d: str) -> DataFrame:
     q, k = F.col("l_quantity"), F.col("l_suppkey")
-    pairs = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.concat(F.lit("task"), (k % 50).cast("string")).alias("task"), (q > 25).alias("old"), (q + F.col("l_linenumber") * (k % 5 - 2) > 25).alias("new"))
+    pairs = table(spark, d, "lineitem").select(F.concat(F.lit("task"), (k % 50).cast("string")).alias("task"), (q > 25).alias("old"), (q + F.col("l_linenumber") * (k % 5 - 2) > 25).alias("new"))
     return M.gate(pairs, "task", "old", "new", ["task1", "task2"]).withColumn("p", F.round("p", 6))
 
 

@@ -1,8 +1,13 @@
 """Queries that must use the whole of their tables, against plain forms of the whole job."""
 
+import math
+from fractions import Fraction
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.operators import metrics as M
 from millrace.plans import catalog
 
 from test_queries import rows
@@ -70,3 +75,22 @@ def test_every_error_is_a_case(spark, small, name):
     want = whole(small, name, " AND event_id % 25 = 0")
     assert (want["case"] % 25 != 0).any()
     assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(want)
+
+
+@pytest.mark.parametrize(("name", "cut"), [("mcnemar_gate", " WHERE l_orderkey % 10 = 0"), ("regression_gate", " WHERE l_orderkey % 20 = 0")])
+def test_gates_of_all_orders(spark, small, name, cut):
+    assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(whole(small, name, cut))
+
+
+def test_mcnemar_of_large_counts(spark):
+    counts = [(5, 0), (1000, 1100), (1001, 1100), (3000, 3100), (40, 9000), (4999, 5000), (20_100, 19_900)]
+    got = spark.createDataFrame(counts, "loss bigint, win bigint").select("loss", "win", M.mcnemar(F.col("loss"), F.col("win")).alias("p")).collect()
+    for r in got:
+        n, k = r.loss + r.win, min(r.loss, r.win)
+        tail = term = 1
+        for i in range(1, k + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        assert r.p == pytest.approx(min(1.0, float(Fraction(2 * tail, 2**n))), rel=1e-9, abs=0)
+    huge = spark.createDataFrame([(3_000_000_000, 3_000_100_000)], "loss bigint, win bigint").select(M.mcnemar(F.col("loss"), F.col("win")).alias("p")).first().p
+    assert huge == pytest.approx(math.erfc((100_000 - 1) / math.sqrt(2 * 6_000_100_000)), rel=1e-4)
