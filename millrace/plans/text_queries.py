@@ -178,7 +178,7 @@ q AS (SELECT item_id, list_filter(list_sort(list_distinct(regexp_extract_all(low
 SELECT item_id, doc_id FROM q, w WHERE len(q) > 0 AND 2 * len(list_intersect(q, t)) >= len(q)""")
 def search_relevance(spark: SparkSession, d: str) -> DataFrame:
     """At least half of a question's content words are in the document; a question's words find the documents."""
-    q = table(spark, d, "benchmark").filter("item_id < 10").select("item_id", F.filter(F.slice(F.array_sort(T.letters("text")), 1, 6), lambda x: F.length(x) > 2).alias("q"))
+    q = table(spark, d, "benchmark").select("item_id", F.filter(T.letters("text"), lambda x: F.length(x) > 2).alias("q"))
     w = table(spark, d, "documents").select("doc_id", F.explode(T.letters("text")).alias("word"))
     each = q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("word")).join(w, "word")
     return each.groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("k")).filter("2 * k >= n").select("item_id", "doc_id")

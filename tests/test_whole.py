@@ -1,6 +1,7 @@
 """Queries that must use the whole of their tables, against plain forms of the whole job."""
 
 import math
+import re
 from fractions import Fraction
 
 import duckdb
@@ -94,3 +95,13 @@ def test_mcnemar_of_large_counts(spark):
         assert r.p == pytest.approx(min(1.0, float(Fraction(2 * tail, 2**n))), rel=1e-9, abs=0)
     huge = spark.createDataFrame([(3_000_000_000, 3_000_100_000)], "loss bigint, win bigint").select(M.mcnemar(F.col("loss"), F.col("win")).alias("p")).first().p
     assert huge == pytest.approx(math.erfc((100_000 - 1) / math.sqrt(2 * 6_000_100_000)), rel=1e-4)
+
+
+def test_search_relevance_of_all_questions_and_words(spark, made):
+    questions = [(3, "aa bb cc apple"), (10, "alpha beta gamma delta epsilon zeta theta omega kappa sigma"), (250, "Zebra zebra yak, ox"), (300, "a b")]
+    texts = [(1, "alpha beta delta epsilon gamma"), (2, "alpha beta delta epsilon"), (3, "theta omega kappa sigma zeta"), (4, "yak apple"), (5, "nothing"), (6, None)]
+    d = made(benchmark=(questions, "item_id bigint, text string"), documents=(texts, "doc_id bigint, text string"))
+    of = lambda t: set(re.findall("[a-z]+", (t or "").lower()))
+    want = [(i, k) for i, q in questions for k, t in texts if (w := {x for x in of(q) if len(x) > 2}) and 2 * len(w & of(t)) >= len(w)]
+    assert (10, 3) in want and (10, 2) not in want and (250, 4) in want
+    assert got(spark, "search_relevance", d) == want
