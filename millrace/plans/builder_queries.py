@@ -18,7 +18,7 @@ LANGUAGES = ("en", "de", "fr", "es")
 
 def _language_questions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return B.choices(docs, "lang", F.col("doc_id"), R.json_text(F.substring("text", 1, 200)), "Which language?", B.options(F.array(*map(F.lit, LANGUAGES))), F.col("lang"))
+    return B.choices(docs, "lang", F.col("doc_id"), R.json_text(F.col("text")), "Which language?", B.options(F.array(*map(F.lit, LANGUAGES))), F.col("lang"))
 
 
 @C.query("SELECT 'lang:' || doc_id AS record_id, lang AS gold FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')")

@@ -18,7 +18,9 @@ def training_mix(questions: DataFrame, suite: DataFrame, teacher: DataFrame, quo
     """Labelled examples of questions (record_id, source, state, qkey, kind, instructions, criteria, gold) that share nothing with
     the suite (item_id, text): quotas by source prefix, classes in turn, options shuffled, the teacher's distributions by label,
     prompts rendered."""
-    texts = questions.select("record_id", F.concat_ws(" ", "state", "instructions").alias("text"))
+    # A state that is a JSON string is compared as its text, and ends before the instructions: marks and line ends part segments.
+    state = F.when(F.col("state").startswith('"'), F.coalesce(F.get_json_object("state", "$"), "state")).otherwise(F.col("state"))
+    texts = questions.select("record_id", F.concat_ws("\n", state, "instructions").alias("text"))
     dirty = X.verdicts(texts, suite, key="record_id").select("record_id")
     clean = questions.join(dirty, "record_id", "left_anti").withColumn("bucket", S.first_bucket(F.col("source"), list(quotas)))
     quota: Column = F.lit(0)

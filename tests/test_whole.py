@@ -1,5 +1,6 @@
 """Queries that must use the whole of their tables, against plain forms of the whole job."""
 
+import json
 import math
 import re
 from fractions import Fraction
@@ -105,3 +106,23 @@ def test_search_relevance_of_all_questions_and_words(spark, made):
     want = [(i, k) for i, q in questions for k, t in texts if (w := {x for x in of(q) if len(x) > 2}) and 2 * len(w & of(t)) >= len(w)]
     assert (10, 3) in want and (10, 2) not in want and (250, 4) in want
     assert got(spark, "search_relevance", d) == want
+
+
+def test_training_mix_compares_and_keeps_whole_texts(spark, made):
+    filler = "\n".join(f"line {i} of many that nobody else has written, number {i * 7}." for i in range(8))
+    passages = ["the red fox swam over nine quiet rivers", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"]
+    texts = [filler, f"{filler}\n{passages[0]}\n{filler}", f"{filler} {passages[0]}", f"{filler}\n{passages[0]}", f"say\t\"{passages[0]}\"", passages[1].replace(" six", "; six") + " a b c", f"{filler}\nthe red fox swam over nine"]
+    langs = ["en", "de", "fr", "es", "en", "de", "fr"]
+    d = made(documents=([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs, strict=True))], "doc_id bigint, text string, lang string"), benchmark=(list(enumerate(passages)), "item_id bigint, text string"))
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    segments = lambda t: {tuple(w) for x in re.split(r"[.?!:;\n]+", t) if len(w := words(x)) >= 5}
+    grams = lambda t: [tuple(w[i : i + 13]) for w in [words(t)] for i in range(len(w) - 12)]
+    asked = "Which language?"
+    seg, gram = {x for p in passages for x in segments(p)}, {x for p in passages for x in grams(p)}
+    dirty = {i for i, t in enumerate(texts) if segments(t) & seg or ((g := grams(f"{t}\n{asked}")) and sum(x in gram for x in g) / len(g) >= 0.2)}
+    assert dirty == {1, 2, 3, 5}
+    prompts = {}
+    for r in catalog.QUERIES["training_mix"](spark, d).collect():
+        prompts.setdefault(int(r.id.split("#")[0].split(":")[1]), set()).add(r.prompt)
+    assert set(prompts) == set(range(len(texts))) - dirty
+    assert all(json.loads(p)["state"] == texts[i] for i, ps in prompts.items() for p in ps)
