@@ -1,16 +1,20 @@
 """URL filters by association rules: FP-growth mines combinations of URL tokens that go with bad labels; rules pruned by
-support, confidence and lift match URLs by an inverted index. Hand-written rules on host and path come before them.
+support, confidence, lift and chance match URLs by an inverted index. Hand-written rules on host and path come before them.
+
+Support is a number of pages, the same whatever the corpus. Only bad pages are mined; how many labelled pages have a rule's
+tokens is counted through the index.
 
 A rule stands in the index under its rarest token; a URL meets only the rules under one of its own tokens and is checked for
 the others. Verdicts are found once for each distinct URL.
 
 Defined cases: a URL that is null or without `://` has an empty host and path and no tokens, so it is allowed; labels that
-are null say nothing; a page with several labels is bad if one says so; repeated rows get a row each; without bad labels
-there are no mined rules; an empty table gives no rows; other columns are ignored.
+are null say nothing; a page with several labels is bad if one says so; repeated rows get a row each; without bad labels, or
+with no others, there are no mined rules; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -19,9 +23,10 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path): the host and all its subdomains, with paths that start so.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: A rule needs this share of the labelled pages, and at least so many, bad and with its tokens.
-SUPPORT, LEAST, CONFIDENCE, LIFT = 0.005, 25, 0.7, 2.0
-BAD = "label=bad"
+#: A rule needs so many bad pages with its tokens, a share of bad ones among the pages with its tokens that is CONFIDENCE or more
+#: and LIFT times that of all labelled pages (or has the others' share divided by LIFT, where that asks for less), and a chance
+#: of such a share below CHANCE.
+LEAST, CONFIDENCE, LIFT, CHANCE = 5, 0.7, 2.0, 1e-3
 
 
 def host(url: Column) -> Column:
@@ -44,31 +49,43 @@ def tokens(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), parts).otherwise(F.array().cast("array<string>"))
 
 
-def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def _fewest(least: int, chance: float, base: float) -> int:
+    """Bad pages that a rule needs: if all its pages are bad, chance gives that with base to the power of their number."""
+    return max(least, math.ceil(math.log(chance) / math.log(base) - 1e-9))
+
+
+def mined(pages: DataFrame, labels: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, chance: float = CHANCE) -> DataFrame:
     """Rules: items (sorted), anchor (the rarest item), support, confidence."""
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad")).filter("bad is not null")
-    rows = pages.select("page_id", tokens(F.col("url")).alias("tokens")).join(bad, "page_id").filter(F.size("tokens") > 0)
-    rows = rows.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad").persist()
+    rows = pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad").persist()
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
-    if not total.bad:
+    if total.bad in (0, total.n):
         rows.unpersist()
         return pages.sparkSession.createDataFrame([], "items array<string>, anchor string, support double, confidence double")
-    least = min(1.0, max(support, LEAST / total.n))
-    sets = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(rows).freqItemsets
-    sets = sets.select(F.array_sort("items").alias("items"), "freq")
-    with_bad = sets.filter(F.array_contains("items", BAD)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("both")).filter(F.size("items") > 0)
-    single = sets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), F.col("freq").alias("item_freq"))
-    share = F.col("both") / F.col("freq")
-    rules = sets.join(with_bad, "items").filter((share >= confidence) & (share >= lift * total.bad / total.n))
-    each = rules.select("items", "both", share.alias("confidence"), F.explode("items").alias("item")).join(single, "item")
-    out = each.groupBy("items", "both", "confidence").agg(F.min(F.struct("item_freq", "item"))["item"].alias("anchor"))
-    return out.select("items", "anchor", (F.col("both") / total.n).alias("support"), "confidence")
-
-
-def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+    base = total.bad / total.n
+    # Half a page less, so that rounding can't ask for one more.
+    support = min(1.0, (_fewest(least, chance, base) - 0.5) / total.bad)
+    sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows.filter("bad = 1")).freqItemsets
+    sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("both")).filter(F.col("both") >= least)
+    single = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("item_freq"))
+    each = sets.select("items", "both", F.explode("items").alias("item")).join(single, "item")
+    sets = each.groupBy("items", "both").agg(F.min(F.struct("item_freq", "item"))["item"].alias("anchor"))
+    # Pages with the same tokens and label count as one row.
+    kinds = rows.groupBy(F.array_sort("items").alias("have"), "bad").agg(F.count("*").alias("k"))
+    good = kinds.filter("bad = 0").select("have", "k", F.explode("have").alias("anchor")).join(sets, "anchor").filter(F.size(F.array_except("items", "have")) == 0)
+    good = good.groupBy("items").agg(F.sum("k").alias("good"))
+    rules = sets.join(good, "items", "left").withColumn("freq", F.col("both") + F.coalesce("good", F.lit(0)))
+    share, raised = F.col("both") / F.col("freq"), min(lift * base, 1 - (1 - base) / lift)
+    # Chernoff's bound of the binomial tail; with no good pages it is the tail itself.
+    apart = F.col("both") * F.log(share / base) + F.when(F.col("freq") > F.col("both"), (F.col("freq") - F.col("both")) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    rules = rules.filter((share >= confidence) & (share >= raised) & (share > base) & (apart >= -math.log(chance) - 1e-9))
+    return rules.select("items", "anchor", (F.col("both") / total.n).alias("support"), share.alias("confidence"))
+
+
+def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, chance: float = CHANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of pages (page_id, url)."""
     pages = pages.select("page_id", "url")
-    found = mined(pages, labels, support, confidence, lift)
+    found = mined(pages, labels, least, confidence, lift, chance)
     urls = pages.filter("url is not null").select("url").distinct().select("url", tokens(F.col("url")).alias("tokens"))
     met = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(found, "anchor").filter(F.size(F.array_except("items", "tokens")) == 0)
     blocked = met.groupBy("url").agg(F.max("confidence").alias("confidence"))

@@ -181,6 +181,26 @@ def test_url_mining(spark):
         assert rule.support == pytest.approx(len(bad) / 600) and rule.confidence == pytest.approx(len(bad) / len(have)) and len(bad) >= url_rules.LEAST
 
 
+def mining(spark, rows):
+    """(host, bad) rows as pages and labels."""
+    pages = spark.createDataFrame([(i, f"http://{h}/p/{i}") for i, (h, _) in enumerate(rows)], "page_id bigint, url string")
+    return pages, spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)], "doc_id bigint, quality int, toxic int")
+
+
+def test_url_mining_of_a_small_share(spark):
+    """A host of six pages, all bad, is mined among some hundred pages and among many; two bad pages are too few."""
+    for n in (200, 6000):
+        pages, labels = mining(spark, [("farm.test", True)] * 6 + [("few.test", True)] * 2 + [(f"h{i % 40}.test", i % 5 == 0) for i in range(n)])
+        blocked = {r.host for r in url_rules.verdicts(pages, labels).collect() if r.verdict == "block"}
+        assert "farm.test" in blocked and "few.test" not in blocked and ("h1.test" not in blocked)
+
+
+def test_url_mining_where_most_are_bad(spark):
+    pages, labels = mining(spark, [("farm.test", True)] * 100 + [(f"h{i % 9}.test", i % 10 < 6) for i in range(900)])
+    rules = {tuple(r["items"]): r.confidence for r in url_rules.mined(pages, labels).collect()}
+    assert rules[("host=farm",)] == 1 and not any(x.startswith("host=h") for items in rules for x in items)
+
+
 # 5
 
 
