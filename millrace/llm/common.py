@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,15 @@ def id_back(name: str = "doc_id") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where it is unset, as in tests, a new temporary one."""
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a new temporary one under a local master, where it
+    is shared by nature. On a cluster such a folder would be one machine's own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -61,9 +65,13 @@ def small_batches(spark: SparkSession) -> None:
 class Scratch:
     """Written tables that cut lineage. They survive lost executors, being in the shared folder."""
 
+    #: Folders of this process, until `clear`.
+    roots: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root, self.n = spark, f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        Scratch.roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -75,10 +83,20 @@ class Scratch:
 
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, [df.scratch_path for df in dfs])
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        """Delete all tables of this process: for callers who have written the results that read them."""
+        _delete(spark, cls.roots)
+        cls.roots.clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for found in paths:
+        path = jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def collected(df: DataFrame) -> pd.DataFrame:

@@ -6,17 +6,21 @@ are one group; groups that share a prefix shingle are candidates, filtered by si
 to their member sets and verified on whole sets.
 
 How it stays in bounds:
-* Equal sets are one node; copies never meet in pairs.
+* Equal sets are one node, whatever their ids; copies never meet in pairs. A node's number is its own; ids only name the
+  components at the end.
+* Arrays of hashes are cut into ranges by the volume of the text, so a task's share is the same at every size.
 * The most frequent shingles, at most HOT of them by an exact count over all documents, come last in the order. Any order
   gives the same links; this one keeps shared passages out of prefixes.
 * Prefix shingles are sent as packed arrays by hash range, and only those that two groups share come back as rows.
 * In each list of a shared shingle all members are verified against the most central one (the one with the fewest rarer
-  shingles). What that links is one component, and only pairs across components are then made from the list. No link between
-  different texts is lost for components; links inside a component needn't all be found.
+  shingles). What that links is one component, and only pairs across components are then made from the list, of sizes that
+  can match, the smaller set by its index prefix (n - ceil(2 * 0.8 n / 1.8) + 1 shingles). No link between different texts is
+  lost for components; links inside a component needn't all be found.
 
 Defined cases: a null text, or one without words, has n_shingles 0 and is its own component; a text of fewer than 5 words has
-one shingle, the whole; repeated rows are one node; a null doc_id comes after all others and is null in the result; an empty
-table gives no rows; other columns are ignored.
+one shingle, the whole; rows are documents each, so rows without an id, or with one id and different texts, are linked by their
+texts alone; a null doc_id comes after all others, and a component without any other is null in the result; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from .common import Scratch, collected, id_back, mix, numbers, partitions, shing
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
-#: Hashes that a task holds before it sends them; candidate pairs that are sent to all tasks (16 bytes each) rather than joined.
-FLUSH, FEW_PAIRS = 1_500_000, 2_000_000
-#: Dropped ids that are sent to all tasks (some 20 bytes each) rather than joined.
+#: Hashes that a task holds before it sends them; candidate pairs that are sent to all tasks (64 bytes each) rather than joined.
+FLUSH, FEW_PAIRS = 1_500_000, 1_000_000
+#: Hashes in a range, about; what one task holds when it gathers them.
+RANGE = 4_000_000
+#: Dropped rows' keys that are sent to all tasks (some 30 bytes each) rather than joined.
 FEW_IDS = 1_000_000
 _SHIFT = np.uint64(24)  # tokens are 40 bits of a shingle's hash; sets are verified on 48
 
@@ -71,6 +77,17 @@ def _ranges(tokens: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(tokens, np.array(edges, np.uint64))
 
 
+def ranges_of(spark, n_hashes: int) -> int:
+    """Ranges that so many hashes are cut into."""
+    return max(2 * partitions(spark), -(-n_hashes // RANGE))
+
+
+def by_range(sent: DataFrame, n_ranges: int):
+    """Grouped by range, in as many partitions as the ranges need."""
+    few = partitions(sent.sparkSession)
+    return (sent.repartition(n_ranges // 2, "range") if n_ranges > 2 * few else sent).groupBy("range")
+
+
 def _count_map(n_ranges: int):
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)
@@ -123,9 +140,10 @@ def _count_reduce(least: int):
 def frequent(docs: DataFrame, scratch: Scratch, most: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingle tokens over all documents, `most` at most: tokens in order, and their ranks by rising count."""
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
+    # A shingle for about 6 bytes of text.
+    n = ranges_of(spark, (docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // 6)
     sent = docs.select("text").mapInArrow(_count_map(n), "range int, first bigint, gaps binary, width int, many binary, n binary")
-    counts = scratch.keep(sent.groupBy("range").applyInPandas(_count_reduce(least), "token bigint, df bigint"))
+    counts = scratch.keep(by_range(sent, n).applyInPandas(_count_reduce(least), "token bigint, df bigint"))
     # Counts from 2^16 on are told apart by their power of two only; the list of counts stays small.
     level = F.when(F.col("df") < 65536, F.col("df")).otherwise(F.floor(F.log2("df")).cast("long") * 65536)
     by = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -152,10 +170,11 @@ def _prefixes(hot, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks = hot.value
         for batch in batches:
-            ids = numbers(batch, "doc_id")
-            out = {k: [] for k in ("doc_id", "n", "f1", "f2", "g", "prefix", "cold")}
+            ids, keys = numbers(batch, "doc_id"), numbers(batch, "h")
+            out = {k: [] for k in ("doc_id", "h", "n", "f1", "f2", "g", "prefix", "cold")}
             for row, own in document_sets(batch):
                 out["doc_id"].append(ids[row])
+                out["h"].append(keys[row])
                 out["n"].append(len(own))
                 if not len(own):
                     for k, x in (("f1", 0), ("f2", 0), ("g", 0), ("prefix", b""), ("cold", 0)):
@@ -175,14 +194,15 @@ def _prefixes(hot, percent: int):
                 out["g"].append(int(mix(prefix + (np.arange(len(prefix), dtype=np.uint64) << np.uint64(40))).sum(dtype=np.uint64).view(np.int64)))
                 out["prefix"].append(prefix.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
                 out["cold"].append(min(cold, len(prefix)))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
 
 
-_ROWS = "doc_id bigint, n int, f1 bigint, f2 bigint, g bigint, prefix binary, cold int"
+_ROWS = "doc_id bigint, h bigint, n int, f1 bigint, f2 bigint, g bigint, prefix binary, cold int"
 _LISTS = "token bigint, node bigint, n int, pos int"
+_SETS = "key bigint, id bigint, own binary"
 
 
 @tidy
@@ -265,19 +285,21 @@ def _set_bytes(own: np.ndarray) -> bytes:
     return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def _sets_for(pairs):
-    """pairs.value: sorted ids and for each the key to send its set by."""
+def _sets_for(wanted):
+    """wanted.value: of rows (h sorted, doc_id) the node and the keys to send its set by."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys = pairs.value
+        hashes, ids, nodes, keys = wanted.value
         for batch in batches:
-            docs = numbers(batch, "doc_id")
-            lo, hi = np.searchsorted(ids, docs), np.searchsorted(ids, docs, "right")
+            docs, h = numbers(batch, "doc_id"), numbers(batch, "h")
+            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
             out = []
-            for row, own in document_sets(batch, np.flatnonzero(hi > lo)):
+            # Copies of a text share its hash; the set is sent for the one whose id is wanted.
+            hits = {r: k for r in np.flatnonzero(hi > lo).tolist() if len(k := lo[r] + np.flatnonzero(ids[lo[r] : hi[r]] == docs[r]))}
+            for row, own in document_sets(batch, np.array(list(hits), np.int64)):
                 raw = _set_bytes(own)
-                out += [(int(k), int(docs[row]), raw) for k in keys[lo[row] : hi[row]]]
+                out += [(int(keys[k]), int(nodes[k]), raw) for k in hits[row].tolist()]
                 if len(out) > 2000:
                     yield _set_rows(out)
                     out = []
@@ -295,8 +317,8 @@ def _set_rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 @tidy
 def _sets_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, keys = numbers(batch, "doc_id"), numbers(batch, "key")
-        out = [(int(keys[row]), int(docs[row]), _set_bytes(own)) for row, own in document_sets(batch)]
+        nodes, keys = numbers(batch, "id"), numbers(batch, "key")
+        out = [(int(keys[row]), int(nodes[row]), _set_bytes(own)) for row, own in document_sets(batch)]
         if out:
             yield _set_rows(out)
 
@@ -320,37 +342,66 @@ def _overlap(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. docs: one row for each id that occurs."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n_pairs: int, repeated: bool, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough. docs: doc_id, h, text; nodes: node and the doc_id and h of
+    a row that has its set; repeated: whether rows of one doc_id and text occur."""
     spark = docs.sparkSession
 
     def sets(wanted: DataFrame) -> DataFrame:
-        """key, id, own for each row (id, key) wanted."""
+        """key, id, own for each (id, key) wanted, once."""
+        wanted = wanted.join(nodes.select(F.col("node").alias("id"), "doc_id", "h"), "id")
         if n_pairs <= FEW_PAIRS:
-            rows = collected(wanted).sort_values("id")
-            return docs.mapInArrow(_sets_for(spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["key"].to_numpy()))), "key bigint, id bigint, own binary")
-        return docs.join(wanted, docs["doc_id"] == wanted["id"]).select("doc_id", "key", "text").mapInArrow(_sets_joined, "key bigint, id bigint, own binary")
+            rows = collected(wanted).sort_values("h")
+            value = spark.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("h", "doc_id", "id", "key")))
+            out = docs.mapInArrow(_sets_for(value), _SETS)
+        else:
+            out = docs.join(wanted, ["doc_id", "h"]).select("id", "key", "text").mapInArrow(_sets_joined, _SETS)
+        return out.groupBy("key", "id").agg(F.first("own").alias("own")) if repeated else out
 
     left = sets(pairs.select(F.col("a").alias("id"), F.col("a").alias("key")).distinct()).select(F.col("key").alias("a"), F.col("own").alias("left"))
     right = sets(pairs.select(F.col("b").alias("id"), F.col("a").alias("key"))).select(F.col("key").alias("a"), F.col("id").alias("b"), F.col("own").alias("right"))
     return left.hint("merge").join(right, "a").select("a", "b", "left", "right").mapInArrow(_overlap(percent), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id of documents (doc_id, text)."""
+def _across(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of list entries (token, node, n, pos, comp) of different components that size and position allow. The smaller
+    set of a pair stands in its index prefix, and sizes meet by their logarithm, so lists don't meet in full."""
+    both = 100 + percent
+    place = F.log("n") / float(np.log(100 / percent)) if percent < 100 else F.log("n") * 1e9
+    entry = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "comp")]
+    small = open_.filter(F.expr(f"pos <= n - ({2 * percent} * n + {both - 1}) div {both}"))
+    x = small.select("token", *entry("x"), F.explode(F.sequence(F.floor(place - 1e-6), F.floor(place + 1 + 1e-6))).alias("size"))
+    y = open_.select("token", *entry("y"), F.floor(place).alias("size"))
+    first = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xnode") < F.col("ynode")))
+    met = x.join(y, ["token", "size"]).filter(first & (F.col("xcomp") != F.col("ycomp")) & _possible("x", "y", percent))
+    return met.groupBy(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).agg(F.count("*").alias("k")).select("a", "b")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text; rows of equal doc_id and h are one document repeated."""
+    return docs.select(with_id(), F.xxhash64("text").alias("h"), "text")
+
+
+def labelled(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, bool]:
+    """doc_id, h, n_shingles, comp (a number for each component, null without words), component_id, and whether some rows are
+    repeated, of documents (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(with_id(), "text")
+    docs = _keyed(docs)
     scratch = Scratch(spark, "jaccard")
     listed = spark.sparkContext.broadcast(frequent(docs, scratch, hot))
     rows = scratch.keep(docs.mapInArrow(_prefixes(listed, percent), _ROWS))
     some = rows.filter("n > 0")
-    nodes = scratch.keep(some.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("g").alias("g")))
-    groups = some.groupBy("n", "g").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"), F.first("cold").alias("cold"))
-    cold = groups.mapInArrow(_cold_map(2 * partitions(spark)), _BLOBS).groupBy("range").applyInPandas(_cold_reduce, _LISTS)
+    repeated = not some.groupBy("doc_id", "h").agg(F.count("*").alias("k")).filter("k > 1").isEmpty()
+    nodes = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.min("g").alias("g"))
+    nodes = scratch.keep(nodes.select("n", "f1", "f2", "g", "rep.doc_id", "rep.h", F.monotonically_increasing_id().alias("node")))
+    # Groups by prefix and size; one of several different sets is expanded to these, and is a list of its own too.
+    numbered = nodes.groupBy("n", "g").agg(F.min("node").alias("gid"), F.count("*").alias("k"))
+    groups = some.groupBy("n", "g").agg(F.first("prefix").alias("prefix"), F.first("cold").alias("cold")).hint("merge").join(numbered, ["n", "g"])
+    n_cold = rows.agg(F.sum(F.col("cold").cast("long")).alias("n")).first().n or 0
+    n_ranges = ranges_of(spark, n_cold)
+    cold = by_range(groups.mapInArrow(_cold_map(n_ranges), _BLOBS), n_ranges).applyInPandas(_cold_reduce, _LISTS)
     lists = scratch.keep(groups.mapInArrow(_hot_lists, _LISTS).unionByName(cold))
-    # Groups of several different sets are expanded to these; a group is a list of its own too.
-    several = nodes.groupBy("n", "g").agg(F.min("node").alias("gid"), F.count("*").alias("k")).filter("k > 1")
-    members = scratch.keep(nodes.join(several, ["n", "g"]).select("gid", "node", "n"))
+    members = scratch.keep(nodes.join(numbered.filter("k > 1"), ["n", "g"]).select("gid", "node", "n"))
     if not members.isEmpty():
         each = members.select("gid", F.col("node").alias("member"))
         wide = lists.join(each, lists["node"] == each["gid"], "left").select("token", F.coalesce("member", "node").alias("node"), "n", "pos")
@@ -360,34 +411,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) ->
     center = lists.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     star = lists.join(center.select("token", F.col("c.pos").alias("cpos"), F.col("c.node").alias("cnode"), F.col("c.n").alias("cn")), "token").filter((F.col("node") != F.col("cnode")) & _possible("", "c", percent))
     pairs = scratch.keep(star.groupBy(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).agg(F.count("*").alias("k")).select("a", "b"))
-    links = scratch.keep(verified(docs, pairs, pairs.count(), percent))
+    links = scratch.keep(verified(docs, nodes, pairs, pairs.count(), repeated, percent))
     found = components(links, scratch)
     # Then, pairs across components only.
     at = lists.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     open_ = scratch.keep(at.join(mixed, "token", "left_semi"))
-    x, y = (open_.select("token", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "comp"))) for s in "xy")
-    across = x.join(y, "token").filter((F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & _possible("x", "y", percent))
-    across = across.groupBy(F.col("xnode").alias("a"), F.col("ynode").alias("b")).agg(F.count("*").alias("k")).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = scratch.keep(across)
+    more = scratch.keep(_across(open_, percent).join(pairs, ["a", "b"], "left_anti"))
     n_more = more.count()
     if n_more:
-        links = scratch.keep(links.unionByName(verified(docs, more, n_more, percent)))
+        links = scratch.keep(links.unionByName(verified(docs, nodes, more, n_more, repeated, percent)))
         found = components(links, scratch)
-    of_set = nodes.join(found, "node", "left").select("n", "f1", "f2", F.coalesce("comp", "node").alias("component_id"))
-    out = rows.select("doc_id", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"], "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    scratch.drop(lists, open_, more, pairs, members)
+    names = found.join(nodes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    of_set = nodes.join(found.join(names, "comp"), "node", "left").select("n", "f1", "f2", F.coalesce("comp", "node").alias("comp"), F.coalesce("name", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "h", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"], "left")
+    return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "comp", F.coalesce("component_id", "doc_id").alias("component_id")), repeated
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents (doc_id, text)."""
+    out, _ = labelled(docs, percent, hot)
     return out.select(id_back(), "n_shingles", id_back("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """The documents, with all their columns, without those whose component has a smaller doc_id; of rows with equal doc_id, one. Rows
-    without an id stay."""
-    found = near_duplicates(docs, percent, hot)
-    stay = Scratch(docs.sparkSession, "jaccard-keep").keep(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    away = stay.filter("component_id < doc_id").select("doc_id")
+    """The documents, with all their columns, one row of each component: the smallest doc_id's, no id coming last; of equal ids
+    the one whose text has the smaller hash; of repeated rows the first by its JSON. Rows without words stay."""
+    found, repeated = labelled(docs, percent, hot)
+    scratch = Scratch(docs.sparkSession, "jaccard-keep")
+    found = scratch.keep(found.filter("comp is not null").select("doc_id", "h", "comp"))
+    best = found.groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.count("*").alias("k")).filter("k > 1")
+    away = found.join(best, "comp").filter(F.struct("doc_id", "h") != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    away = scratch.keep(away)
     few = away.count() <= FEW_IDS
-    out = docs.join(F.broadcast(away) if few else away, "doc_id", "left_anti").select(*docs.columns)
-    if not stay.filter("n > 1 and doc_id is not null").isEmpty():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    out = docs.select(*docs.columns, with_id().alias("__id"), F.xxhash64("text").alias("__h"))
+    out = out.join(F.broadcast(away) if few else away, ["__id", "__h"], "left_anti")
+    if repeated:
+        again = found.groupBy("doc_id", "h").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+        again = scratch.keep(again)
+        few = again.count() <= FEW_IDS
+        again = F.broadcast(again) if few else again
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        once = out.join(again, ["__id", "__h"], "left_semi").groupBy("__id", "__h").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        return out.join(again, ["__id", "__h"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return out.select(*docs.columns)
