@@ -1,13 +1,18 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks of text at block-level tags. First pass: blocks in menus, footers, forms, adverts, comments and so
-on are bad; the others are good, bad, near or short by stop-word density, length and link density, and blocks inside the
-article (an article or main element, or one whose name says so) are never bad for few stop words. Second pass: short and near blocks take the label of the nearest decided
-neighbours, headings that of what follows.
+on are bad by the element that they stand in; the others are good, bad, near or short by stop-word density, length and link
+density. Inside the article (an article or main element, or one whose name says so) few stop words leave a block undecided,
+and links make it bad only where several blocks of them stand in a row. Second pass: short and near blocks take the label of
+the nearest decided neighbours, headings that of what follows.
 
-Defined cases: a null or empty page gives an empty text; unclosed tags, comments and quotes end at the next tag or the end;
-character references are decoded once, after the tags are gone; repeated rows are pages each; an empty table gives no rows;
-other columns are ignored.
+All of it takes time in proportion to the page: open elements carry what is known about them, and neighbours come from one
+sweep in each direction.
+
+Defined cases: a null or empty page gives an empty text; unclosed tags, comments and quotes end at the next tag or the end; of
+raw elements only an unclosed script or style takes the rest of the page; buttons, lists of choices and drawings end at the
+next block; the text of formulas stays; character references are decoded once, after the tags are gone; repeated rows are pages
+each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,15 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math select button canvas audio video noframes xmp".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe noframes".split())
+#: Inline elements whose text is no text of the page: it ends with them, or at the next block.
+SILENT_TAGS = frozenset("annotation annotation-xml audio button canvas object select svg video".split())
+SECTIONS = frozenset("article main nav aside footer form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What ends an open paragraph.
+ITEMS = frozenset("p li dt dd td th tr".split())
+#: Blocks of running text: a link that fills one is part of it.
+PROSE_TAGS = frozenset("p blockquote pre figcaption caption".split()) | HEADINGS
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -52,11 +65,11 @@ STOP_WORDS = frozenset(
     "al como con del desde donde e el ella entre era es esta este ha hay la las lo los más me mi muy no nos o para pero por porque que se ser si sin sobre su "
     "sus también te un una y ya".split()
 )
-SHORT, LONG, MANY_LINKS, FEW_STOPS, MANY_STOPS, HEADING_REACH = 70, 200, 0.2, 0.2, 0.3, 200
+SHORT, LONG, MANY_LINKS, MOST_LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.2, 0.5, 0.2, 0.3
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,21 +98,61 @@ def _marks(raw: str) -> tuple[bool, bool, bool]:
 
 
 class Block:
-    """level: 3 inside an article element, 2 inside a main one, 1 inside one whose name says so, 0 else."""
+    """level: 3 inside an article element, 2 inside a main one, 1 inside one whose name says so, 0 else. named: number of the
+    innermost element with a bad name, 0 for none. prose: whether its own element is one of running text."""
 
-    __slots__ = ("text", "linked", "sure_bad", "named", "level", "article", "heading", "title", "label", "first")
+    __slots__ = ("text", "linked", "sure_bad", "named", "level", "article", "heading", "title", "prose", "label", "first")
 
-    def __init__(self, text: str, linked: int, sure_bad: bool, named: tuple[int, ...], level: int, heading: int):
+    def __init__(self, text: str, linked: int, sure_bad: bool, named: int, level: int, heading: int, prose: bool):
         self.text, self.linked, self.sure_bad, self.named, self.level = text, linked, sure_bad, named, level
-        self.heading, self.title = heading > 0, heading == 1
+        self.heading, self.title, self.prose, self.article = heading > 0, heading == 1, prose, False
+
+
+class Open:
+    """The open elements. Each carries what holds for all that stands in it: (tag, bad for sure, named, level, heading)."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, int, int, int]] = []
+        self.at: dict[str, list[int]] = {}
+        self.sections: list[int] = []
+
+    @property
+    def last(self) -> tuple[str, bool, int, int, int]:
+        return self.items[-1] if self.items else ("", False, 0, 0, 0)
+
+    def push(self, tag: str, sure: bool, named: int, level: int) -> None:
+        _, was_sure, was_named, was_level, was_heading = self.last
+        self.at.setdefault(tag, []).append(len(self.items))
+        if tag in SECTIONS:
+            self.sections.append(len(self.items))
+        self.items.append((tag, was_sure or sure, named or was_named, max(was_level, level), was_heading or (int(tag[1]) if tag in HEADINGS else 0)))
 
+    def pop(self) -> None:
+        tag = self.items.pop()[0]
+        self.at[tag].pop()
+        if tag in SECTIONS:
+            self.sections.pop()
 
-def blocks(page: str) -> list[Block]:
+    def close(self, tag: str) -> None:
+        """Up to the innermost element of the kind; a closing tag doesn't reach out of the section that it stands in."""
+        where = self.at.get(tag)
+        if not where:
+            return
+        beyond = bool(self.sections) and self.sections[-1] > where[-1]
+        if not beyond or tag in SECTIONS or tag in ("body", "html"):
+            for _ in range(len(self.items) - where[-1]):
+                self.pop()
+
+
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks, and for each element with a bad name, numbered from 1, the number of the next one around it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, bad for sure, number of an element with a bad name or 0, level
+    around = [0]
+    stack = Open()
     parts: list[tuple[str, bool]] = []
-    links = named_count = 0
+    links = 0
     silent, depth = "", 0  # an inline element whose text doesn't count, and how deep in elements of its kind
+    endless: set[str] = set()  # raw elements that nothing closes any more
 
     def flush() -> None:
         if not parts:
@@ -107,7 +160,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = len(" ".join(entities.unescape("".join(p for p, link in parts if link)).split()))
-            out.append(Block(text, linked, any(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), max((s[3] for s in stack), default=0), next((int(s[0][1]) for s in stack if re.fullmatch("h[1-6]", s[0])), 0)))
+            tag, sure, named, level, heading = stack.last
+            out.append(Block(text, linked, sure, named, level, heading, tag in PROSE_TAGS))
         parts.clear()
 
     at, end = 0, len(page)
@@ -129,7 +183,8 @@ def blocks(page: str) -> list[Block]:
             continue
         m = _TAG.match(page, lt) or _LOOSE_TAG.match(page, lt)
         if not m:
-            parts.append(("<", links > 0))
+            if not silent:
+                parts.append(("<", links > 0))
             at = lt + 1
             continue
         closing, tag, raw = bool(m[1]), m[2].lower(), m[3]
@@ -137,9 +192,14 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW_TAGS and not closing:
             if tag in BLOCK_TAGS:
                 flush()
-            if not raw.endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}(?=[\s>])", re.I).search(page, at)
-                at = end if over is None else over.end()
+            if not raw.endswith("/") and tag not in endless:
+                over = _CLOSE[tag].search(page, at)
+                if over is not None:
+                    at = over.end()
+                elif tag in ("script", "style"):
+                    at = end
+                else:
+                    endless.add(tag)
             parts.append((" ", links > 0))
             continue
         if tag == "a":
@@ -152,7 +212,7 @@ def blocks(page: str) -> list[Block]:
             if tag == silent:
                 depth += -1 if closing else 1
                 silent = silent if depth else ""
-            elif not silent and not closing and raw and tag not in VOID_TAGS and not raw.endswith("/") and any(_marks(raw)[:2]):
+            elif not silent and not closing and tag not in VOID_TAGS and not raw.endswith("/") and (tag in SILENT_TAGS or (raw and any(_marks(raw)[:2]))):
                 silent, depth = tag, 1
                 parts.append((" ", links > 0))
             continue
@@ -161,60 +221,67 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    # A closing tag doesn't reach out of the section that it stands in.
-                    if not any(s[0] in ("article", "main", "nav", "aside", "footer", "form") for s in stack[k + 1 :]) or tag in ("article", "main", "body", "html", "nav", "aside", "footer", "form"):
-                        del stack[k:]
-                    break
+            stack.close(tag)
             continue
-        if tag == "p" or tag in ("li", "dt", "dd", "td", "th", "tr") or re.fullmatch("h[1-6]", tag):
+        if tag in ITEMS or tag in HEADINGS:
             # These end an open paragraph, and an element of their own kind in the same list or table.
-            while stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag not in ("h1", "h2", "h3", "h4", "h5", "h6"))):
+            while stack.items and (stack.last[0] == "p" or (stack.last[0] == tag and tag not in HEADINGS)):
                 stack.pop()
-        elif stack and stack[-1][0] == "p":
+        elif stack.last[0] == "p":
             stack.pop()
         sure, named, good = _marks(raw) if raw else (False, False, False)
         level = 3 if tag == "article" else 2 if tag == "main" else int(good)
-        sure = sure or tag in BAD_TAGS or (tag == "header" and not any(s[3] > 1 for s in stack))
+        sure = sure or tag in BAD_TAGS or (tag == "header" and stack.last[3] < 2)
         if tag in ("main", "body", "html"):
             sure = named = False
         if named:
-            named_count += 1
-        stack.append((tag, sure, named_count if named else 0, 0 if tag in ("body", "html") else level))
+            around.append(stack.last[2])
+        stack.push(tag, sure, len(around) - 1 if named else 0, 0 if tag in ("body", "html") else level)
     flush()
-    return out
+    return out, around
 
 
-def first_pass(found: list[Block]) -> None:
-    """Labels good, bad, near and short."""
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>|</{tag}(?=[\s>])", re.I) for tag in RAW_TAGS}
+
+
+def outside_frames(found: list[Block], around: list[int]) -> list[bool]:
+    """For each element with a bad name whether it, or one around it, is what its name says. One that holds most of the page and
+    its title, or without titles nearly all, isn't an advert or a menu, whatever its name."""
     total = sum(len(b.text) for b in found if not b.sure_bad) or 1
-    size: dict[int, int] = {}
-    titled: set[int] = set()
+    size, titled = [0] * len(around), [False] * len(around)
     for b in found:
         if not b.sure_bad:
-            for k in b.named:
-                size[k] = size.get(k, 0) + len(b.text)
-            titled.update(b.named if b.title else ())
-    # An element that holds most of the page and its title, or without titles nearly all, isn't an advert or a menu, whatever
-    # its name.
+            size[b.named] += len(b.text)
+            titled[b.named] |= b.title
+    for k in range(len(around) - 1, 0, -1):
+        if around[k]:
+            size[around[k]] += size[k]
+            titled[around[k]] |= titled[k]
     has_title = any(b.title and not b.sure_bad for b in found)
-    frames = {k for k, n in size.items() if (k in titled and n > 0.5 * total if has_title else n > 0.97 * total)}
+    bad = [False] * len(around)
+    for k in range(1, len(around)):
+        frame = size[k] > 0.5 * total and titled[k] if has_title else size[k] > 0.97 * total
+        bad[k] = bad[around[k]] or not frame
+    return bad
+
+
+def first_pass(found: list[Block], around: list[int]) -> None:
+    """Labels good, bad, near and short."""
+    bad_name = outside_frames(found, around)
     for b in found:
-        b.sure_bad = b.sure_bad or any(k not in frames for k in b.named)
+        b.sure_bad = b.sure_bad or bad_name[b.named]
     # The article is what the strongest mark holds, if that is a fair part of what isn't bad.
     rest = sum(len(b.text) for b in found if not b.sure_bad) or 1
     level = next((n for n in (3, 2, 1) if sum(len(b.text) for b in found if not b.sure_bad and b.level >= n) >= 0.3 * rest), 0)
-    has_article = level > 0
     for b in found:
-        b.article = has_article and b.level >= level
+        b.article = level > 0 and b.level >= level and not b.sure_bad
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         density, length = b.linked / len(b.text), len(b.text)
-        if b.sure_bad or (has_article and not b.article):
+        if b.sure_bad or (level > 0 and not b.article):
             label = "bad"
         elif b.article:
-            label = "bad" if density > 0.5 and length < LONG else "short" if length < SHORT else "good" if stops >= FEW_STOPS or length > LONG else "near"
+            label = "links" if density > MOST_LINKS and length < LONG and not b.prose else "short" if length < SHORT or density > MOST_LINKS else "good" if stops >= FEW_STOPS or length > LONG else "near"
         elif density > MANY_LINKS:
             label = "bad"
         elif length < SHORT:
@@ -224,36 +291,48 @@ def first_pass(found: list[Block]) -> None:
         else:
             label = "near" if stops >= FEW_STOPS else "bad"
         b.label = b.first = label
+    # Several blocks of links in a row are a menu; one alone is undecided.
+    row = [b.label == "links" for b in found]
+    for i, b in enumerate(found):
+        if row[i]:
+            b.label = b.first = "bad" if row[max(i - 1, 0) : i + 2].count(True) > 1 else "short"
+
+
+def _decided(firsts: list[str], labels: tuple[str, ...]) -> list[str]:
+    """For each block the nearest label before it that is one of these, edge without one."""
+    out, last = [], "edge"
+    for x in firsts:
+        out.append(last)
+        if x in labels:
+            last = x
+    return out
 
 
 def second_pass(found: list[Block]) -> None:
     """Short and near blocks inherit; a near one that stands by a good one is good."""
     firsts = [b.label for b in found]
-
-    def decided(i: int, step: int, near_counts: bool) -> str:
-        j = i + step
-        while 0 <= j < len(found):
-            if firsts[j] in ("good", "bad") or (near_counts and firsts[j] == "near"):
-                return firsts[j]
-            j += step
-        return "edge"
-
+    some_good = "good" in firsts
+    before, after = (x for x in (_decided(firsts, ("good", "bad")), _decided(firsts[::-1], ("good", "bad"))[::-1]))
+    left, right = (x for x in (_decided(firsts, ("good", "bad", "near")), _decided(firsts[::-1], ("good", "bad", "near"))[::-1]))
+    # Inside the article only its own blocks count.
+    own = [i for i, b in enumerate(found) if b.article]
+    own_firsts = [firsts[i] for i in own]
+    inside = dict(zip(own, zip(_decided(own_firsts, ("good", "bad")), _decided(own_firsts[::-1], ("good", "bad"))[::-1], [*own_firsts, "edge"][1:], strict=True), strict=True))
     for i, b in enumerate(found):
         if b.label not in ("short", "near"):
             continue
-        before, after = decided(i, -1, False), decided(i, 1, False)
         if b.article:
-            # Nothing inside the article but links and named parts is bad, so all neighbours inside it are good or undecided.
-            b.label = "good"
+            # Undecided blocks belong to the article unless menus stand on both sides; headings go with what follows.
+            one, two, following = inside[i]
+            b.label = "bad" if (following == "bad" and not b.title if b.heading else one == two == "bad") else "good"
         elif b.heading:
-            b.label = "good" if after == "good" else "bad"
+            b.label = "good" if after[i] == "good" else "bad"
         elif b.first == "near":
-            b.label = "bad" if before in ("bad", "edge") and after in ("bad", "edge") and "good" in firsts else "good"
-        elif before == after == "good":
+            b.label = "bad" if before[i] in ("bad", "edge") and after[i] in ("bad", "edge") and some_good else "good"
+        elif before[i] == after[i] == "good":
             b.label = "good"
-        elif "good" in (before, after):
-            side = decided(i, -1, True), decided(i, 1, True)
-            b.label = "good" if side[0] in ("near", "good") and side[1] in ("near", "good") else "bad"
+        elif "good" in (before[i], after[i]):
+            b.label = "good" if left[i] in ("near", "good") and right[i] in ("near", "good") else "bad"
         else:
             b.label = "bad"
     if not any(b.label == "good" for b in found):
@@ -264,8 +343,8 @@ def second_pass(found: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    first_pass(found)
+    found, around = blocks(page or "")
+    first_pass(found, around)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 

@@ -461,6 +461,9 @@ PAGES = {
     "inline": ("<article><p>One <span class='ad'>buy <span>this</span></span> two</p><p hidden>no</p><p style='display:none'>no</p></article>", "One two"),
     "around the article": ("<main><div class='promo'>Buy now</div><article><h1>T</h1><p>The text is in here and it is short.</p></article><section><h2>More news</h2><ul><li><a href=a>A thing</a></li></ul></section></main>", "T\nThe text is in here and it is short."),
     "broken": ("<article><p>One <b>two<p>three < four <!-- gone", "One two\nthree < four"),
+    "formulas and buttons": ("<article><p>We have <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E=m</annotation></math> here.<p><button>Go<p>The rest of it.<p><a href=x>A linked sentence of the text.</a><p>End of it.<select><option>A</select> And <svg><text>z</text></svg>more.</article>", "We have E=m here.\nThe rest of it.\nA linked sentence of the text.\nEnd of it. And more."),
+    "links in the article": (f"<article><h1>Head</h1><p>{'It was the best of the times. ' * 9}</p><ul><li>One point</li><li><a href=a>One linked point</a></li><li>Last point</li></ul><h3>More</h3><ul><li><a href=a>First of the links</a></li><li><a href=b>Second of the links</a></li></ul></article>", "Head\n" + ("It was the best of the times. " * 9).strip() + "\nOne point\nOne linked point\nLast point"),
+    "unclosed textarea": ("<article><p>Text of it.</p><textarea><p>More of the text.</p></article>", "Text of it.\nMore of the text."),
     "empty": ("", ""),
     "text only": ("just words", "just words"),
 }
@@ -479,6 +482,142 @@ def test_html_table(spark):
     assert html_blocks.extract(df.limit(0)).count() == 0
 
 
+def test_html_takes_time_in_proportion():
+    import time
+
+    for page in ("<table>" + "<tr><td>cell x</td></tr>" * 100_000 + "</table>", "<div>" * 10_000 + "x" + "</div>" * 10_000, "<div class=ad>" * 10_000 + "<p>y" * 10_000, "<div>" * 10_000 + "</ul>x<textarea>" * 10_000):
+        began = time.process_time()
+        html_blocks.main_text(page)
+        # Beyond 2 seconds only where the machine itself is slow; the plain way would take minutes.
+        assert time.process_time() - began < 6
+
+
+def test_html_blocks_are_those_of_a_plain_parser():
+    """Random pages of closed elements, against the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text, self.linked, self.raw, self.tags, self.links = [], "", "", 0, [], 0
+
+        def cut(self):
+            if words := " ".join(self.text.split()):
+                self.out.append((words, len(" ".join(self.linked.split())), any(t in html_blocks.BAD_TAGS for t in self.tags), "article" in self.tags))
+            self.text = self.linked = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_blocks.BLOCK_TAGS:
+                self.cut()
+                self.tags.append(tag)
+            self.raw += tag in ("script", "style")
+            self.links += tag == "a"
+
+        def handle_endtag(self, tag):
+            if tag in html_blocks.BLOCK_TAGS:
+                self.cut()
+                self.tags.pop()
+            self.raw -= tag in ("script", "style")
+            self.links -= tag == "a"
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text += data
+                self.linked += data if self.links else ""
+
+    rng = np.random.default_rng(4)
+
+    def inline():
+        kind = rng.integers(0, 6)
+        word = f"w{rng.integers(0, 50)} &amp; the of "
+        return word if kind < 3 else f"<b>{word}</b>" if kind == 3 else f"<a href='/x'>{word}</a>" if kind == 4 else "<script>a<b>c</script> "
+
+    def tree(deep):
+        tag = str(rng.choice(["div", "section", "nav", "article", "aside", "blockquote", "ul"]))
+        inner = "".join(tree(deep - 1) if deep and rng.integers(0, 2) else f"<p>{''.join(inline() for _ in range(rng.integers(1, 5)))}</p>" for _ in range(rng.integers(1, 5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(200):
+        page = f"<body>{tree(3)}{tree(2)}</body>"
+        plain = Plain()
+        plain.feed(page)
+        found, _ = html_blocks.blocks(page)
+        assert [(b.text, b.linked, b.sure_bad, b.level == 3) for b in found] == plain.out
+
+
+def plain_labels(found):
+    """The passes by looking along the page from every block. found: (text length, stop words' share, link share, bad for sure,
+    in the article, heading of this level or 0, prose)."""
+    n = len(found)
+    rest = sum(f[0] for f in found if not f[3]) or 1
+    has = sum(f[0] for f in found if not f[3] and f[4]) >= 0.3 * rest
+    inside = [has and f[4] and not f[3] for f in found]
+
+    def first(i):
+        length, stops, links, bad, _, _, prose = found[i]
+        if bad or (has and not inside[i]):
+            return "bad"
+        if inside[i]:
+            if links > 0.5 and length < 200 and not prose:
+                return "links"
+            return "short" if length < 70 or links > 0.5 else "good" if stops >= 0.2 or length > 200 else "near"
+        if links > 0.2 or (length < 70 and links):
+            return "bad"
+        if length < 70:
+            return "short"
+        return ("good" if length > 200 else "near") if stops >= 0.3 else "near" if stops >= 0.2 else "bad"
+
+    raw = [first(i) for i in range(n)]
+    firsts = [x if x != "links" else "bad" if "links" in raw[max(i - 1, 0) : i] + raw[i + 1 : i + 2] else "short" for i, x in enumerate(raw)]
+
+    def look(i, step, kinds, own=False):
+        j = i + step
+        while 0 <= j < n:
+            if firsts[j] in kinds and (not own or inside[j]):
+                return firsts[j]
+            j += step
+        return "edge"
+
+    out = []
+    for i in range(n):
+        x, heading = firsts[i], found[i][5]
+        if x in ("good", "bad"):
+            out.append(x == "good")
+        elif inside[i]:
+            nxt = next((firsts[j] for j in range(i + 1, n) if inside[j]), "edge")
+            out.append(heading == 1 or nxt != "bad" if heading else not look(i, -1, ("good", "bad"), True) == look(i, 1, ("good", "bad"), True) == "bad")
+        else:
+            a, b = look(i, -1, ("good", "bad")), look(i, 1, ("good", "bad"))
+            if heading:
+                out.append(b == "good")
+            elif x == "near":
+                out.append("good" in (a, b) or "good" not in firsts)
+            elif "good" in (a, b):
+                kinds = ("good", "bad", "near")
+                out.append(a == b or (look(i, -1, kinds) in ("near", "good") and look(i, 1, kinds) in ("near", "good")))
+            else:
+                out.append(False)
+    return out if any(out) else [x in ("short", "near") and not f[3] for x, f in zip(firsts, found, strict=True)]
+
+
+def test_html_labels_are_those_of_the_plain_passes():
+    rng = np.random.default_rng(5)
+    seen = Counter()
+    for _ in range(3000):
+        found = []
+        for _ in range(rng.integers(1, 14)):
+            n, stops = int(rng.choice([3, 12, 14, 30, 80])), rng.choice([0, 0.25, 0.5])
+            text = " ".join("the" if rng.random() < stops else "word" for _ in range(n))
+            heading = int(rng.choice([0, 0, 0, 1, 2]))
+            found.append(html_blocks.Block(text, int(len(text) * rng.choice([0, 0, 0, 0.3, 0.8])), bool(rng.random() < 0.1), 0, int(rng.choice([0, 0, 3])), heading, heading > 0 or rng.random() < 0.5))
+        plain = [(len(b.text), b.text.split().count("the") / len(b.text.split()), b.linked / len(b.text), b.sure_bad, b.level == 3, int(b.title) or 2 * b.heading, b.prose) for b in found]
+        html_blocks.first_pass(found, [0])
+        html_blocks.second_pass(found)
+        assert [b.label == "good" for b in found] == plain_labels(plain)
+        seen.update((b.first, b.label, b.article) for b in found)
+    assert len(seen) >= 10
+
+
 def test_html_random_tags_never_fail():
     rng = np.random.default_rng(0)
     bits = ["<", ">", "p", "</p>", "<p>", "<div class='", '"', "'", " x ", "<!--", "-->", "<script>", "</script", "&amp;", "<a href=", "</article>", "<article>", "=", "/", "<br/>", "\n"]
