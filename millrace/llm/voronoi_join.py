@@ -3,12 +3,19 @@ summaries, only data that can still reach a query group's k-th score are copied
 
 Scores are inner products of whole numbers, floor(scale * component). With q = p + a, p the pivot of the query's group and
 |a| <= R: q.x <= p.x + R |x|. A first join of each group with its own data gives every query a k-th score; the lowest of a
-group is what any other data must be able to reach. Pivots come from a bounded sample (SAMPLE vectors, the first by a hash of
-their id); they only affect how much is copied, never the result. Groups are cut into pieces of about CHUNK rows and BLOCK
-queries, so a hot group, or one vector that a third of the rows have, is spread out.
+group is what any other data must be able to reach. Whole data groups are ruled out by their summary, a ball around their pivot
+(x = c + b, |b| <= D: q.x <= p.c + |p| D + R (|c| + D)); rows of the others one by one. There are as many pivots as the square
+root of the number of vectors, up to MOST_PIVOTS; they come from a bounded sample (SAMPLE vectors, the first by a hash of their
+id) and only affect how much is copied, never the result.
+
+Query groups that lie near each other are bundled up to BUNDLE queries, and a row is copied once to a bundle, however many of
+its groups it matters to; the bounds are checked again for each group inside. So a row is copied once for each BUNDLE queries
+at most, where vectors have no structure that bounds could use, and to the few bundles around it where they have. Bundles are
+cut into pieces of about CHUNK rows and BUNDLE queries by row number, so a hot group, or one vector or id that a third of the
+rows have, is spread out.
 
 Defined cases: vectors without an id, and those that are null or hold a null or non-finite component take no part; missing components of shorter
-vectors count as 0; ties go to the smaller id; equal ids are rows each, told apart by nothing, and none is its own answer;
+vectors count as 0; ties go to the smaller id; rows of equal ids are queries and candidates each, and none answers another;
 fewer than k candidates give fewer rows; an empty table gives none; other columns are ignored.
 """
 
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, collected, numbers, tidy
 
-K, PIVOTS, SAMPLE, CHUNK, BLOCK, SCALE = 10, 48, 4096, 512, 512, 1024
+K, SAMPLE, MOST_PIVOTS, CHUNK, BUNDLE, SCALE = 10, 4096, 512, 4096, 2048, 1024
 
 
 def _whole(dim: int, scale: int):
@@ -93,93 +100,162 @@ def _grouped(c: np.ndarray):
     return run
 
 
-def _copies(c: np.ndarray, radius: np.ndarray, floor: np.ndarray):
-    """The rows, for each query group other than their own that they can matter to."""
+def chain(c: np.ndarray, some: list[int]) -> list[int]:
+    """The pivots `some` in an order in which each follows the nearest one before it."""
+    left, out = np.array(some), []
+    at = 0
+    while len(left):
+        out.append(int(left[at]))
+        left = np.delete(left, at)
+        if len(left):
+            at = int(((c[left] - c[out[-1]]) ** 2).sum(1).argmin())
+    return out
+
+
+def bundles(order: list[int], n_queries: dict[int, int], most: int) -> dict[int, int]:
+    """The bundle of each group: neighbours in the order together, up to `most` queries."""
+    out, bundle, held = {}, 0, 0
+    for g in order:
+        if held and held + n_queries[g] > most:
+            bundle, held = bundle + 1, 0
+        out[g], held = bundle, held + n_queries[g]
+    return out
+
+
+class Bounds:
+    """What a row must be able to reach for each query group, and which data groups hold any that can."""
+
+    def __init__(self, c: np.ndarray, radius: np.ndarray, floor: np.ndarray, spread: np.ndarray):
+        """radius, floor: of each group's queries (floor infinite without any); spread: of each group's data, negative without."""
+        self.c, self.radius, self.floor = c, radius, floor
+        length = np.sqrt((c * c).sum(1))
+        reach = c @ c.T + length * spread[:, None] + (length[:, None] + spread[:, None]) * radius
+        self.possible = (reach + 1 + 1e-9 * np.abs(reach) >= floor) & (spread[:, None] >= 0) & (floor < np.inf)
+
+    def need(self, x: np.ndarray, groups: np.ndarray | list[int]) -> np.ndarray:
+        """For rows x and query groups whether the row can matter to the group."""
+        reach = x @ self.c[groups].T + np.sqrt((x * x).sum(1))[:, None] * self.radius[groups]
+        return reach + 1 + 1e-9 * np.abs(reach) >= self.floor[groups]
+
+
+def _copies(bounds, bundle_of: np.ndarray):
+    """The rows, once for each bundle with a query group other than their own that they can matter to."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = bounds.value
         for batch in batches:
-            x = _matrix(batch.column(1).to_pylist()).astype(float)
-            if not len(x):
-                continue
-            reach = x @ c.T + np.sqrt((x * x).sum(1))[:, None] * radius
-            need = reach + 1 + 1e-9 * np.abs(reach) >= floor
-            need[np.arange(len(x)), batch.column(2).to_numpy()] = False
-            row, group = np.nonzero(need)
-            for k in range(0, len(row), 10_000):
-                part = batch.take(pa.array(row[k : k + 10_000]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(group[k : k + 10_000].astype(np.int32))], ["vec_id", "v", "g"])
+            x, own = _matrix(batch.column(1).to_pylist()).astype(float), batch.column(2).to_numpy()
+            for g in np.unique(own).tolist():
+                groups = np.flatnonzero(b.possible[g])
+                groups = groups[groups != g]
+                if not len(groups):
+                    continue
+                rows = np.flatnonzero(own == g)
+                row, group = np.nonzero(b.need(x[rows], groups))
+                if len(row):
+                    pair = np.unique((rows[row] << 32) | bundle_of[groups[group]])
+                    part = batch.take(pa.array(pair >> 32))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array((pair & 0xFFFFFFFF).astype(np.int32))], ["vec_id", "v", "g", "row", "bundle"])
 
     return run
 
 
-def _solve(k: int):
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id."""
+    some = np.flatnonzero(scores >= np.partition(scores, -k)[-k]) if len(scores) > k else np.arange(len(scores))
+    return some[np.lexsort((ids[some], -scores[some]))][:k]
+
+
+def _solve(k: int, bounds=None):
+    """The k best of each query within a piece of data; with bounds, of rows from other groups that can matter to its own."""
+
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(data):
-            order = np.argsort(data["vec_id"].to_numpy(), kind="stable")
-            ids = data["vec_id"].to_numpy()[order]
-            scores = products(_matrix(queries["v"]), _matrix(data["v"])[order])
-            for q, row in zip(queries["vec_id"].tolist(), scores, strict=True):
-                best = np.lexsort((ids, -row))[: k + 1] if len(row) <= 4 * k else _top(row, k + 1)
-                best = [i for i in best.tolist() if ids[i] != q]
-                # Equal ids beyond the query's own row may have pushed others out.
-                if len(best) < k < len(row):
-                    best = [i for i in np.lexsort((ids, -row)).tolist() if ids[i] != q]
-                out += [(q, int(ids[i]), int(row[i])) for i in best[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+            ids, x, groups = data["vec_id"].to_numpy(), _matrix(data["v"]), data["g"].to_numpy()
+            for g, some in queries.groupby("g"):
+                own_ids, own_x = ids, x
+                if bounds is not None:
+                    rows = np.flatnonzero(bounds.value.need(x.astype(float), [g])[:, 0] & (groups != g))
+                    own_ids, own_x = ids[rows], x[rows]
+                if not len(own_ids):
+                    continue
+                for lo in range(0, len(some), 256):
+                    part = some.iloc[lo : lo + 256]
+                    scores = products(_matrix(part["v"]), own_x)
+                    for row, q, low, line in zip(part["row"].tolist(), part["vec_id"].tolist(), part["low"].tolist(), scores, strict=True):
+                        at = np.flatnonzero((line >= low) & (own_ids != q))
+                        best = at[_best(own_ids[at], line[at], k)]
+                        out += [(row, q, int(own_ids[i]), int(line[i])) for i in best.tolist()]
+        return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
 
-def _top(row: np.ndarray, k: int) -> np.ndarray:
-    """The k best of rows that stand in order of their ids, ties to the smaller."""
-    cut = np.partition(row, -k)[-k]
-    some = np.flatnonzero(row >= cut)
-    return some[np.lexsort((some, -row[some]))][:k]
+_FOUND = "row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, n_pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score of vectors (vec_id, embedding). is_query: a condition on vec_id."""
+def top_k_with_copies(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, n_pivots: int | None = None, bundle: int = BUNDLE) -> tuple[DataFrame, int, int]:
+    """The result of `top_k`, the number of vectors that take part, and how often they were copied to other groups."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "voronoi")
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     vectors = vectors.filter("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)")
     dim = vectors.agg(F.max(F.size("embedding")).alias("n")).first().n or 1
     whole = scratch.keep(vectors.mapInArrow(_whole(dim, scale), "vec_id bigint, v binary"))
+    n = whole.count()
+    if not n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint"), 0, 0
     sample = collected(whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))
-    if not len(sample):
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    c = pivots(_matrix(sample["v"]), n_pivots)
-    data = scratch.keep(whole.mapInArrow(_grouped(c), "vec_id bigint, v binary, g int, dist double"))
+    c = pivots(_matrix(sample["v"]), n_pivots or max(1, min(MOST_PIVOTS, round(n**0.5))))
+    data = whole.mapInArrow(_grouped(c), "vec_id bigint, v binary, g int, dist double")
+    data = scratch.keep(data.withColumn("row", F.monotonically_increasing_id()))
     queries = data.filter(is_query)
-    # At most n_pivots rows each.
-    n_data = {r.g: r.n for r in data.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    by_query = {r.g: r for r in queries.groupBy("g").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
-    blocks = {g: -(-r.n // BLOCK) for g, r in by_query.items()}
-
-    def lookup(values: dict[int, int]):
-        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for g, n in values.items() for x in (g, n))), F.col("g")), F.lit(0)) if values else F.lit(0)
-
-    def joined(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-        """Best k of each query within each piece of its group's rows."""
-        chunks = {g: max(1, -(-counts.get(g, 0) // CHUNK)) for g in by_query}
-        block, chunk = F.pmod(F.xxhash64("vec_id"), F.greatest(lookup(blocks), F.lit(1))), F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.greatest(lookup(chunks), F.lit(1)))
-        left = queries.select("vec_id", "v", "g", block.alias("block"), F.explode(F.sequence(F.lit(0), lookup(chunks) - 1)).alias("chunk"))
-        right = rows.filter(lookup(blocks) > 0).select("vec_id", "v", "g", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), lookup(blocks) - 1)).alias("block"))
-        key = ["g", F.col("block").cast("long"), F.col("chunk").cast("long")]
-        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_solve(k), "query_id bigint, vec_id bigint, score bigint")
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # At most a row for each pivot.
+    by_data = {r.g: r for r in data.groupBy("g").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
+    by_query = {r.g: r for r in queries.groupBy("g").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
+
+    def lookup(values: dict[int, int], key: str):
+        """A number for each group or bundle, 0 for those without."""
+        return F.coalesce(F.get(F.array(*(F.lit(int(values.get(i, 0))) for i in range(max(values, default=0) + 1))), F.col(key)), F.lit(0))
+
+    def joined(queries: DataFrame, rows: DataFrame, key: str, n_queries: dict[int, int], n_rows: dict[int, int], solve) -> DataFrame:
+        """Best k of each query within each piece of what its group or bundle (key) meets."""
+        blocks = lookup({i: -(-x // bundle) for i, x in n_queries.items()}, key)
+        chunks = lookup({i: -(-n_rows.get(i, 0) // CHUNK) for i in n_queries}, key)
+        place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "row"), F.greatest(n, F.lit(1)))
+        left = queries.filter(chunks > 0).select("row", "vec_id", "v", "g", "low", key if key != "g" else F.col("g").alias("unit"), place(1, blocks).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        right = rows.filter(blocks > 0).select("vec_id", "v", "g", key if key != "g" else F.col("g").alias("unit"), place(2, chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        by = ["unit" if key == "g" else key, F.col("block").cast("long"), F.col("chunk").cast("long")]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(solve, _FOUND)
+
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
 
     def best(df: DataFrame) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    own = scratch.keep(best(joined(data.select("vec_id", "v", "g"), n_data)).drop("rank"))
-    kth = queries.join(own.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")), F.col("vec_id") == F.col("query_id"), "left")
-    floors = {r.g: r.low for r in kth.groupBy("g").agg(F.min(F.when(F.col("n") == k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))).alias("low")).collect()}
-    floor = np.array([floors.get(g, np.inf) for g in range(len(c))])
-    radius = np.array([by_query[g].radius if g in by_query else 0.0 for g in range(len(c))])
-    copies = scratch.keep(data.mapInArrow(_copies(c, radius, floor), "vec_id bigint, v binary, g int"))
-    n_copies = {r.g: r.n for r in copies.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    found = best(own.unionByName(joined(copies, n_copies)))
-    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def counts(by: dict) -> dict[int, int]:
+        return {g: r.n for g, r in by.items()}
+
+    none = F.lit(float("-inf"))
+    own = scratch.keep(best(joined(queries.withColumn("low", none), data, "g", counts(by_query), counts(by_data), _solve(k))).drop("rank"))
+    kth = own.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
+    queries = queries.join(kth, "row", "left").withColumn("low", F.when(F.col("n") == k, F.col("low")).otherwise(none))
+    floors = {r.g: r.low for r in queries.groupBy("g").agg(F.min("low").alias("low")).collect()}
+    by_group = lambda values, absent: np.array([values.get(g, absent) for g in range(len(c))], float)
+    bounds = spark.sparkContext.broadcast(Bounds(c, by_group({g: r.far for g, r in by_query.items()}, 0.0), by_group(floors, np.inf), by_group({g: r.far for g, r in by_data.items()}, -1.0)))
+    bundle_of = bundles(chain(c, sorted(by_query)), counts(by_query), bundle)
+    copies = data.select("vec_id", "v", "g", "row").mapInArrow(_copies(bounds, by_group(bundle_of, 0).astype(np.int64)), "vec_id bigint, v binary, g int, row bigint, bundle int")
+    copies = scratch.keep(copies)
+    n_copies = {r.bundle: r.n for r in copies.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    n_queries: dict[int, int] = {}
+    for g, b in bundle_of.items():
+        n_queries[b] = n_queries.get(b, 0) + by_query[g].n
+    queries = queries.withColumn("bundle", lookup(bundle_of, "g"))
+    found = best(own.unionByName(joined(queries, copies, "bundle", n_queries, n_copies, _solve(k, bounds))))
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score"), n, sum(n_copies.values())
+
+
+def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, n_pivots: int | None = None, bundle: int = BUNDLE) -> DataFrame:
+    """query_id, rank, vec_id, score of vectors (vec_id, embedding). is_query: a condition on vec_id."""
+    return top_k_with_copies(vectors, is_query, k, scale, n_pivots, bundle)[0]

@@ -146,6 +146,34 @@ def test_knn_is_exact(spark):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 10, lambda i: i % 100 == 0)
 
 
+def test_knn_copies_little_of_clustered_vectors(spark):
+    """200 clusters: of some 5,000 rows few are copied to other groups, though there are many bundles; still exact."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(200, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    rows = [(i, (centre[i % 200] + 0.03 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(5003)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got, n, copies = voronoi_join.top_k_with_copies(df, F.col("vec_id") % 10 == 3, bundle=10)
+    assert n == 5003 and copies < 5 * n
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 10, lambda i: i % 10 == 3)
+
+
+def test_knn_copies_once_a_bundle_without_structure(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(2000)]
+    got, n, copies = voronoi_join.top_k_with_copies(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert copies <= n
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 10, lambda i: i % 20 == 0)
+
+
+def test_knn_repeated_ids(spark):
+    """Rows of one id are queries and candidates each, and none answers another."""
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(200)] + [(0, [1.0] * 4)] * 30
+    got = voronoi_join.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, n_pivots=5, bundle=7)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows, 10, lambda i: i % 20 == 0)
+
+
 def test_knn_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in voronoi_join.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 2048)]
