@@ -1,10 +1,14 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Base spans (email, ip, card, phone) come from fixed patterns. Looser patterns propose more spans; labelers (a strict pattern,
-a gazetteer, context words before the span, counter-context, a checksum) vote on every span, yes, no or not at all.
-Expectation-maximisation over the table of vote patterns (a few hundred rows at most, counted over all documents) estimates
-each labeler's reliability, and a logistic span classifier is trained on its posteriors. It decides on the proposed spans;
-base spans stay.
+Base spans (email, ip, card, phone) come from fixed patterns. Looser patterns propose more spans of every kind: obfuscated
+e-mail and internet addresses, cards with other marks between their digits, telephone numbers in national form. Labelers vote on
+every span, yes, no or not at all: the strict pattern, marks of obfuscation, gazetteers, context words before the span, words
+that speak against it, and what can be computed from the digits. Expectation-maximisation over each kind's table of vote
+patterns (a few hundred rows at most, counted over all documents) estimates each labeler's reliability for that kind, and a
+logistic span classifier of the kind is trained on its posteriors. It decides on the proposed spans; base spans stay.
+
+Gazetteers are tables (kind, entry): ends of host names, country codes of telephone numbers, first digits of card issuers, and
+first parts of internet addresses that belong to nobody. `gazetteer` has a default; a table of one's own may be given.
 
 Defined cases: a null or empty text has no spans; spans of a kind don't overlap, and a proposed span that overlaps any base
 span goes; repeated rows are judged each; an empty table gives no rows; other columns are ignored by `spans` and kept by
@@ -15,8 +19,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,24 +35,63 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-# Proposals beyond the base spans.
-LOOSE_EMAIL = r"(?i)[a-z0-9._%+-]{1,64} ?[(\[] ?at ?[)\]] ?[a-z0-9-]{1,64}(?: ?[(\[] ?dot ?[)\]] ?[a-z0-9-]{1,64}){1,5}"
-LOOSE_PHONE = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])"
+# Proposals beyond the base spans. All are bounded or take what they can at once, so none backtracks over long runs.
+LOOSE = {
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?: ?[(\[{] ?at ?[)\]}] ?[a-z0-9-]{1,64}+(?:(?: ?[(\[{] ?dot ?[)\]}] ?|\.| dot )[a-z0-9-]{1,64}+){1,5}| at [a-z0-9-]{1,64}+(?: dot [a-z0-9-]{1,64}+){1,5})",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?: ?[(\[{] ?(?:\.|dot) ?[)\]}] ?[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9./_])[0-9]{4}[./_](?:[0-9]{4}[./_][0-9]{4}[./_][0-9]{1,7}|[0-9]{6}[./_][0-9]{5})(?![0-9]|[./_][0-9])",
+    "phone": r"(?<![0-9+.-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}|00[1-9][0-9]{0,2}[ .-]\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,8}){1,4}|\(?0[1-9][0-9]{1,4}\)?[ /-][0-9]{3,8}(?:[ -][0-9]{2,5})?)(?![0-9-])",
+}
+#: A cheap condition that a text with a proposal meets.
+MAY_HAVE = {
+    "email": r"(?i)[(\[{] ?at ?[)\]}]| dot ",
+    "ip": r"[0-9] ?[(\[{] ?(?:\.|dot) ?[)\]}]|(?:[0-9A-Fa-f]{1,4}:){7}",
+    "card": r"[0-9]{4}[./_][0-9]{4}",
+    "phone": r"[0-9]{3}\)? ?[-.]?[0-9]{3}[-.][0-9]{4}|00[1-9][0-9]{0,2}[ .-]|0[1-9][0-9]{1,4}\)?[ /-][0-9]{3}",
+}
 
 # Words that stand before personal data, and before numbers that are none.
 CONTEXT = {
-    "email": ("mail", "e-mail", "email", "contact", "write", "kontakt", "courriel", "correo"),
-    "ip": ("ip", "host", "server", "address", "from", "adresse", "client"),
-    "card": ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "write to", "reach", "kontakt", "courriel", "correo"),
+    "ip": ("ip", "host", "server", "address", "from", "adresse", "dirección", "client", "login", "user"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "karte", "carte", "tarjeta", "pan"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "handy", "appelez", "llame"),
 }
-AGAINST = ("isbn", "issn", "doi", "order", "invoice", "version", "page", "section", "figure", "id", "no", "nr", "ref", "sku", "part")
-# Ends of host names, and North American area codes that aren't given out.
-HOST_ENDS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
-NO_AREA = ("000", "111", "123", "911")
-
-LABELERS = ("strict", "gazetteer", "context", "against", "checksum")
+AGAINST = ("isbn", "issn", "doi", "order", "invoice", "version", "release", "build", "page", "section", "figure", "table", "id", "no", "nr", "ref", "sku", "part", "serial", "date", "sum", "total")
+# Ends of host names that are no country's; calling codes by their first digits; issuers of cards by theirs, with
+# the numbers of digits they give; first parts of internet addresses that no one person has.
+HOST_ENDS = "com org net edu gov mil int info biz io eu uk name pro app dev online shop site cloud tech xyz me tv cc ai example test invalid".split()
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+CALLING_BLOCKS = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+ISSUERS = r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|35[0-9]{14}|6(?:011|5[0-9]{2}|4[4-9][0-9])[0-9]{12}|62[0-9]{14,17}|(?:50|5[6-9]|6[0-9])[0-9]{10,17}"
+NOBODYS = [str(x) for x in (0, 127, *range(224, 256))]
+
+LABELERS = ("strict", "marks", "gazetteer", "context", "against", "digits")
 LEFT = 32
+MOST_ENTRIES = 100_000
+
+
+class Gazetteer(NamedTuple):
+    """Entries in lower case."""
+
+    email: list[str]
+    phone: list[str]
+    card: str
+    ip: list[str]
+
+
+def gazetteer(spark: SparkSession, entries: DataFrame | None = None) -> Gazetteer:
+    """The default: countries' ends of host names by their ISO codes, and the fixed values. entries (kind, entry), MOST_ENTRIES at
+    most, stand in for the default of the kinds that they have; of kind card, an entry is a pattern of whole numbers."""
+    countries = [str(x).lower() for x in spark._jvm.java.util.Locale.getISOCountries()]
+    found = Gazetteer([*HOST_ENDS, *countries], [*CALLING_CODES, *(f"{x}{i}" for x in CALLING_BLOCKS for i in range(10))], ISSUERS, NOBODYS)
+    if entries is None:
+        return found
+    rows = entries.filter(F.col("kind").isin(*KINDS) & F.col("entry").isNotNull()).select("kind", F.lower("entry").alias("entry")).distinct().limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"a gazetteer has {MOST_ENTRIES} entries at most")
+    by = {k: sorted(r.entry for r in rows if r.kind == k) for k in KINDS}
+    return found._replace(**{k: "|".join(x) if k == "card" else x for k, x in by.items() if x})
 
 
 SPAN = "struct<start:int,end:int,match:string>"
@@ -110,8 +154,7 @@ def marked(docs: DataFrame) -> DataFrame:
             "b_ip": (text.rlike(r"[0-9]\.[0-9]"), IP),
             "b_card": (text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), CARD),
             "b_phone": (F.contains(text, F.lit("+")), PHONE),
-            "p_email": (text.rlike(r"(?i)[(\[] ?at ?[)\]]"), LOOSE_EMAIL),
-            "p_phone": (text.rlike(r"[0-9]{3}[-.][0-9]{4}"), LOOSE_PHONE),
+            **{f"p_{k}": (text.rlike(MAY_HAVE[k]), LOOSE[k]) for k in KINDS},
         },
     )
     n = lambda x: F.length(digits(x["match"]))
@@ -127,57 +170,79 @@ def _near(left: Column, words: tuple[str, ...]) -> Column:
     return left.rlike(r"(?i)(?:^|[^\p{L}])(?:" + "|".join(words) + r")[.:#]*\s*\S{0,12}\s*$")
 
 
-def _votes(kind: str, base: bool, x: Column, text: Column) -> Column:
+def _votes(kind: str, base: bool, x: Column, text: Column, known: Gazetteer) -> Column:
     """A struct of the labelers' votes: 1 yes, -1 no, 0 none."""
     match, left = x["match"], F.substring(text, F.greatest(x["start"] + 1 - LEFT, F.lit(1)), F.least(x["start"], F.lit(LEFT)))
     none = F.lit(0)
     d = digits(match)
-    area = F.when(F.length(d) >= 10, F.substring(d, F.length(d) - 9, F.lit(3)))
-    gazetteer = {
-        "email": F.when(F.lower(F.regexp_extract(match, r"([A-Za-z]+)[^A-Za-z]*$", 1)).isin(*HOST_ENDS), 1).otherwise(-1),
-        "ip": F.when(match.rlike(r"^0|^127\.|^255\."), -1).otherwise(0),
-        "card": F.when(F.substring(d, 1, 1).isin("3", "4", "5", "6"), 1).otherwise(-1),
-        "phone": F.when(area.isin(*NO_AREA), -1).when(area.isNotNull(), 1).otherwise(0),
-    }[kind]
-    checksum = {"card": F.when(luhn(d), 1).otherwise(-1), "ip": F.when(_part_ok(match), 1).otherwise(-1)}.get(kind, none)
+    national = d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{6}$")
+    v6 = F.contains(match, F.lit(":"))
+
+    def either(yes: Column) -> Column:
+        return F.when(yes, 1).otherwise(-1)
+
+    gazetteers = {
+        "email": lambda: either(F.lower(F.regexp_extract(match, r"([A-Za-z]+)[^A-Za-z]*$", 1)).isin(*known.email)),
+        "ip": lambda: F.when(~v6 & F.regexp_extract(match, "^0*([0-9]+)", 1).isin(*known.ip), -1).otherwise(0),
+        "card": lambda: either(d.rlike(f"^(?:{known.card})$")),
+        "phone": lambda: F.when(match.rlike(r"^(?:\+|00)"), either(F.regexp_replace(d, "^0+", "").rlike(f"^(?:{'|'.join(known.phone)})"))).otherwise(0),
+    }
+    marks = {"email": either(F.contains(match, F.lit("@")) | match.rlike(r"[)\]}]")), "ip": F.when(match.rlike(r"[)\]}]"), 1).otherwise(0)}
+    computed = {
+        "card": lambda: either(luhn(d)),
+        "ip": lambda: either(v6 | _part_ok(F.regexp_replace(match, "[^0-9]+", "."))),
+        "phone": lambda: F.when(match.rlike(r"^(?:\([2-9]|[1-9])"), either(national)).otherwise(either(F.length(d).between(9, 15))),
+    }
     against = F.when(_near(left, AGAINST) | left.rlike(r"[0-9A-Za-z_#=/-]$"), -1).otherwise(0)
-    return F.struct(F.lit(1 if base else -1).alias("strict"), gazetteer.alias("gazetteer"), F.when(_near(left, CONTEXT[kind]), 1).otherwise(0).alias("context"), against.alias("against"), checksum.alias("checksum"))
+    return F.struct(
+        F.lit(1 if base else 0).alias("strict"), (none if base else marks.get(kind, none)).alias("marks"), gazetteers[kind]().alias("gazetteer"),
+        F.when(_near(left, CONTEXT[kind]), 1).otherwise(0).alias("context"), against.alias("against"), computed.get(kind, lambda: none)().alias("digits"),
+    )
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
+def with_candidates(docs: DataFrame, known: Gazetteer) -> DataFrame:
     """docs (with text, not null) and all: array of kind, start, end, base and votes."""
     own = docs.columns
     docs = marked(docs)
 
     def entry(kind: str, base: bool) -> Callable[[Column], Column]:
-        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, base, x, F.col("text")).alias("votes"))
+        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, base, x, F.col("text"), known).alias("votes"))
 
     base = F.concat(*(F.transform(f"b_{k}", entry(k, True)) for k in KINDS))
-    docs = docs.select(*own, base.alias("base"), "p_email", "p_phone")
+    docs = docs.select(*own, base.alias("base"), *(f"p_{k}" for k in KINDS))
     free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = [F.transform(F.filter(f"p_{k}", free), entry(k, False)) for k in ("email", "phone")]
+    more = [F.transform(F.filter(f"p_{k}", free), entry(k, False)) for k in KINDS]
     return docs.select(*own, F.concat("base", *more).alias("all"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, known: Gazetteer | None = None) -> DataFrame:
     """doc_id, all of documents (doc_id, text)."""
-    return with_candidates(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))).select("doc_id", "all")
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return with_candidates(docs, known or gazetteer(docs.sparkSession)).select("doc_id", "all")
+
 
+Patterns = list[tuple[tuple[int, ...], int]]
+#: What is believed of a labeler before any span is seen, as if WEIGHT spans had shown it: the share of its votes that are
+#: right. Lists and digits rule things out more surely than words around a span or brackets in it do.
+RIGHT, WEIGHT = {"strict": 0.9, "marks": 0.7, "gazetteer": 0.9, "context": 0.8, "against": 0.8, "digits": 0.9}, 8.0
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]], list[float]]:
-    """EM over vote patterns (votes, count): the share of true spans, each labeler's P(vote | true), P(vote | false) by vote,
-    and each pattern's posterior. It starts from the majority, with the strict pattern counting twice."""
-    post = [1 / (1 + math.exp(-(2 * v[0] + sum(v[1:])))) for v, _ in patterns]
+
+def reliabilities(patterns: Patterns, rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]], list[float]]:
+    """EM over vote patterns (votes, count) of one kind: the share of true spans, each labeler's P(vote | true), P(vote | false)
+    among its votes, and each pattern's posterior. It starts from the majority."""
+    post = [1 / (1 + math.exp(-sum(v))) for v, _ in patterns]
     share, tables = 0.5, []
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
-        share = (1 + sum(p * n for p, (_, n) in zip(post, patterns, strict=True))) / (2 + total)
+        share = (WEIGHT / 2 + sum(p * n for p, (_, n) in zip(post, patterns, strict=True))) / (WEIGHT + total)
         tables = []
-        for k in range(len(LABELERS)):
-            t = {v: (1.0, 1.0) for v in (-1, 0, 1)}
+        for k, name in enumerate(LABELERS):
+            right, wrong = RIGHT[name] * WEIGHT, (1 - RIGHT[name]) * WEIGHT
+            t = {1: (right, wrong), -1: (wrong, right)}
             for p, (votes, n) in zip(post, patterns, strict=True):
-                a, b = t[votes[k]]
-                t[votes[k]] = (a + p * n, b + (1 - p) * n)
+                if votes[k]:
+                    a, b = t[votes[k]]
+                    t[votes[k]] = (a + p * n, b + (1 - p) * n)
             sums = sum(a for a, _ in t.values()), sum(b for _, b in t.values())
             tables.append({v: (a / sums[0], b / sums[1]) for v, (a, b) in t.items()})
         post = []
@@ -187,15 +252,18 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50)
     return share, tables, post
 
 
-def span_classifier(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500, rate: float = 0.5, l2: float = 1e-3) -> list[float]:
-    """Weights (bias, and two for each labeler: its yes and its no) of a logistic classifier of spans, trained on the posteriors."""
+def span_classifier(patterns: Patterns, rounds: int = 2000, rate: float = 0.5, l2: float = 0.01) -> list[float]:
+    """Weights (bias, and two for each labeler: its yes and its no) of a logistic classifier of spans, trained on the posteriors
+    from the prior beliefs on. A pattern counts by the logarithm of its number of spans, so those that are everywhere don't
+    drown the others."""
+    start = [-0.5, *(sign * math.log(RIGHT[k] / (1 - RIGHT[k])) for k in LABELERS for sign in (1, -1))]
     if not patterns:
-        return [-1.0, *([1.0, -1.0] * len(LABELERS))]
+        return start
     _, _, post = reliabilities(patterns)
-    rows = [([1.0, *(float(v == s) for v in votes for s in (1, -1))], p, n) for (votes, n), p in zip(patterns, post, strict=True)]
-    total, w = sum(n for _, _, n in rows), [-1.0, *([1.0, -1.0] * len(LABELERS))]
+    rows = [([1.0, *(float(v == s) for v in votes for s in (1, -1))], p, math.log1p(n)) for (votes, n), p in zip(patterns, post, strict=True)]
+    total, w = sum(n for _, _, n in rows), start
     for _ in range(rounds):
-        grad = [-l2 * x for x in w]
+        grad = [l2 * (a - x) for a, x in zip(start, w, strict=True)]
         for x, p, n in rows:
             e = (p - 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))) * n / total
             grad = [g + e * a for g, a in zip(grad, x, strict=True)]
@@ -203,23 +271,30 @@ def span_classifier(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 5
     return w
 
 
-def trained(found: DataFrame) -> list[float]:
-    """The classifier, from all documents' candidates."""
-    votes = found.select(F.explode("all").alias("x")).select(*(F.col(f"x.votes.{k}").alias(k) for k in LABELERS))
-    counts = votes.groupBy(*LABELERS).agg(F.count("*").alias("n")).orderBy(*LABELERS).collect()  # 3 ** 5 rows at most
-    return span_classifier([(tuple(r[k] for k in LABELERS), r.n) for r in counts])
+def trained(found: DataFrame) -> list[list[float]]:
+    """A classifier for each kind, from all documents' candidates."""
+    votes = found.select(F.explode("all").alias("x")).select("x.kind", *(F.col(f"x.votes.{k}").alias(k) for k in LABELERS))
+    # At most 3 ** 6 rows a kind.
+    counts = votes.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).orderBy("kind", *LABELERS).collect()
+    return [span_classifier([(tuple(r[k] for k in LABELERS), r.n) for r in counts if r.kind == i]) for i in range(len(KINDS))]
 
 
-def chosen(all_: Column, w: list[float]) -> Column:
-    """Base spans and the proposed ones that the classifier takes, by kind and start."""
+def chosen(all_: Column, weights: list[list[float]]) -> Column:
+    """Base spans and the proposed ones that the classifier of their kind takes, by kind and start."""
 
-    def score(x: Column) -> Column:
+    def score(x: Column, w: list[float]) -> Column:
         total = F.lit(w[0])
         for i, k in enumerate(LABELERS):
             total = total + F.when(x["votes"][k] == 1, w[1 + 2 * i]).when(x["votes"][k] == -1, w[2 + 2 * i]).otherwise(0.0)
         return total
 
-    kept = F.filter(all_, lambda x: x["base"] | (score(x) > 0))
+    def taken(x: Column) -> Column:
+        out = F.lit(False)
+        for i, w in enumerate(weights):
+            out = F.when(x["kind"] == i, score(x, w) > 0).otherwise(out)
+        return out
+
+    kept = F.filter(all_, lambda x: x["base"] | taken(x))
     return F.array_sort(F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"))))
 
 
@@ -228,9 +303,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of documents (doc_id, text)."""
-    found = Scratch(docs.sparkSession, "pii").keep(candidates(docs))
+def spans(docs: DataFrame, known: Gazetteer | None = None) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of documents (doc_id, text)."""
+    found = Scratch(docs.sparkSession, "pii").keep(candidates(docs, known))
     every = found.select("doc_id", chosen(F.col("all"), trained(found)).alias("spans"))
     base = F.filter("spans", lambda x: x["base"])
 
@@ -238,15 +313,16 @@ def spans(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == i))).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return every.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return every.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, known: Gazetteer | None = None) -> DataFrame:
     """The documents with <kind> in place of each span; of overlapping spans, one mark for all, by the first. n_chars follows
     where the text changed. A null text stays null."""
-    w = trained(Scratch(docs.sparkSession, "pii").keep(candidates(docs)))
+    known = known or gazetteer(docs.sparkSession)
+    w = trained(Scratch(docs.sparkSession, "pii").keep(candidates(docs, known)))
     own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    own = with_candidates(own).select("row", "text", chosen(F.col("all"), w).alias("found"))
+    own = with_candidates(own, known).select("row", "text", chosen(F.col("all"), w).alias("found"))
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     order = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
