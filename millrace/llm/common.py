@@ -215,3 +215,30 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
 
 def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
+#: Packed numbers in a range, about; what one task holds when it gathers them.
+RANGE = 4_000_000
+
+
+def packed(x: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers as little-endian bytes of the smallest common width."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
+
+
+def ranges_of(spark, n_hashes: int) -> int:
+    """Ranges that so many hashes are cut into."""
+    return max(2 * partitions(spark), -(-n_hashes // RANGE))
+
+
+def by_range(sent: DataFrame, n_ranges: int):
+    """Grouped by range, in as many partitions as the ranges need."""
+    few = partitions(sent.sparkSession)
+    return (sent.repartition(n_ranges // 2, "range") if n_ranges > 2 * few else sent).groupBy("range")

@@ -33,31 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, collected, id_back, mix, numbers, partitions, shingle_hashes, text_slices, tidy, with_id, word_bounds, word_hashes
+from .common import Scratch, by_range, collected, id_back, mix, numbers, packed, ranges_of, shingle_hashes, text_slices, tidy, unpacked, with_id, word_bounds, word_hashes
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
 #: Hashes that a task holds before it sends them; candidate pairs that are sent to all tasks (64 bytes each) rather than joined.
 FLUSH, FEW_PAIRS = 1_500_000, 1_000_000
-#: Hashes in a range, about; what one task holds when it gathers them.
-RANGE = 4_000_000
 #: Dropped rows' keys that are sent to all tasks (some 30 bytes each) rather than joined.
 FEW_IDS = 1_000_000
 _SHIFT = np.uint64(24)  # tokens are 40 bits of a shingle's hash; sets are verified on 48
 
 
-def packed(x: np.ndarray) -> tuple[bytes, int]:
-    """Whole numbers as little-endian bytes of the smallest common width."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
-
-
-def unpacked(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").reshape(-1)
-
-
 def document_sets(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of a batch's texts, of the rows wanted."""
     column = batch.column(batch.schema.get_field_index("text"))
@@ -77,17 +63,6 @@ def _ranges(tokens: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(tokens, np.array(edges, np.uint64))
 
 
-def ranges_of(spark, n_hashes: int) -> int:
-    """Ranges that so many hashes are cut into."""
-    return max(2 * partitions(spark), -(-n_hashes // RANGE))
-
-
-def by_range(sent: DataFrame, n_ranges: int):
-    """Grouped by range, in as many partitions as the ranges need."""
-    few = partitions(sent.sparkSession)
-    return (sent.repartition(n_ranges // 2, "range") if n_ranges > 2 * few else sent).groupBy("range")
-
-
 def _count_map(n_ranges: int):
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held) >> _SHIFT, return_counts=True)

@@ -53,13 +53,123 @@ def test_lm_base_and_cases(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    keys = np.array([(1 << 10) | 2, (1 << 10) | 3, (2 << 10) | 1, (3 << 10) | 1, 1, (2 << 10)])
-    tree = suffix_tree_lm.Tree([(keys, np.array([900, 5, 400, 300, 50, 20]))], 8)
+    keys, n = np.array([(1 << 10) | 2, (1 << 10) | 3, (2 << 10) | 1, (3 << 10) | 1, 1, (2 << 10)]), np.array([900, 5, 400, 300, 50, 20])
+    tree = suffix_tree_lm.Tree(8, (keys, n))
+    tree.grow(keys[:4], n[:4])
     assert tree.n_states > 1
     for context in range(8):
         assert tree.probability(np.array([(context << 10) | s for s in range(8)])).sum() == pytest.approx(1)
 
 
+class PlainTree:
+    """The model in dictionaries, text by text: contexts are tuples of symbols, the nearest first."""
+
+    def __init__(self, rows, held, depth, p_min, top, n_tails, least, min_bits=suffix_tree_lm.MIN_BITS):
+        self.depth, train = depth, [self.words(t) for i, t in rows if not held(i)]
+        self.counts = Counter(w for ws in train for w in ws)
+        n_all = sum(self.counts.values()) + len(train)
+        best = [w for w, _ in self.counts.most_common(top)]
+        tail = lambda w: w[-2:]
+        by_tail = Counter()
+        for w, n in self.counts.items():
+            if w not in best:
+                by_tail[tail(w)] += n
+        number = lambda t: t[-1] + (t[0] << 8 if len(t) > 1 else 0)
+        classes = sorted(by_tail, key=lambda t: (-by_tail[t], number(t)))[:n_tails]
+        self.symbol = lambda w: 1 + best.index(w) if w in best else 1 + len(best) + (classes.index(tail(w)) if tail(w) in classes else len(classes))
+        self.size, self.n_top = len(best) + len(classes) + 2, len(best)
+        self.weight = Counter()
+        for w, n in self.counts.items():
+            if w not in best:
+                self.weight[self.symbol(w)] += n + 1
+        grams = [Counter() for _ in range(depth + 2)]  # by length of context: (context, symbol)
+        for ws in train:
+            for k in range(depth + 2):
+                grams[k].update(self.tokens(ws, k))
+        self.root = [(1 + sum(n for (_, s), n in grams[1].items() if s == x)) for x in range(self.size)]
+        self.root = [x / sum(self.root) for x in self.root]
+        self.states, frequent = {}, None
+        for k in range(1, depth + 1):
+            own = grams[k] if frequent is None else Counter({g: n for g, n in grams[k].items() if g[0] in frequent})
+            self.keep(own, lambda total: total >= p_min * n_all, min_bits)
+            frequent = {(s, *c) for (c, s), n in own.items() if n >= p_min * n_all} | {(0,) * (k + 1)} if k < depth else frequent
+        self.trunk = len(self.states)
+        for k in (depth, depth + 1):
+            self.keep(Counter({g: n for g, n in grams[k].items() if g[0][:depth] not in frequent}), lambda total: total >= least, min_bits)
+
+    @staticmethod
+    def words(t):
+        return (t or "").encode().lower().split()
+
+    def tokens(self, ws, k):
+        symbols = [*map(self.symbol, ws), 0]
+        return [(tuple(symbols[i - j] if i >= j else 0 for j in range(1, k + 1)), s) for i, s in enumerate(symbols)]
+
+    def keep(self, grams, enough, min_bits):
+        by = defaultdict(dict)
+        for (c, s), n in grams.items():
+            by[c][s] = n
+        new = {}
+        for c, own in by.items():
+            total = sum(own.values())
+            bits = sum(n / total * math.log2(n / total / self.probability(c[:-1], s)) for s, n in own.items())
+            if enough(total) and bits >= min_bits and 2 * math.log(2) * total * bits >= 2 * len(own) + 10:
+                new[c] = own
+        self.states |= new
+
+    def probability(self, context, s):
+        p = self.root[s]
+        for k in range(1, len(context) + 1):
+            own = self.states.get(context[:k])
+            if own:
+                p = (own.get(s, 0) + len(own) * p) / (sum(own.values()) + len(own))
+        return p
+
+    def score(self, t):
+        ws = self.words(t)
+        out = sum(math.log10(self.probability(c, s)) for c, s in self.tokens(ws, self.depth + 1))
+        return out + sum(math.log10((self.counts[w] + 1) / (1 + self.weight[self.symbol(w)])) for w in ws if self.symbol(w) > self.n_top)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_lm_scores_are_those_of_a_plain_tree(spark, again, monkeypatch):
+    """Trunk, branches, classes and smoothing against the plain version; also with repeated ids and in many small packets."""
+    monkeypatch.setattr(suffix_tree_lm, "_FLUSH", 500)
+    rng = np.random.default_rng(5)
+
+    def text(n):
+        at, out = 0, []
+        for _ in range(n):
+            at = (3 * at + int(rng.integers(0, 3))) % 60 if rng.random() < 0.7 else int(rng.integers(0, 60) * rng.random())
+            out.append(words[at])
+        return " ".join(out)
+
+    words = [f"w{chr(97 + i % 7)}{chr(97 + i % 3)}{chr(97 + i % 5)}" if i > 3 else f"top{i}" for i in range(60)]
+    texts = [text(int(rng.integers(1, 60))) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[i]) for i in range(20)] + [(700, None), (701, ""), (-9, texts[3])]
+    rows += [(3, texts[3]), (3, texts[8]), (None, texts[8])] if again else []
+    held = lambda i: (1 if i is None else i) % 7 == 2
+    often = sorted(Counter(w for i, t in rows if not held(i) for w in (t or "").split()).values(), reverse=True)
+    # A number of top words that no tie makes open.
+    more = {"depth": 2, "p_min": 0.01, "top": next(k for k in range(25, 60) if often[k - 1] > often[k]), "least": 2}
+    got = suffix_tree_lm.score(docs(spark, rows), F.coalesce(F.col("doc_id"), F.lit(1)) % 7 == 2, most_tails=6, **more).collect()
+    plain = PlainTree(rows, held, n_tails=6, **more)
+    assert 10 < plain.trunk < len(plain.states) - 10
+    assert {r.n_states for r in got} == {1 + len(plain.states)}
+    key = lambda i, x: (-1 if i is None else i, round(x, 7))
+    assert sorted(key(r.doc_id, r.score) for r in got) == sorted(key(i, plain.score(t)) for i, t in rows)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """What the tree holds grows with the corpus: of texts of words that are all rare, those that occur twice score higher."""
+    for n in (60, 600):
+        rows = docs(spark, [(7 * i, prose(80, i if i >= n // 10 else i // 2)) for i in range(n)])
+        got = table(suffix_tree_lm.score(rows, F.lit(False), top=20))
+        twice = got.doc_id < 7 * (n // 10)
+        each = got.score / got.n_tokens
+        assert each[twice].min() > each[~twice].max() and got.n_states.iloc[0] > 3 * n
+
+
 def test_lm_learns(spark):
     rows = [(i, " ".join(["the quick brown fox jumps over the lazy dog again"] * 5) if i % 2 else prose(50, i)) for i in range(140)]
     got = table(suffix_tree_lm.score(docs(spark, rows), F.col("doc_id") % 7 == 2))
