@@ -230,8 +230,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             picked.setdefault(r.doc_id, bool(good))
     if not picked:
         return prior()
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isin(list(picked))).mapInArrow(_lines, "doc_id bigint, lines binary").collect()
-    found = {r.doc_id: np.frombuffer(r.lines, np.int16).reshape(-1, len(_CUTS)) for r in sorted(rows, key=lambda r: (r.doc_id, r.lines))}
+    rows = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("doc_id").isin(list(picked))).mapInArrow(_lines, "doc_id bigint, lines binary")
+    # Of rows with one doc_id, one.
+    rows = rows.groupBy("doc_id").agg(F.max("lines").alias("lines")).collect()
+    found = {r.doc_id: np.frombuffer(r.lines, np.int16).reshape(-1, len(_CUTS)) for r in sorted(rows, key=lambda r: r.doc_id)}
     found = {d: x for d, x in found.items() if len(x)}
     return fit(list(found.values()), np.array([picked[d] for d in found], bool))
 

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_back, numbers, text_slices, tidy, with_id, word_bounds
 
 WEIGHTS, MOST_REPEATS, BLOCK = (5, 2, 1), 3, 192
+#: Equal rows (doc_id, source, size) that one task numbers.
+RUN = 10_000
 #: Documents whose repeats are sent to all tasks (some 40 bytes each) rather than joined.
 FEW_IDS = 500_000
 _TINY = 1e-9
@@ -44,6 +46,18 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(with_id(), F.col("source").cast("string"), "text").mapInArrow(_sizes, "doc_id bigint, source string, size bigint")
 
 
+def told_apart(sized: DataFrame) -> DataFrame:
+    """Rows with a number, copy, among those that are equal, so a hot id is dealt over all blocks. Equal rows may stand for each
+    other, so counting and unfolding them gives the same rows, and any numbering the same result."""
+    by = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("__k"))
+    if not by.filter(F.col("__k") > RUN).isEmpty():
+        by = by.withColumn("__from", F.explode(F.sequence(F.lit(0), F.col("__k") - 1, F.lit(RUN)))).repartition("doc_id", "source", "size", "__from")
+    else:
+        by = by.withColumn("__from", F.lit(0).cast("long"))
+    until = F.least(F.col("__k"), F.col("__from") + RUN) - 1
+    return by.select("doc_id", "source", "size", F.explode(F.sequence("__from", until)).alias("copy"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """source, n, source_size, target. Weights repeat over the sources by code point, null last. A target stops at `most` times
     the size; what is over goes to the others by weight, until none is above. That level is found from running sums over the
@@ -121,12 +135,12 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats, taken of documents (doc_id, source, text): how often the mix takes each."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.keep(sizes(docs))
+    sized = scratch.keep(told_apart(sizes(docs)))
     goal = scratch.keep(targets(sized, weights, most))
     largest = goal.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     joined = sized.join(F.broadcast(goal), sized["source"].eqNullSafe(goal["source"])) if goal.count() <= 10_000 else sized.join(goal, sized["source"].eqNullSafe(goal["source"]))
-    state = joined.select("doc_id", sized["source"], "size", "source_size", "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("p"), F.xxhash64(F.lit("mix"), "doc_id", "size").alias("salt"), F.ceil(F.col("n") / block).alias("blocks"))
+    state = joined.select("doc_id", sized["source"], "size", "source_size", "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("p"), F.xxhash64(F.lit("mix"), "doc_id", "size", "copy").alias("salt"), F.ceil(F.col("n") / block).alias("blocks"))
     done, n = [], largest
     while True:
         blocks = max(1, -(-n // block))

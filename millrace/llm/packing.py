@@ -214,15 +214,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, salts: int = 256) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of documents (doc_id, text). Ranks are found
+    within salts of a length, which follow the row, so equal ids and lengths are dealt over all; there are `salts`, and more where
+    pieces are so many that a salt of a length would hold over a million."""
     spark = docs.sparkSession
-    cut = Scratch(spark, "packing").keep(pieces(docs, tokenizer, capacity, end_id))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    cut = pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id())
+    cut = Scratch(spark, "packing").keep(cut)
+    salts = max(salts, -(-(cut.groupBy("length").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0) // 1_000_000))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     part = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     rows, _ = plan(counts, capacity)
     before = part.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")).cast("long") - 1)
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     ordered = np.array(sorted(rows), np.int64).reshape(-1, 7)
     placed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(ordered), _PIECES + ", sequence_id bigint, offset bigint")

@@ -4,6 +4,9 @@ support, confidence, lift and chance match URLs by an inverted index. Hand-writt
 Support is a number of pages, the same whatever the corpus. Only bad pages are mined; how many labelled pages have a rule's
 tokens is counted through the index.
 
+Tokens that stand on the same bad pages, such as the names of one query, are mined as one, else a template of 25 names would
+have 2 ** 25 combinations; each token alone, and each combination with all that stands for the same, are candidates as well.
+
 A rule stands in the index under its rarest token; a URL meets only the rules under one of its own tokens and is checked for
 the others. Verdicts are found once for each distinct URL.
 
@@ -21,6 +24,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: (verdict, host, path): the host and all its subdomains, with paths that start so.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: A rule needs so many bad pages with its tokens, a share of bad ones among the pages with its tokens that is CONFIDENCE or more
@@ -54,19 +59,33 @@ def _fewest(least: int, chance: float, base: float) -> int:
     return max(least, math.ceil(math.log(chance) / math.log(base) - 1e-9))
 
 
+def _candidates(bad: DataFrame, needed: int) -> DataFrame:
+    """items (sorted), both: combinations of tokens and the number of bad pages (page_id, items) that have them, if `needed` do."""
+    bad = bad.select("items", F.monotonically_increasing_id().alias("row"))
+    each = bad.select("row", F.explode("items").alias("item"))
+    # Tokens of the same pages have the same number and sums of page hashes.
+    marks = each.groupBy("item").agg(F.count("*").alias("both"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")).filter(F.col("both") >= needed)
+    kinds = marks.groupBy("both", "a", "b").agg(F.min("item").alias("first"), F.array_sort(F.collect_list("item")).alias("every"))
+    baskets = each.join(kinds.select(F.col("first").alias("item")), "item").groupBy("row").agg(F.collect_list("item").alias("items")).select("items")
+    n = baskets.count()
+    single = marks.select(F.array("item").alias("items"), "both")
+    if not n:
+        return single
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / n)).fit(baskets).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("both"))
+    whole = found.select("items", "both", F.explode("items").alias("first")).join(kinds.select("first", "every"), "first")
+    whole = whole.groupBy("items", "both").agg(F.array_sort(F.flatten(F.collect_list("every"))).alias("whole")).select(F.col("whole").alias("items"), "both")
+    return found.unionByName(whole).unionByName(single).groupBy("items").agg(F.max("both").alias("both"))
+
+
 def mined(pages: DataFrame, labels: DataFrame, least: int = LEAST, confidence: float = CONFIDENCE, lift: float = LIFT, chance: float = CHANCE) -> DataFrame:
     """Rules: items (sorted), anchor (the rarest item), support, confidence."""
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad")).filter("bad is not null")
-    rows = pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, "page_id").filter(F.size("items") > 0).select("items", "bad").persist()
+    rows = Scratch(pages.sparkSession, "url-rules").keep(pages.select("page_id", tokens(F.col("url")).alias("items")).join(bad, "page_id").filter(F.size("items") > 0).select("page_id", "items", "bad"))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     if total.bad in (0, total.n):
-        rows.unpersist()
         return pages.sparkSession.createDataFrame([], "items array<string>, anchor string, support double, confidence double")
     base = total.bad / total.n
-    # Half a page less, so that rounding can't ask for one more.
-    support = min(1.0, (_fewest(least, chance, base) - 0.5) / total.bad)
-    sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows.filter("bad = 1")).freqItemsets
-    sets = sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("both")).filter(F.col("both") >= least)
+    sets = _candidates(rows.filter("bad = 1"), _fewest(least, chance, base))
     single = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("item_freq"))
     each = sets.select("items", "both", F.explode("items").alias("item")).join(single, "item")
     sets = each.groupBy("items", "both").agg(F.min(F.struct("item_freq", "item"))["item"].alias("anchor"))
@@ -89,7 +108,9 @@ def verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, least: int = LEAS
     urls = pages.filter("url is not null").select("url").distinct().select("url", tokens(F.col("url")).alias("tokens"))
     met = urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(found, "anchor").filter(F.size(F.array_except("items", "tokens")) == 0)
     blocked = met.groupBy("url").agg(F.max("confidence").alias("confidence"))
-    out = pages.join(blocked, "url", "left").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "confidence")
+    # Pages without a URL would meet in one task.
+    found = pages.filter("url is not null").join(blocked, "url", "left").unionByName(pages.filter("url is null").withColumn("confidence", F.lit(None).cast("double")))
+    out = found.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "confidence")
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)

@@ -319,6 +319,17 @@ def test_url_mining(spark):
         assert rule.support == pytest.approx(len(bad) / 600) and rule.confidence == pytest.approx(len(bad) / len(have)) and len(bad) >= url_rules.LEAST
 
 
+def test_url_mining_of_a_template(spark):
+    """Thirty names of one query aren't 2 ** 30 combinations; a rule needs all of a kind only where that makes it right."""
+    names = "&".join(f"n{i}=1" for i in range(30))
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.test/p{i}?{names if i % 3 == 0 else 'n1=1'}") for i in range(300)] + [(None, None)] * 5, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    got = url_rules.verdicts(pages, labels).collect()
+    assert len(got) == 305 and all((r.verdict == "block") == (r.page_id is not None and r.page_id % 3 == 0) for r in got)
+    assert url_rules.mined(pages, labels).count() < 2000
+    assert url_rules.verdicts(pages.limit(0), labels).count() == 0 and url_rules.verdicts(pages, labels.limit(0)).count() == 305
+
+
 def mining(spark, rows):
     """(host, bad) rows as pages and labels."""
     pages = spark.createDataFrame([(i, f"http://{h}/p/{i}") for i, (h, _) in enumerate(rows)], "page_id bigint, url string")
@@ -528,6 +539,16 @@ def test_mix(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
+def test_mix_of_a_hot_id(spark, monkeypatch):
+    """Equal rows are dealt over blocks, in runs, and every one is there once."""
+    monkeypatch.setattr(mixing, "RUN", 70)
+    rows = [(None, "a b c", "s")] * 500 + [(i, "x y", "t") for i in range(100)]
+    got = table(mixing.mix_sources(docs(spark, rows), block=16))
+    assert len(got) == 600 and got.doc_id.isna().sum() == 500
+    by = got.groupby("source")
+    assert all(abs(g.taken.sum() - g.target.iloc[0]) <= 6 for _, g in by) and (got.taken <= 3 * got["size"]).all()
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(0)
     p, size = np.full(300, 0.37), rng.integers(0, 50, 300)
