@@ -99,10 +99,15 @@ def final_number(text: ColumnOrName) -> Column:
     return F.rtrim(F.replace(found, F.lit(","), F.lit("")), F.lit(".")).try_cast("double")
 
 
+def content_words(query: ColumnOrName) -> Column:
+    """Distinct words of three characters or more that say something about a query's topic."""
+    return F.filter(F.array_distinct(words(query)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
+
+
 def relevant(query: ColumnOrName, results: Column, k: int = 3, need: float = 0.5) -> Column:
     """Whether one of the first k results (texts) holds at least so many of the query's content words, anywhere in it; true for a
     query without any."""
-    content = F.filter(F.array_distinct(words(query)), lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2))
+    content = content_words(query)
     enough = lambda r: F.size(F.filter(content, lambda w: F.contains(F.lower(r), w))) >= need * F.size(content)
     return (F.size(content) == 0) | F.exists(F.slice(results, 1, k), enough)
 

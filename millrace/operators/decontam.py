@@ -49,16 +49,20 @@ def corpus_common(docs: DataFrame, idx: DataFrame, pieces, least: int, key: str
 
 def verdicts(docs: DataFrame, suite: DataFrame, key: str = "doc_id", text: str = "text", suite_key: str = "item_id", share: float = GRAM_SHARE, segment_index: DataFrame | None = None) -> DataFrame:
     """key, why of contaminated documents: "segment" on any shared segment, else "ngram" if the share of 13-grams (repeats
-    counted) that the suite has is `share` or more. Only documents without a segment hit reach the n-gram stage."""
+    counted) that the suite has is `share` or more."""
     seg = index(suite, T.segments("text"), suite_key) if segment_index is None else segment_index
     gram = index(grams_of(suite, suite_key, "text"), F.col("grams"), suite_key)
-    hit = docs.select(key, F.explode(F.array_distinct(hashed(T.segments(text)))).alias("h")).join(by_hash(seg), "h", "left_semi").select(key).distinct()
-    rest = docs.select(key, text).join(hit, key, "left_anti")
+    known = by_hash(seg).select("h", F.lit(True).alias("segment")).unionByName(gram.select(F.col("piece").alias("h"), F.lit(False).alias("segment"))).distinct().withColumn("hit", F.lit(1))
+    # One pass: both kinds of pieces of a text meet the index together and shrink to two numbers before the exchange.
+    kinds = docs.select(key, T.words(text).alias("w"), hashed(T.segments(text)).alias("s"))
+    tagged = lambda xs, kind: F.transform(xs, lambda h: F.struct(h.alias("h"), F.lit(kind).alias("segment")))
+    pieces = kinds.select(key, F.concat(tagged(F.array_distinct("s"), True), tagged(T.gram_hashes("w"), False)).alias("pieces"))
     # An outer explode: for a plain one the optimizer infers a filter on the array and evaluates it from the text once more.
-    each = grams_of(rest, key, text).select(key, F.explode_outer("grams").alias("h")).filter("h is not null")
-    marked = each.join(gram.select(F.col("piece").alias("h"), F.lit(1).alias("hit")), "h", "left")
-    by = marked.groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("mean")).filter(F.col("mean") >= share)
-    return hit.select(key, F.lit("segment").alias("why")).unionByName(by.select(key, F.lit("ngram").alias("why")))
+    each = pieces.select(key, F.explode_outer("pieces").alias("p")).filter("p is not null").select(key, "p.*")
+    hit = F.coalesce("hit", F.lit(0))
+    by = each.join(known, ["h", "segment"], "left").groupBy(key).agg(F.max(F.when(F.col("segment"), hit)).alias("segment"), F.avg(F.when(~F.col("segment"), hit)).alias("mean"))
+    why = F.when(F.col("segment") == 1, "segment").when(F.col("mean") >= share, "ngram")
+    return by.select(key, why.alias("why")).filter("why is not null")
 
 
 def report(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

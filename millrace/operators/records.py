@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as D
 from ..functions import records as R
+from ..functions.json_text import leaves
 
 
-def expand(questions: DataFrame, copies: int = 2, seed: str = "0") -> DataFrame:
+def expand(questions: DataFrame, copies: int | None = None, seed: str = "0") -> DataFrame:
     """id, record_id, qkey, copy, order, labels, gold_key, gold of questions (record_id, qkey, kind, criteria, gold): shuffled
-    copies, two where there are few options, one else. A question goes without 2 to 255 options or without its gold among them."""
+    copies, as many as asked for; if none are, two where there are few options, one else. A question goes without 2 to 255 options or without its gold among them."""
     q = questions.withColumn("criteria", R.criteria_of(F.col("kind"), F.col("criteria"))).withColumn("gold_key", F.when(F.col("kind") == "choice", F.col("gold")).otherwise(R.normal_gold(F.col("gold"))))
     size = F.size("criteria")
     q = q.filter(size.between(R.LEAST_OPTIONS, R.MOST_OPTIONS) & F.exists("criteria", lambda o: o["key"] == F.col("gold_key")))
-    n = F.when(size <= R.FEW_OPTIONS, copies).otherwise(1)
+    n = F.lit(copies) if copies is not None else F.when(size <= R.FEW_OPTIONS, 2).otherwise(1)
     q = q.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
     q = q.withColumn("id", F.concat_ws("#", "record_id", "qkey", F.col("copy").cast("string")))
     q = q.withColumn("options", R.shuffled(F.col("criteria"), F.concat_ws(":", F.lit(seed), "id")))
@@ -24,6 +25,16 @@ def expand(questions: DataFrame, copies: int = 2, seed: str = "0") -> DataFrame:
     return q.withColumn("gold", F.element_at("labels", F.array_position("order", F.col("gold_key")).cast("int")))
 
 
+def record_texts(questions: DataFrame) -> DataFrame:
+    """record_id, text of questions (record_id, state, qkey, kind, instructions, criteria): the strings of a record, each on a line
+    of its own: those of its state at any depth, then for each question, by qkey, its instructions and the descriptions of its
+    options (a yes/no question's are everyone's). Line ends part segments and words alike, so pieces don't run across strings."""
+    own = F.when(F.col("kind") == "choice", F.filter(F.transform("criteria", lambda o: o["desc"]), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    each = questions.select("record_id", "state", F.struct("qkey", F.concat(F.array(F.coalesce("instructions", F.lit(""))), own).alias("parts")).alias("q"))
+    by = each.groupBy("record_id").agg(F.min("state").alias("state"), F.array_sort(F.collect_list("q")).alias("qs"))
+    return by.select("record_id", F.array_join(F.concat(leaves("state"), F.flatten(F.transform("qs", lambda q: q["parts"]))), "\n").alias("text"))
+
+
 def attach(examples: DataFrame, teacher: DataFrame) -> DataFrame:
     """Examples with probs, by label, of teacher (record_id, qkey, probs by option key); null where the teacher has none."""
     return examples.join(teacher.select("record_id", "qkey", F.col("probs").alias("__p")), ["record_id", "qkey"], "left").withColumn("probs", F.when(F.col("__p").isNotNull(), D.remapped(F.col("__p"), F.col("order"), F.col("labels")))).drop("__p")
@@ -43,9 +54,11 @@ def averaged(labels: DataFrame, keys: list[str]) -> DataFrame:
     return each.join(n, keys).select(*keys, "option", (F.col("s") / F.when(F.col("z") == 0, F.lit(1.0)).otherwise(F.col("z"))).alias("p"))
 
 
-def agreed(pairs: DataFrame, options: Column, a: Column, b: Column, veto: Column | None = None) -> DataFrame:
-    """Rows on whose best option two distributions agree, without vetoed ones: choice added."""
-    out = pairs.withColumn("choice", D.argmax(options, a)).filter(F.col("choice") == D.argmax(options, b))
+def agreed(pairs: DataFrame, options: Column, a: Column, b: Column, veto: Column | None = None, yes_no: Column | None = None) -> DataFrame:
+    """Rows on whose answer two distributions agree, without vetoed ones: choice added. The answer is the best option; where
+    yes_no holds, whether true has half or more."""
+    kind = F.lit(False) if yes_no is None else yes_no
+    out = pairs.withColumn("choice", D.picked(options, a, kind)).filter(F.col("choice") == D.picked(options, b, kind))
     return out.filter(~veto) if veto is not None else out
 
 

@@ -73,7 +73,7 @@ def training_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-WITH x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS run_id, 'set' || l_suppkey % 20 AS dataset, l_quantity > 25 AS a, l_quantity + l_linenumber * (l_suppkey % 5 - 2) > 25 AS b, l_tax > 0.04 AS g FROM lineitem WHERE l_orderkey % 20 = 0),
+WITH x AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS run_id, 'set' || l_suppkey % 20 AS dataset, l_quantity > 25 AS a, l_quantity + l_linenumber * (l_suppkey % 5 - 2) > 25 AS b, l_tax > 0.04 AS g FROM lineitem),
 y AS (SELECT run_id, any_value(dataset) AS dataset, bool_or(a) AS a, bool_or(b) AS b, bool_or(g) AS g FROM x GROUP BY run_id)
 SELECT dataset, sum((a = g AND b = g)::INT)::BIGINT AS kept, sum((a = g AND b <> g)::INT)::BIGINT AS loss, sum((a <> g AND b = g)::INT)::BIGINT AS win FROM y GROUP BY dataset""")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:

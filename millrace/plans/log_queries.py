@@ -35,7 +35,7 @@ def key_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 CASES = """
-WITH c AS (SELECT event_id AS "case", epoch(ts)::BIGINT AS t FROM events WHERE event_type = 'error' AND event_id % 25 = 0),
+WITH c AS (SELECT event_id AS "case", epoch(ts)::BIGINT AS t FROM events WHERE event_type = 'error'),
 m AS (SELECT "case", event_type, value, user_id, CASE WHEN floor(epoch(e.ts))::BIGINT < t THEN 'before' ELSE 'after' END AS phase FROM events e JOIN (SELECT "case", t FROM c) c ON floor(epoch(e.ts))::BIGINT >= t - 6000 AND floor(epoch(e.ts))::BIGINT < t + 3000),
 """
 
@@ -105,7 +105,7 @@ def header_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-WITH RECURSIVE p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 20),
+WITH RECURSIVE p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 r AS (SELECT user_id, i, n, value AS m, 0 AS k FROM p WHERE i = 1 UNION ALL
  SELECT p.user_id, p.i, p.n, CASE WHEN p.value > 3 * r.m THEN r.m ELSE 0.9 * r.m + 0.1 * p.value END, r.k + (p.value > 3 * r.m)::INT FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i + 1)
 SELECT user_id, n, round(m, 6) AS ema, k AS skipped FROM r WHERE i = n""")
@@ -125,7 +125,7 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-WITH e AS (SELECT event_id, ts, user_id FROM events WHERE user_id < 40)
+WITH e AS (SELECT event_id, ts, user_id FROM events)
 SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.ts < b.ts + INTERVAL 2 HOUR AND b.ts < a.ts + INTERVAL 2 HOUR""")
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a user's events whose two-hour intervals overlap: joined on user and a two-hour slot, not on a range alone."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.json_text import canonical
 from ..operators import decontam as X
 from ..operators import sampling as S
 from .base import Catalog, table
@@ -85,8 +86,7 @@ def dedup_shuffled(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_type, min(event_id) AS event_id, count(*) AS n FROM events
 GROUP BY event_type, regexp_replace(props, '\\s', '', 'g')""")
 def dedup_canonical(spark: SparkSession, d: str) -> DataFrame:
-    canonical = F.regexp_replace("props", r"\s", "")
-    return table(spark, d, "events").groupBy("event_type", canonical.alias("key")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).select("event_type", "event_id", "n")
+    return table(spark, d, "events").groupBy("event_type", canonical("props").alias("key")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).select("event_type", "event_id", "n")
 
 
 LETTERS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
@@ -158,12 +158,8 @@ def normal_answers(spark: SparkSession, d: str) -> DataFrame:
 @C.query("""
 SELECT p_partkey, p_name LIKE '%part%' || (p_partkey % 7) || '%' AS fits FROM part""")
 def template_match(spark: SparkSession, d: str) -> DataFrame:
-    # Templates are few: each distinct one is compiled once, where a pattern column would be compiled for each row.
-    part = table(spark, d, "part").withColumn("k", F.col("p_partkey") % 7)
-    fits = F.lit(False)
-    for k in range(7):
-        fits = F.when(F.col("k") == k, F.col("p_name").rlike(rf"(?s)\Qpart\E.*?\Q{k}\E")).otherwise(fits)
-    return part.select("p_partkey", fits.alias("fits"))
+    template = F.concat(F.lit("part<*>"), (F.col("p_partkey") % 7).cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.regexp_like("p_name", T.template_pattern(template)).alias("fits"))
 
 
 @C.query("SELECT lang, count(*) AS n FROM documents WHERE length(text) BETWEEN 20 AND 2000 AND lang IN ('en', 'de') AND source IS NOT NULL GROUP BY lang")
@@ -172,9 +168,29 @@ def opener_filters(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n"))
 
 
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@C.query(f"""
+WITH q AS (SELECT item_id, text, list_filter(list_distinct({WORDS}), lambda x: length(x) > 2 AND x NOT IN ({STOP})) AS q FROM benchmark),
+c AS (SELECT item_id, doc_id, count(*) AS k FROM (SELECT item_id, unnest(q) AS w FROM q) JOIN (SELECT doc_id, unnest(list_distinct({WORDS})) AS w FROM documents) USING (w) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, doc_id) AS rank FROM c),
+t AS (SELECT item_id, list(text ORDER BY rank) AS top FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY item_id)
+SELECT item_id, len(q) = 0 OR len(list_filter(coalesce(top, []), lambda d: 2 * len(list_filter(q, lambda w: contains(lower(d), w))) >= len(q))) > 0 AS relevant FROM q LEFT JOIN t USING (item_id)""")
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one of the three documents that share most of a question's content words holds half of them."""
+    suite, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    asked = suite.select("item_id", F.explode(T.content_words("text")).alias("word"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(T.words("text"))).alias("word")).join(asked, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"))
+    best = S.per_group(found, ["item_id"], 3, [F.desc("k"), F.col("doc_id")])
+    top = best.join(docs.select("doc_id", "text"), "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "doc_id", "text"))).alias("r"))
+    rows = suite.join(top, "item_id", "left").withColumn("results", F.transform(F.coalesce("r", F.from_json(F.lit("[]"), "array<struct<k:bigint,doc_id:bigint,text:string>>")), lambda x: x["text"]))
+    return rows.select("item_id", T.relevant("text", F.col("results")).alias("relevant"))
+
+
 @C.query("""
 WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents),
-q AS (SELECT item_id, list_filter(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+')))[1:6], lambda x: length(x) > 2) AS q FROM benchmark WHERE item_id < 10)
+q AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: length(x) > 2) AS q FROM benchmark)
 SELECT item_id, doc_id FROM q, w WHERE len(q) > 0 AND 2 * len(list_intersect(q, t)) >= len(q)""")
 def search_relevance(spark: SparkSession, d: str) -> DataFrame:
     """At least half of a question's content words are in the document; a question's words find the documents."""

@@ -14,19 +14,16 @@ from ..operators import reviews as V
 from ..operators import sampling as S
 
 
-def training_mix(questions: DataFrame, suite: DataFrame, teacher: DataFrame, quotas: dict[str, int], seed: str, copies: int = 2) -> DataFrame:
+def training_mix(questions: DataFrame, suite: DataFrame, teacher: DataFrame, quotas: dict[str, int], seed: str, copies: int | None = None) -> DataFrame:
     """Labelled examples of questions (record_id, source, state, qkey, kind, instructions, criteria, gold) that share nothing with
-    the suite (item_id, text): quotas by source prefix, classes in turn, options shuffled, the teacher's distributions by label,
+    the suite (item_id, text) in any of their texts: quotas by source prefix, sources and classes in turn, options shuffled, the teacher's distributions by label,
     prompts rendered."""
-    # A state that is a JSON string is compared as its text, and ends before the instructions: marks and line ends part segments.
-    state = F.when(F.col("state").startswith('"'), F.coalesce(F.get_json_object("state", "$"), "state")).otherwise(F.col("state"))
-    texts = questions.select("record_id", F.concat_ws("\n", state, "instructions").alias("text"))
-    dirty = X.verdicts(texts, suite, key="record_id").select("record_id")
+    dirty = X.verdicts(O.record_texts(questions), suite, key="record_id").select("record_id")
     clean = questions.join(dirty, "record_id", "left_anti").withColumn("bucket", S.first_bucket(F.col("source"), list(quotas)))
     quota: Column = F.lit(0)
     for name, n in quotas.items():
         quota = F.when(F.col("bucket") == name, n).otherwise(quota)
-    mixed = S.round_robin(clean, ["gold"], max(quotas.values()), seed, "record_id", ["bucket"]).filter(F.col("pos") <= quota).drop("rn", "pos")
+    mixed = S.round_robin(clean, ["source", "gold"], max(quotas.values()), seed, "record_id", ["bucket"]).filter(F.col("pos") <= quota).drop("rn", "pos")
     examples = O.attach(O.expand(mixed, copies, seed), teacher)
     prompt = R.decision_prompt(F.col("state"), F.col("instructions"), F.col("options"), F.col("labels"))
     return examples.withColumn("prompt", prompt).select("id", "source", "prompt", "labels", "gold", "order", "probs")

@@ -238,3 +238,25 @@ def test_puzzles(spark):
         if r.family == "free_slot":
             assert [h for h in r.options if f" {h}" not in r.state.replace(",", "").replace(".", "")] == [r.answer]
     assert [tuple(r) for r in Z.puzzles(spark, 40).orderBy("family", "id").collect()] == [tuple(r) for r in Z.puzzles(spark, 40).repartition(3).orderBy("family", "id").collect()]
+
+
+def test_expand_with_copies_asked_for(spark):
+    many = [(str(i), None) for i in range(12)]
+    q = spark.createDataFrame([("a", "q", "choice", many, "3"), ("b", "q", "choice", many[:3], "1")], "record_id string, qkey string, kind string, criteria array<struct<key:string,desc:string>>, gold string")
+    count = lambda **more: {r.record_id: r["count"] for r in O.expand(q, **more).groupBy("record_id").count().collect()}
+    assert count() == {"a": 1, "b": 2} and count(copies=3) == {"a": 3, "b": 3}
+
+
+def test_agreed_on_yes_no_is_at_one_half(spark):
+    rows = spark.createDataFrame([(1, True, {"true": 0.5, "false": 0.5}, {"true": 0.6, "false": 0.4}), (2, True, {"true": 0.4}, {"true": 0.45, "false": 0.3}), (3, True, {"true": 0.4, "false": 0.6}, {"true": 0.7, "false": 0.3})], "k int, noul boolean, a map<string,double>, b map<string,double>")
+    options = F.array(F.lit("false"), F.lit("true"))
+    assert {r.k: r.choice for r in O.agreed(rows, options, F.col("a"), F.col("b"), yes_no=F.col("noul")).collect()} == {1: "true", 2: "false"}
+
+
+def test_record_texts_hold_every_string_apart(spark):
+    """Segments end with the string that they stand in; options of choices count, keys and yes/no options don't."""
+    schema = "record_id string, state string, qkey string, kind string, instructions string, criteria array<struct<key:string,desc:string>>"
+    state = '{"title": "one two three", "body": ["four five", {"x": "six seven. eight", "n": 3}]}'
+    rows = [("r", state, "b", "noul", "Is it so?", [("true", "Yes, the statement is true.")]), ("r", state, "a", "choice", "Which one?", [("k", "first kind of it"), ("l", None), ("m", "second")]), ("s", '"plain text"', "q", "choice", None, [])]
+    got = {r.record_id: r.text for r in O.record_texts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"r": "one two three\nfour five\nsix seven. eight\nWhich one?\nfirst kind of it\nsecond\nIs it so?", "s": "plain text\n"}

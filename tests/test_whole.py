@@ -30,12 +30,9 @@ def made(spark, tmp_path):
 TABLES = "events lineitem".split()
 
 
-def whole(folder, name, *cuts):
-    """Rows of a query's SQL, the given cuts taken out of it."""
+def whole(folder, name):
+    """Rows of a query's SQL, which has no cuts by number."""
     sql, con = catalog.SQL[name], duckdb.connect()
-    for cut in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, "")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return con.execute(sql).df()
@@ -74,14 +71,14 @@ def test_interval_overlap_of_all_users(spark, made):
 
 @pytest.mark.parametrize("name", ["before_after_rates", "new_messages", "metric_shift_topk"])
 def test_every_error_is_a_case(spark, small, name):
-    want = whole(small, name, " AND event_id % 25 = 0")
+    want = whole(small, name)
     assert (want["case"] % 25 != 0).any()
     assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(want)
 
 
-@pytest.mark.parametrize(("name", "cut"), [("mcnemar_gate", " WHERE l_orderkey % 10 = 0"), ("regression_gate", " WHERE l_orderkey % 20 = 0")])
-def test_gates_of_all_orders(spark, small, name, cut):
-    assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(whole(small, name, cut))
+@pytest.mark.parametrize("name", ["mcnemar_gate", "regression_gate"])
+def test_gates_of_all_orders(spark, small, name):
+    assert rows(catalog.QUERIES[name](spark, small).toPandas()) == rows(whole(small, name))
 
 
 def test_mcnemar_of_large_counts(spark):
