@@ -47,6 +47,8 @@ def round_robin(df: DataFrame, groups: list[str], n: int, seed: str | int, key:
     order = [F.col("rn"), draw(seed, *groups), F.col(key)]
     if not within:
         return df.orderBy(*order).limit(n)
+    # Whatever stands beyond n in its own group can't be among the first n of all.
+    df = df.filter(F.col("rn") <= n)
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col("pos") <= n)
 
 
