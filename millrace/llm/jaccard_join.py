@@ -416,8 +416,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, hot: int = HOT) -> DataFra
     found, repeated = labelled(docs, percent, hot)
     scratch = Scratch(docs.sparkSession, "jaccard-keep")
     found = scratch.keep(found.filter("comp is not null").select("doc_id", "h", "comp"))
-    best = found.groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.count("*").alias("k")).filter("k > 1")
-    away = found.join(best, "comp").filter(F.struct("doc_id", "h") != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    best = scratch.keep(found.groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.count("*").alias("k")).filter("k > 1"))
+    # A component may hold a third of the rows: they meet its best row where they are, while components are few.
+    away = found.join(F.broadcast(best) if best.count() <= FEW_IDS else best, "comp").filter(F.struct("doc_id", "h") != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     away = scratch.keep(away)
     few = away.count() <= FEW_IDS
     out = docs.select(*docs.columns, with_id().alias("__id"), F.xxhash64("text").alias("__h"))
