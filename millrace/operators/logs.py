@@ -114,11 +114,16 @@ def batches(rows: DataFrame, by: list[str], key: str, length: str, budget: int)
     """by, batches: rows by rising length in groups whose padded size, longest times number, stays within the budget; an array
     of arrays of keys. The fold is sequential within a group by nature, so groups are what runs in parallel."""
     lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(length, key))).alias("s"))
-    kind = rows.schema[key].dataType.simpleString()
-    start = F.from_json(F.lit('{"done":[],"open":[]}'), f"struct<done:array<array<{kind}>>,open:array<{kind}>>")
+    # The fold carries where batches start, and arrays are cut there once: keys aren't copied at each step.
+    start = F.from_json(F.lit('{"i":0,"from":0,"starts":[0]}'), "struct<i:int,from:int,starts:array<int>>")
 
     def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["open"]) > 0) & ((F.size(acc["open"]) + 1) * x[length] > budget)
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(x[key])).otherwise(F.array_append(acc["open"], x[key])).alias("open"))
-
-    return lists.select(*by, F.aggregate("s", start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])).alias("batches"))
+        full = (acc["i"] > acc["from"]) & ((acc["i"] - acc["from"] + 1) * x[length] > budget)
+        return F.struct(
+            (acc["i"] + 1).alias("i"), F.when(full, acc["i"]).otherwise(acc["from"]).alias("from"),
+            F.when(full, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    cut = lists.select(*by, F.transform("s", lambda x: x[key]).alias("__keys"), F.aggregate("s", start, step, lambda acc: acc["starts"]).alias("__starts"))
+    ends = lambda i: F.coalesce(F.get("__starts", i + 1), F.size("__keys"))
+    return cut.select(*by, F.transform("__starts", lambda a, i: F.slice("__keys", a + 1, ends(i) - a)).alias("batches"))

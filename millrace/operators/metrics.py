@@ -7,14 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """by, n_pos, n_neg, auc: ties count half; null where a class is empty. Rows are first counted by score, so ranks run over
     distinct scores."""
     by = by or []
     counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("m") / 2))
+    won = running(counts, by, [score], m=F.col("m")).withColumn("won", F.col("p") * (F.col("m_before") + F.col("m") / 2))
     out = won.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"), F.sum("won").alias("won"))
     pairs = F.col("n_pos") * F.col("n_neg")
     return out.select(*by, "n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).alias("auc"))
@@ -22,11 +23,10 @@ def auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -
 
 def miss_at_share(df: DataFrame, score: str, positive: str, key: str, share: float, by: list[str]) -> DataFrame:
     """by, n, picked, missed: share of all positives that are among the bround(share * n) rows of lowest score."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__rn", F.row_number().over(w.orderBy(score, key))).withColumn("__n", F.count("*").over(w))
-    cheap, hit = F.col("__rn") <= F.bround(share * F.col("__n"), 0), F.col(positive).cast("int")
+    ranked = running(df, by, [score, key], __n=F.lit(1))
+    cheap, hit = F.col("__n_before") < F.bround(share * F.col("__n_all"), 0), F.col(positive).cast("int")
     missed = F.sum(F.when(cheap, hit).otherwise(0)) / F.nullif(F.sum(hit), F.lit(0))
-    return ranked.groupBy(*by).agg(F.max("__n").alias("n"), F.sum(cheap.cast("int")).alias("picked"), missed.alias("missed"))
+    return ranked.groupBy(*by).agg(F.max("__n_all").alias("n"), F.sum(cheap.cast("int")).alias("picked"), missed.alias("missed"))
 
 
 def balanced_accuracy(truth: Column, guess: Column) -> Column:
@@ -36,8 +36,7 @@ def balanced_accuracy(truth: Column, guess: Column) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, key: str, by: list[str]) -> DataFrame:
     """by, n, rho: from ordinal ranks (ties by key), closed form."""
-    w = Window.partitionBy(*by)
-    r = df.withColumn("__d", F.row_number().over(w.orderBy(a, key)) - F.row_number().over(w.orderBy(b, key)))
+    r = running(running(df, by, [a, key], __a=F.lit(1)), by, [b, key], __b=F.lit(1)).withColumn("__d", F.col("__a_before") - F.col("__b_before"))
     n = F.count("*").cast("double")
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.when(n > 1, 1 - 6 * F.sum(F.col("__d").cast("double") * F.col("__d")) / (n * (n * n - 1))).alias("rho"))
 
@@ -89,13 +88,12 @@ def gate(pairs: DataFrame, by: str, key_old: str, key_new: str, protected: list[
 def order_statistics(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, n, median, p50, p90, p95: the exact median, and values at int(q (n - 1)) for .5 and .9 and at min(n - 1, int(.95 n)),
     found by rank within counts of distinct values."""
-    w = Window.partitionBy(*by).orderBy(value)
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__k"))
-    upto = counts.withColumn("__hi", F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__n", F.sum("__k").over(Window.partitionBy(*by)))
-    at = lambda i: F.max(F.when((F.col("__hi") > i) & (F.col("__hi") - F.col("__k") <= i), F.col(value)))
-    n = F.col("__n")
+    upto = running(counts, by, [value], __n=F.col("__k"))
+    at = lambda i: F.max(F.when((F.col("__n_before") + F.col("__k") > i) & (F.col("__n_before") <= i), F.col(value)))
+    n = F.col("__n_all")
     return upto.groupBy(*by).agg(
-        F.max("__n").alias("n"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.floor(0.5 * (n - 1))).alias("p50"),
+        F.max("__n_all").alias("n"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"), at(F.floor(0.5 * (n - 1))).alias("p50"),
         at(F.floor(0.9 * (n - 1))).alias("p90"), at(F.least(n - 1, F.floor(0.95 * n))).alias("p95"),
     )
 

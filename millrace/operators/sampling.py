@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def draw(seed: str | int, *key: Column | str) -> Column:
     """An order key: md5 of the seed and the row's key."""
@@ -45,10 +47,10 @@ def round_robin(df: DataFrame, groups: list[str], n: int, seed: str | int, key:
     rn = F.row_number().over(Window.partitionBy(*(within or []), *groups).orderBy(draw(seed, key), key))
     df = df.withColumn("rn", rn)
     order = [F.col("rn"), draw(seed, *groups), F.col(key)]
+    # Whatever stands beyond n in its own group can't be among the first n of all; the limit is taken before the exchange too.
+    df = df.filter(F.col("rn") <= n)
     if not within:
         return df.orderBy(*order).limit(n)
-    # Whatever stands beyond n in its own group can't be among the first n of all.
-    df = df.filter(F.col("rn") <= n)
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col("pos") <= n)
 
 
@@ -62,9 +64,9 @@ def first_bucket(source: Column, prefixes: list[str], other: str = "other") -> C
 
 def head_rest(df: DataFrame, groups: list[str], seed: str | int, key: str, most: int = 80, per: int = 10) -> DataFrame:
     """split: the first min(most, n / per) rows of each group are valid, the rest train."""
-    w = Window.partitionBy(*groups)
-    rn, n = F.row_number().over(w.orderBy(draw(seed, key), key)), F.count("*").over(w)
-    return df.withColumn("split", F.when(rn <= F.least(F.lit(most), F.floor(n / per)), "valid").otherwise("train"))
+    ranked = running(df.withColumn("__draw", draw(seed, key)), groups, ["__draw", key], __n=F.lit(1)).drop("__draw")
+    valid = F.col("__n_before") < F.least(F.lit(most), F.floor(F.col("__n_all") / per))
+    return ranked.withColumn("split", F.when(valid, "valid").otherwise("train")).drop("__n_before", "__n_all")
 
 
 def group_split(df: DataFrame, group: str, seed: str | int, test: float = 0.15, valid: float = 0.1) -> DataFrame:
@@ -86,12 +88,12 @@ def md5_mod10(key: Column) -> Column:
 
 def proportional(df: DataFrame, label: str, n: int, seed: str | int, key: str) -> DataFrame:
     """About n rows, each class by its share of all (half-even)."""
-    w = Window.partitionBy(label)
-    every = df.agg(F.count("*").alias("__all"))
-    quota = F.bround(n * F.count("*").over(w) / F.col("__all"), 0)
+    counts = df.groupBy(label).agg(F.count("*").alias("__c"))
     # The count is one row: a broadcast of fixed size.
-    ranked = df.join(F.broadcast(every)).withColumn("__q", quota).withColumn("__rn", F.row_number().over(w.orderBy(draw(seed, key), key)))
-    return ranked.filter("__rn <= __q").drop("__q", "__rn", "__all")
+    quotas = counts.join(F.broadcast(df.agg(F.count("*").alias("__all")))).select(F.col(label).alias("__l"), F.bround(n * F.col("__c") / F.col("__all"), 0).alias("__q"))
+    # No quota is above n, so a class sends n rows a task and no more.
+    first = per_group(df, [label], n, [draw(seed, key), key], "__rn")
+    return first.join(quotas, F.col(label).eqNullSafe(F.col("__l"))).filter("__rn <= __q").drop("__q", "__rn", "__l")
 
 
 def balanced(df: DataFrame, label: str, n: int, seed: str | int, key: str) -> DataFrame:

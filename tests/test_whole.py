@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 from fractions import Fraction
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics as M
+from millrace.operators.ranks import running
 from millrace.plans import catalog
 
 from test_queries import rows
@@ -123,3 +125,15 @@ def test_training_mix_compares_and_keeps_whole_texts(spark, made):
         prompts.setdefault(int(r.id.split("#")[0].split(":")[1]), set()).add(r.prompt)
     assert set(prompts) == set(range(len(texts))) - dirty
     assert all(json.loads(p)["state"] == texts[i] for i, ps in prompts.items() for p in ps)
+
+
+def test_running_sums(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 0.5, -1.0, 2.0, rng.random()]), i, rng.choice([None, 1, 2, 5])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double, id int, n int")
+    place = lambda r: (r[1] is not None, r[1] or 0.0, r[2])
+    for by in (["g"], []):
+        same = lambda r, o: not by or r[0] == o[0]  # noqa: B023, E731
+        got = {r["id"]: (r["n_before"], r["n_all"]) for r in running(df, by, ["x", "id"], n=F.col("n")).collect()}
+        assert got == {r[2]: (sum(o[3] or 0 for o in rows if same(r, o) and place(o) < place(r)), sum(o[3] or 0 for o in rows if same(r, o))) for r in rows}
+    assert running(df.filter("id < 0"), [], ["id"], n=F.lit(1)).count() == 0
