@@ -28,50 +28,6 @@ def sessions(lines: DataFrame, keys: Column, position: str, line: str, most: int
     return lists.select("key", "n", F.transform("s", lambda x: x[line]).alias("lines"))
 
 
-def around(events: DataFrame, cases: DataFrame, time: str, before: int, after: int) -> DataFrame:
-    """events with case and phase: before for [t - before, t), after for [t, t + after) of each case (case, at). Cases are cut
-    into pieces of the longer side's length, so the join has an equality."""
-    step = max(before, after)
-    secs = F.unix_timestamp(time)
-    c = cases.select("case", F.unix_timestamp("at").alias("__t"))
-    c = c.withColumn("__k", F.explode(F.sequence(F.floor((F.col("__t") - before) / step), F.floor((F.col("__t") + after - 1) / step))))
-    e = events.withColumn("__s", secs).withColumn("__k", F.floor(secs / step))
-    got = e.join(c, "__k").filter((F.col("__s") >= F.col("__t") - before) & (F.col("__s") < F.col("__t") + after))
-    return got.withColumn("phase", F.when(F.col("__s") < F.col("__t"), "before").otherwise("after")).drop("__k", "__s", "__t")
-
-
-def rates(marked: DataFrame, by: list[str], before: int, after: int) -> DataFrame:
-    """by, n_before, n_after, rate_before, rate_after (a minute)."""
-    n = lambda p: F.sum((F.col("phase") == p).cast("int"))
-    return marked.groupBy(*by).agg(n("before").alias("n_before"), n("after").alias("n_after")).withColumn("rate_before", F.col("n_before") * 60.0 / before).withColumn("rate_after", F.col("n_after") * 60.0 / after)
-
-
-#: Fixed value: what tells an error message.
-ERROR = r"(?i)error|exception|fail|timeout|timed out|refused|panic|unavailable|denied|reset|50[0-9]"
-
-
-def new_messages(marked: DataFrame, case: str, service: str, message: str, per_service: int, total: int) -> DataFrame:
-    """case, service, message, n, rank: messages seen after the event and never before it; the most frequent ones of each
-    service, then of the case, those that look like errors first."""
-    by = marked.groupBy(case, service, message).agg(F.sum((F.col("phase") == "after").cast("int")).alias("n"), F.max((F.col("phase") == "before").cast("int")).alias("old")).filter("old = 0 and n > 0").drop("old")
-    order = [F.desc(F.col(message).rlike(ERROR)), F.desc("n"), F.col(service), F.col(message)]
-    by = by.withColumn("__k", F.row_number().over(Window.partitionBy(case, service).orderBy(F.desc("n"), message))).filter(F.col("__k") <= per_service).drop("__k")
-    return by.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*order))).filter(F.col("rank") <= total)
-
-
-def metric_shift(marked: DataFrame, case: str, metric: str, value: str, k: int, least: int = 10) -> DataFrame:
-    """case, metric, mean_before, mean_after, z, rank: change over the spread before (and a hundredth of the mean), the k largest of
-    a case, of metrics with `least` values or more on either side."""
-    v = F.col(value)
-    side = lambda p: F.when(F.col("phase") == p, v)
-    by = marked.groupBy(case, metric).agg(
-        F.avg(side("before")).alias("mean_before"), F.avg(side("after")).alias("mean_after"), F.stddev_pop(side("before")).alias("sd"),
-        F.count(side("before")).alias("nb"), F.count(side("after")).alias("na"),
-    )
-    by = by.filter((F.col("nb") >= least) & (F.col("na") >= least)).withColumn("z", (F.col("mean_after") - F.col("mean_before")) / (F.col("sd") + 1e-9 + 0.01 * F.abs("mean_before"))).drop("sd", "nb", "na")
-    return by.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(F.desc(F.abs("z")), metric))).filter(F.col("rank") <= k)
-
-
 def fit_tail(steps: DataFrame, key: str, position: str, size: Column, head: int, budget: int, marker: int = 80) -> DataFrame:
     """steps with kept: all where they fit the budget; else the first `head` steps and as many of the last as fit what these and a
     marker leave of it."""

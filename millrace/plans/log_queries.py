@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import generators as G
+from ..operators import incidents as I
 from ..operators import logs as L
 from ..operators.sampling import draw
 from ..sources import io
@@ -40,17 +41,23 @@ m AS (SELECT "case", event_type, value, user_id, CASE WHEN floor(epoch(e.ts))::B
 """
 
 
-def _around(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events")
-    cases = events.filter("event_type = 'error'").select(F.col("event_id").alias("case"), F.col("ts").alias("at"))
-    return L.around(events.select("ts", "event_type", "value", "user_id"), cases, "ts", 6000, 3000)
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("case"), F.col("ts").alias("at"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as log lines: a service and a message that says what kind of user it was."""
+    kind = F.col("user_id") % 10
+    message = F.when(kind == 3, "failed 3").otherwise(F.concat(F.lit("user "), kind.cast("string")))
+    return table(spark, d, "events").select("event_id", "ts", "event_type", "value", (F.col("user_id") % 3).alias("service"), message.alias("message"))
 
 
 @C.query(CASES.replace("epoch(ts)::BIGINT AS t", "floor(epoch(ts))::BIGINT AS t") + """
 r AS (SELECT "case", event_type, sum((phase = 'before')::INT) AS n_before, sum((phase = 'after')::INT) AS n_after FROM m GROUP BY ALL)
 SELECT "case", event_type, n_before::BIGINT AS n_before, n_after::BIGINT AS n_after, round(n_before * 60.0 / 6000, 9) AS rate_before, round(n_after * 60.0 / 3000, 9) AS rate_after FROM r""")
 def before_after_rates(spark: SparkSession, d: str) -> DataFrame:
-    return L.rates(_around(spark, d), ["case", "event_type"], 6000, 3000).withColumn("rate_before", F.round("rate_before", 9)).withColumn("rate_after", F.round("rate_after", 9))
+    got = I.rates(table(spark, d, "events"), _cases(spark, d), "ts", 6000, 3000, ["event_type"])
+    return got.withColumn("rate_before", F.round("rate_before", 9)).withColumn("rate_after", F.round("rate_after", 9))
 
 
 @C.query(CASES.replace("epoch(ts)::BIGINT AS t", "floor(epoch(ts))::BIGINT AS t") + """
@@ -60,8 +67,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY "case", service ORDER BY n DESC,
 r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY message LIKE '%fail%' DESC, n DESC, service, message) AS rank FROM k WHERE k <= 3)
 SELECT "case", service, message, n::BIGINT AS n, rank::INT AS rank FROM r WHERE rank <= 5""")
 def new_messages(spark: SparkSession, d: str) -> DataFrame:
-    marked = _around(spark, d).withColumn("service", F.col("user_id") % 3).withColumn("message", F.when(F.col("user_id") % 10 == 3, "failed 3").otherwise(F.concat(F.lit("user "), (F.col("user_id") % 10).cast("string"))))
-    return L.new_messages(marked, "case", "service", "message", 3, 5)
+    return I.new_messages(_lines(spark, d), _cases(spark, d), "ts", 6000, 3000, "service", "message", 3, 5)
 
 
 @C.query(CASES.replace("epoch(ts)::BIGINT AS t", "floor(epoch(ts))::BIGINT AS t") + """
@@ -70,10 +76,51 @@ z AS (SELECT "case", metric, b, a, round((a - b) / (sd + 1e-9 + 0.01 * abs(b)),
 r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY abs(z) DESC, metric) AS rank FROM z)
 SELECT "case", metric, round(b, 6) AS mean_before, round(a, 6) AS mean_after, z, rank::INT AS rank FROM r WHERE rank <= 2""")
 def metric_shift_topk(spark: SparkSession, d: str) -> DataFrame:
-    got = L.metric_shift(_around(spark, d), "case", "event_type", "value", 2, 2).withColumnRenamed("event_type", "metric")
+    got = I.metric_shift(table(spark, d, "events"), _cases(spark, d), "ts", 6000, 3000, "event_type", "value", 2, 2).withColumnRenamed("event_type", "metric")
     return got.select("case", "metric", F.round("mean_before", 6).alias("mean_before"), F.round("mean_after", 6).alias("mean_after"), F.round("z", 6).alias("z"), "rank")
 
 
+LINES = """
+WITH c AS (SELECT event_id AS "case", floor(epoch(ts))::BIGINT AS t FROM events WHERE event_type = 'error'),
+e AS (SELECT event_id, event_type, value, floor(epoch(ts))::BIGINT AS s, user_id % 3 AS service, CASE user_id % 10 WHEN 3 THEN 'failed 3' ELSE 'user ' || user_id % 10 END AS message FROM events),
+m AS (SELECT "case", event_id, event_type, value, service, message, message LIKE '%fail%' AS err, s, CASE WHEN s < t THEN 'before' ELSE 'after' END AS phase FROM e JOIN c ON s >= t - 6000 AND s < t + 3000),
+"""
+
+
+@C.query(LINES + """
+r AS (SELECT "case", service, sum((phase = 'before')::INT) AS n_before, sum((phase = 'after')::INT) AS n_after, sum((err AND phase = 'before')::INT) AS errors_before, sum((err AND phase = 'after')::INT) AS errors_after FROM m GROUP BY ALL)
+SELECT "case", service, n_before::BIGINT AS n_before, n_after::BIGINT AS n_after, errors_before::BIGINT AS errors_before, errors_after::BIGINT AS errors_after, round(n_before * 60.0 / 6000, 9) AS rate_before, round(n_after * 60.0 / 3000, 9) AS rate_after,
+  round(errors_before * 60.0 / 6000, 9) AS error_rate_before, round(errors_after * 60.0 / 3000, 9) AS error_rate_after FROM r""")
+def service_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    got = I.rates(_lines(spark, d), _cases(spark, d), "ts", 6000, 3000, ["service"], F.col("message").rlike(I.ERROR))
+    return got.withColumns({c: F.round(c, 9) for c in ("rate_before", "rate_after", "error_rate_before", "error_rate_after")})
+
+
+@C.query(LINES + """
+g AS (SELECT "case", service, message, sum((phase = 'after')::INT) AS n, max((phase = 'before')::INT) AS old, min({'s': s, 'x': event_type || ' ' || event_id}) FILTER (phase = 'after') AS x FROM m GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY "case", service ORDER BY n DESC, message) AS k FROM g WHERE old = 0 AND n > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY message LIKE '%fail%' DESC, n DESC, service, message) AS rank FROM k WHERE k <= 3),
+n AS (SELECT "case", string_agg(service || ' (x' || n || '): ' || x.x, '|' ORDER BY rank) AS said FROM r WHERE rank <= 15 GROUP BY "case"),
+l AS (SELECT "case", service, round(sum((phase = 'before')::INT) * 60.0 / 6000, 1) AS a, round(sum((phase = 'after')::INT) * 60.0 / 3000, 1) AS b, round(sum((err AND phase = 'before')::INT) * 60.0 / 6000, 1) AS c, round(sum((err AND phase = 'after')::INT) * 60.0 / 3000, 1) AS d FROM m GROUP BY ALL),
+o AS (SELECT "case", string_agg(service, ',' ORDER BY service) AS services, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM l GROUP BY "case"),
+v AS (SELECT "case", event_type, avg(CASE phase WHEN 'before' THEN value END) AS b, avg(CASE phase WHEN 'after' THEN value END) AS a, stddev_pop(CASE phase WHEN 'before' THEN value END) AS sd, count(CASE phase WHEN 'before' THEN value END) AS nb, count(CASE phase WHEN 'after' THEN value END) AS na FROM m GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY abs((a - b) / (sd + 1e-9 + 0.01 * abs(b))) DESC, event_type) AS rank FROM v WHERE nb >= 2 AND na >= 2),
+h AS (SELECT "case", string_agg(event_type, ',' ORDER BY rank) AS moves, round(sum(a - b), 5) AS moved FROM z WHERE rank <= 12 GROUP BY "case")
+SELECT c."case", moves, moved, services, round(a, 1) AS lines_before, round(b, 1) AS lines_after, round(c, 1) AS errors_before, round(d, 1) AS errors_after, said FROM c LEFT JOIN h USING ("case") LEFT JOIN o USING ("case") LEFT JOIN n USING ("case")""")
+def incident_summaries(spark: SparkSession, d: str) -> DataFrame:
+    lines, cases, window = _lines(spark, d), _cases(spark, d), ("ts", 6000, 3000)
+    example = F.concat("event_type", F.lit(" "), F.col("event_id").cast("string"))
+    said = I.new_messages(lines, cases, *window, "service", "message", 3, 15, example)
+    got = I.summaries(cases, I.metric_shift(lines, cases, *window, "event_type", "value", 12, 2), I.rates(lines, cases, *window, ["service"], F.col("message").rlike(I.ERROR)), said, "event_type", "service")
+    total = lambda c: F.round(F.aggregate("logs_per_service", F.lit(0.0), lambda s, x: s + x[c]), 1)
+    moved = F.round(F.aggregate("biggest_metric_changes", F.lit(0.0), lambda s, x: s + x["mean_after"] - x["mean_before"]), 5)
+    message = F.transform("new_log_messages", lambda x: F.concat(x["service"], F.lit(" (x"), x["n"].cast("string"), F.lit("): "), x["message"]))
+    return got.select(
+        "case", F.array_join("biggest_metric_changes.metric", ",").alias("moves"), moved.alias("moved"), F.array_join("services", ",").alias("services"), total("rate_before").alias("lines_before"), total("rate_after").alias("lines_after"),
+        total("error_rate_before").alias("errors_before"), total("error_rate_after").alias("errors_after"), F.array_join(message, "|").alias("said"),
+    )
+
+
 @C.query("""
 SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id) <= 1500 OR turn = 0 OR sum(CASE turn WHEN 0 THEN 0 ELSE length(text) END) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) <= 1500 - 80 - sum(CASE turn WHEN 0 THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS kept FROM conversations""")
 def tail_budget(spark: SparkSession, d: str) -> DataFrame:
