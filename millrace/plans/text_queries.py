@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.json_text import canonical
 from ..operators import decontam as X
 from ..operators import sampling as S
+from ..operators import similarity as Y
 from .base import Catalog, table
 
 C = Catalog()
@@ -100,7 +101,7 @@ SELECT a, b, round(sim, 9) AS sim, rank::INT AS rank FROM r WHERE rank <= 3""")
 def jaccard_topk(spark: SparkSession, d: str) -> DataFrame:
     left = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.letters("text").alias("tokens"))
     right = table(spark, d, "documents").select((F.col("doc_id") + 1000000).alias("id"), T.letters("text").alias("tokens"))
-    return X.similar(left, right, 3).select("a", "b", F.round("sim", 9).alias("sim"), "rank")
+    return Y.similar(left, right, 3).select("a", "b", F.round("sim", 9).alias("sim"), "rank")
 
 
 HTML = "html"
@@ -162,6 +163,48 @@ def template_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.regexp_like("p_name", T.template_pattern(template)).alias("fits"))
 
 
+MADE = "'made ' || p_name || ' of ' || p_brand || ' in ' || p_size || ' parts at ' || p_retailprice::DECIMAL(15, 2)"
+PARTS = f"""
+WITH l AS (SELECT p_type AS system, p_partkey AS line_id, {MADE} AS line, regexp_replace({MADE}, '[0-9]+(\\.[0-9]+)?', '<*>', 'g') AS event FROM part),
+t AS (SELECT DISTINCT system, event FROM l UNION SELECT DISTINCT system, regexp_replace(event, '^made \\w+', 'made <*>') FROM l),
+"""
+
+
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Log lines of parts, and templates by their type: with numbers as wildcards, and once more with the first word as one, which
+    fit the lines of several others."""
+    line = F.concat(F.lit("made "), "p_name", F.lit(" of "), "p_brand", F.lit(" in "), "p_size", F.lit(" parts at "), F.col("p_retailprice").cast("decimal(15,2)").cast("string"))
+    lines = table(spark, d, "part").select(F.col("p_type").alias("system"), F.col("p_partkey").alias("line_id"), line.alias("line"), F.regexp_replace(line, r"[0-9]+(\.[0-9]+)?", "<*>").alias("event"))
+    wide = lines.select("system", F.regexp_replace("event", r"^made \w+", "made <*>").alias("event"))
+    return lines, lines.select("system", "event").unionByName(wide).distinct().withColumn("template", F.col("event"))
+
+
+@C.query(PARTS + "f AS (SELECT system, line_id, t.event FROM l JOIN t USING (system) WHERE regexp_matches(line, replace(t.event, '<*>', '.*?')))\nSELECT * FROM f")
+def template_fits(spark: SparkSession, d: str) -> DataFrame:
+    return Y.fitting(*_parts(spark, d))
+
+
+_DRAWN = "('0x' || md5('items:{}:' || line_id)[1:8])::UBIGINT / 4294967296.0"
+
+
+@C.query(PARTS + f"""
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system, event ORDER BY md5('lines:' || line_id), line_id) AS k FROM l) WHERE k <= 3),
+z AS (SELECT system, count(*) AS size FROM t GROUP BY system HAVING count(*) >= 4),
+p AS (SELECT t.*, row_number() OVER (PARTITION BY system ORDER BY md5('items:' || event), event) - 1 AS place, list_distinct(regexp_extract_all(lower(event), '[a-z]+')) AS w FROM t),
+a AS (SELECT q.*, size, least(floor({_DRAWN.format('n')} * 3) + 6, size)::INT AS n, floor({_DRAWN.format('at')} * size)::INT AS start FROM q JOIN z USING (system)),
+g AS (SELECT a.*, greatest(1, floor((n - 1) * 2 / 3))::INT AS hard FROM a),
+c AS (SELECT g.system, g.line_id, g.event, n, hard, size, start, p.event AS other, p.place, len(list_intersect(o.w, p.w)) / (len(o.w) + len(p.w) - len(list_intersect(o.w, p.w))) AS sim
+  FROM g JOIN p o ON o.system = g.system AND o.event = g.event JOIN p ON p.system = g.system WHERE p.event <> g.event AND NOT regexp_matches(g.line, replace(p.event, '<*>', '.*?'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY sim DESC, other) AS rank FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY (place - start + size) % size) AS turn, least(hard, count(*) OVER (PARTITION BY line_id)) AS h FROM r WHERE rank > hard),
+o AS (SELECT system, line_id, event, other FROM r WHERE rank <= hard UNION ALL SELECT system, line_id, event, other FROM e WHERE turn <= n - 1 - hard UNION ALL SELECT system, line_id, event, event FROM g)
+SELECT system, line_id, event, string_agg(other, ' | ' ORDER BY md5('items:' || line_id || ':' || other), other) AS options FROM o GROUP BY ALL HAVING count(*) >= 3""")
+def template_distractors(spark: SparkSession, d: str) -> DataFrame:
+    lines, templates = _parts(spark, d)
+    asked = S.per_group(lines, ["system", "event"], 3, [S.draw("lines", "line_id"), "line_id"]).drop("rn")
+    return Y.distractors(asked, templates, "items").withColumn("options", F.array_join("options", " | "))
+
+
 @C.query("SELECT lang, count(*) AS n FROM documents WHERE length(text) BETWEEN 20 AND 2000 AND lang IN ('en', 'de') AND source IS NOT NULL GROUP BY lang")
 def opener_filters(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter(F.length("text").between(20, 2000) & F.col("lang").isin("en", "de") & F.col("source").isNotNull())
