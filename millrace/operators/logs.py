@@ -1,10 +1,13 @@
-"""Log lines, sessions, windows around an event, step budgets of conversations."""
+"""Log lines, sessions, step budgets of conversations, batches by length."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def count_windows(lines: DataFrame, position: str, alert: Column, size: int, by: list[str]) -> DataFrame:
     """by, win, start, has_alert, first_alert: windows of `size` lines by position from 0. A window counts only if a line stands
@@ -67,19 +70,40 @@ def ema(values: DataFrame, by: list[str], position: str, value: str, alpha: floa
 
 
 def batches(rows: DataFrame, by: list[str], key: str, length: str, budget: int) -> DataFrame:
-    """by, batches: rows by rising length in groups whose padded size, longest times number, stays within the budget; an array
-    of arrays of keys. The fold is sequential within a group by nature, so groups are what runs in parallel."""
-    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(length, key))).alias("s"))
-    # The fold carries where batches start, and arrays are cut there once: keys aren't copied at each step.
-    start = F.from_json(F.lit('{"i":0,"from":0,"starts":[0]}'), "struct<i:int,from:int,starts:array<int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["i"] > acc["from"]) & ((acc["i"] - acc["from"] + 1) * x[length] > budget)
-        return F.struct(
-            (acc["i"] + 1).alias("i"), F.when(full, acc["i"]).otherwise(acc["from"]).alias("from"),
-            F.when(full, F.array_append(acc["starts"], acc["i"])).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    cut = lists.select(*by, F.transform("s", lambda x: x[key]).alias("__keys"), F.aggregate("s", start, step, lambda acc: acc["starts"]).alias("__starts"))
-    ends = lambda i: F.coalesce(F.get("__starts", i + 1), F.size("__keys"))
-    return cut.select(*by, F.transform("__starts", lambda a, i: F.slice("__keys", a + 1, ends(i) - a)).alias("batches"))
+    """rows with batch and place (both from 0): a group's rows by rising length, then key, in batches whose padded size, longest times
+    number, stays within the budget. A null length counts as 0; a row longer than the budget is a batch.
+
+    Batches are planned on the counts of lengths alone, and a row finds its own by its rank among the rows of its length, so no list
+    of a group's rows is made; what is planned at a time is as long as there are lengths in a group. Rows of one length and key stand
+    in any order."""
+    rows = rows.withColumn("__l", F.coalesce(F.col(length).cast("long"), F.lit(0)))
+    groups = [f"__g{i}" for i in range(len(by))]
+    counts = rows.groupBy(*(F.col(c).alias(g) for c, g in zip(by, groups, strict=True)), "__l").agg(F.count("*").alias("__n"))
+    own = "".join(f"{g} {counts.schema[g].dataType.simpleString()}, " for g in groups)
+
+    def plan(lengths: pd.DataFrame) -> pd.DataFrame:
+        """For each length: the batch where its first row goes if there is room, how many rows that has and still takes, and how many
+        go into each batch after it."""
+        lengths = lengths.sort_values("__l")
+        found, batch, held = [], 0, 0
+        for size, n in zip(lengths["__l"].tolist(), lengths["__n"].tolist(), strict=True):
+            whole = n + held if size <= 0 else max(1, budget // size)
+            takes = min(n, max(0, whole - held))
+            found.append((batch, held, takes, whole))
+            rest = n - takes
+            if rest:
+                batch, held = batch + -(-rest // whole), (rest - 1) % whole + 1
+            else:
+                held += takes
+        return lengths[[*groups, "__l"]].assign(**{c: list(x) for c, x in zip(("__batch", "__held", "__takes", "__whole"), zip(*found, strict=True), strict=True)})
+
+    schema = f"{own}__l long, __batch long, __held long, __takes long, __whole long"
+    planned = counts.groupBy(*groups).applyInPandas(plan, schema).withColumnRenamed("__l", "__m")
+    ranked = running(rows, [*by, "__l"], [key], __r=F.lit(1)).drop("__r_all")
+    same = F.col("__l") == F.col("__m")
+    for c, g in zip(by, groups, strict=True):
+        same &= ranked[c].eqNullSafe(F.col(g))
+    late = F.col("__r_before") - F.col("__takes")
+    at = F.when(late < 0, F.col("__batch")).otherwise(F.col("__batch") + 1 + F.floor(late / F.col("__whole")))
+    place = F.when(late < 0, F.col("__held") + F.col("__r_before")).otherwise(late % F.col("__whole"))
+    return ranked.join(planned, same).withColumns({"batch": at, "place": place}).drop(*groups, "__l", "__m", "__r_before", "__batch", "__held", "__takes", "__whole")

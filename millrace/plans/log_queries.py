@@ -162,13 +162,12 @@ def ema_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query("""
 WITH RECURSIVE p AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i FROM documents),
-r AS (SELECT source, doc_id, i, 0 AS batch, 1 AS k FROM p WHERE i = 1 UNION ALL
+r AS (SELECT source, doc_id, i, 0::BIGINT AS batch, 1::BIGINT AS k FROM p WHERE i = 1 UNION ALL
  SELECT p.source, p.doc_id, p.i, CASE WHEN (r.k + 1) * p.n_chars > 24000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN (r.k + 1) * p.n_chars > 24000 THEN 1 ELSE r.k + 1 END FROM r JOIN p ON p.source = r.source AND p.i = r.i + 1)
-SELECT source, doc_id, batch FROM r""")
+SELECT source, doc_id, batch, k - 1 AS place FROM r""")
 def token_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    got = L.batches(docs, ["source"], "doc_id", "n_chars", 24000)
-    return got.select("source", F.posexplode("batches").alias("batch", "b")).select("source", F.explode("b").alias("doc_id"), "batch")
+    return L.batches(docs, ["source"], "doc_id", "n_chars", 24000).select("source", "doc_id", "batch", "place")
 
 
 @C.query("""

@@ -1,6 +1,7 @@
 """Hand-made cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,9 +137,28 @@ def test_window_rule(spark):
     assert [r.start for r in L.count_windows(df, "pos", F.col("pos") == 3, 10, ["g"]).collect()] == [0]
 
 
+def plain_batches(rows, budget):
+    """(group, key): (batch, place) row by row."""
+    out, state = {}, {}
+    for g, k, n in sorted(rows, key=lambda r: (str(r[0]), r[2] or 0, r[1])):
+        batch, held = state.get(g, (0, 0))
+        if held and (held + 1) * (n or 0) > budget:
+            batch, held = batch + 1, 0
+        out[g, k] = (batch, held)
+        state[g] = (batch, held + 1)
+    return out
+
+
 def test_batches(spark):
-    df = spark.createDataFrame([("g", 1, 10), ("g", 2, 10), ("g", 3, 30)], "g string, k int, n int")
-    assert L.batches(df, ["g"], "k", "n", 40).first().batches == [[1, 2], [3]]
+    rng = random.Random(7)
+    rows = [("g", 1, 10), ("g", 2, 10), ("g", 3, 30)] + [(rng.choice(["a", "b", None]), i, rng.choice([None, 0, 1, 2, 3, 5, 8, 13, 40, 90])) for i in range(10, 400)]
+    rows += [("hot", i, 7) for i in range(400, 1400)] + [("zeros", i, 0) for i in range(1400, 1430)] + [("zeros", 1430, 1)]
+    df = spark.createDataFrame(rows, "g string, k int, n int")
+    for budget in (1, 40, 57):
+        assert {(r.g, r.k): (r.batch, r.place) for r in L.batches(df, ["g"], "k", "n", budget).collect()} == plain_batches(rows, budget)
+    alone = L.batches(df.filter("g = 'g'").drop("g"), [], "k", "n", 40).collect()
+    assert {r.k: (r.batch, r.place) for r in alone} == {1: (0, 0), 2: (0, 1), 3: (1, 0)}
+    assert L.batches(df.filter("false"), ["g"], "k", "n", 40).count() == 0
 
 
 def test_fit_tail(spark):
