@@ -10,6 +10,7 @@ from ..functions.json_text import canonical
 from ..operators import decontam as X
 from ..operators import sampling as S
 from ..operators import similarity as Y
+from ..sources.shared import shared_dir
 from .base import Catalog, table
 
 C = Catalog()
@@ -34,6 +35,13 @@ def decontam_verdict(spark: SparkSession, d: str) -> DataFrame:
     return X.verdicts(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@C.query(VERDICTS + "SELECT doc_id, why FROM found")
+def decontam_kept_index(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts by an index in the shared folder, made by the first run over a suite and found by later ones."""
+    idx, _ = X.kept_index(table(spark, d, "benchmark"), f"{shared_dir(spark)}/suite_index")
+    return X.verdicts_by(table(spark, d, "documents"), idx)
+
+
 @C.query(VERDICTS + "SELECT source, coalesce(why, 'kept') AS why, count(*) AS n FROM documents LEFT JOIN found USING (doc_id) GROUP BY ALL")
 def decontam_report(spark: SparkSession, d: str) -> DataFrame:
     return X.report(table(spark, d, "documents"), decontam_verdict(spark, d))
