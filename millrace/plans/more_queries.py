@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import json_text as J
 from ..operators import puzzles as Z
 from ..operators import scoring as X
 from ..operators.sampling import fraction
+from ..sources import pages
+from ..sources.shared import shared_dir
 from .base import Catalog, table
 
 C = Catalog()
@@ -155,3 +159,17 @@ def agent_rates(spark: SparkSession, d: str) -> DataFrame:
 @C.query()
 def gen_puzzles(spark: SparkSession, d: str) -> DataFrame:
     return Z.puzzles(spark, 200)
+
+
+@C.query("""
+WITH r AS (SELECT 'c' || o_custkey % 16 AS key, o_orderdate::VARCHAR AS created, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS position FROM orders)
+SELECT key, position, created, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM r WHERE position < 5000 AND created >= '1995-06-01'""")
+def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Orders landed as pages of sixteen keys, newest first, and read back by their cursors down to a date."""
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    pages.land(orders, path, F.concat(F.lit("c"), (F.col("o_custkey") % 16).cast("string")), F.col("o_orderdate"), ["o_orderkey"], 500)
+    pages.register(spark)
+    rows = spark.read.format("cursor_pages").option("path", path).option("most", 5000).option("since", "1995-06-01").load()
+    node = F.from_json("node", "o_orderkey bigint, o_totalprice double")
+    return rows.select("key", "position", "created", node["o_orderkey"].alias("o_orderkey"), F.round(node["o_totalprice"], 2).alias("o_totalprice"))
