@@ -21,7 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.ranks import running
 from .common import Scratch, id_back, numbers, text_slices, tidy, with_id, word_bounds
 
 WEIGHTS, MOST_REPEATS, BLOCK = (5, 2, 1), 3, 192
@@ -32,13 +34,23 @@ FEW_IDS = 500_000
 _TINY = 1e-9
 
 
+def _measured(batch: pa.RecordBatch, name: str = "size") -> pa.RecordBatch:
+    """The batch with the number of words of its texts."""
+    sizes = [np.diff(word_bounds(data, offsets)[2]) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")))]
+    size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(size)], [*batch.schema.names, name])
+
+
 @tidy
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [np.diff(word_bounds(data, offsets)[2]) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")))]
-        size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(size)], [*(n for n in batch.schema.names if n != "text"), "size"])
+        yield _measured(batch).drop_columns(["text"])
+
+
+@tidy
+def _with_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _measured(batch, "__size")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -160,15 +172,37 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK) -> DataFrame:
-    """The documents, with all their columns, each as often as the mix takes it."""
-    times = mix_sources(docs, weights, most, block).groupBy("doc_id").agg(F.sum("repeats").alias("__n"), F.count("*").alias("__rows"))
-    times = Scratch(docs.sparkSession, "mixed").keep(times)
+    """The documents, with all their columns, each as often as the mix takes it. Rows of one id, source and size share their repeats,
+    those of smaller hash one more where it doesn't divide; so rows of one id, or without one, don't meet in one task."""
+    scratch, same = Scratch(docs.sparkSession, "mixed"), ["__id", "__source", "__size"]
+    times = mix_sources(docs, weights, most, block).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    times = scratch.keep(times.agg(F.sum("repeats").alias("__n"), F.count("*").alias("__rows")))
     few = times.count() <= FEW_IDS
-    times = times.withColumnRenamed("doc_id", "__id")
-    out = docs.join(F.broadcast(times) if few else times, docs["doc_id"].eqNullSafe(F.col("__id")))
-    if not times.filter("__rows > 1").isEmpty():
-        # Rows with equal doc_id share their number of repeats, the first rows one more where it doesn't divide.
-        order = Window.partitionBy("doc_id").orderBy("source", "text")
-        k = F.row_number().over(order)
-        out = out.withColumn("__k", k).withColumn("__n", F.floor(F.col("__n") / F.col("__rows")) + F.when(F.col("__k") <= F.pmod("__n", "__rows"), 1).otherwise(0))
-    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+
+    def joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        on = F.lit(True)
+        for k in keys:
+            on &= rows[k].eqNullSafe(other[k])
+        return rows.join(F.broadcast(other) if few else other, on).select(rows["*"], *(other[c] for c in other.columns if c not in keys))
+
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__h": F.xxhash64(*docs.columns), "__h2": F.xxhash64(F.lit(1), *docs.columns)})
+    rows = rows.mapInArrow(_with_size, T.StructType([*rows.schema.fields, T.StructField("__size", T.LongType())]))
+    whole, over = F.floor(F.col("__n") / F.col("__rows")), F.pmod("__n", "__rows")
+    out = joined(rows, times, same).withColumn("__times", whole)
+    parted = times.filter(over > 0)
+    if not parted.isEmpty():
+        # Equal rows are counted before they are ranked, and ranked without their texts.
+        counts = joined(rows.select(*same, "__h", "__h2"), parted, same).groupBy(*same, "__h", "__h2", "__n", "__rows").agg(F.count("*").alias("__equal"))
+        ranked = running(scratch.keep(counts), same, ["__h", "__h2"], __k=F.col("__equal"))
+        more = F.greatest(F.lit(0), F.least(over - F.col("__k_before"), F.col("__equal")))
+        ranked = scratch.keep(ranked.select(*same, "__h", "__h2", "__equal", more.alias("__more")))
+        few = ranked.count() <= FEW_IDS
+        plain = joined(rows, times.filter(over == 0), same).withColumn("__times", whole)
+        shared = joined(joined(rows, parted, same).withColumn("__times", whole), ranked, [*same, "__h", "__h2"])
+        all_or_none = (F.col("__more") == 0) | (F.col("__more") == F.col("__equal"))
+        each = shared.filter(all_or_none).withColumn("__times", F.col("__times") + F.when(F.col("__more") > 0, 1).otherwise(0))
+        # Of equal rows of which some are taken once more, one stands for all.
+        one = shared.filter(~all_or_none).groupBy(*same, "__h", "__h2").agg(F.first(F.struct(*docs.columns)).alias("__row"), F.first(F.col("__times") * F.col("__equal") + F.col("__more")).alias("__times"))
+        columns = [*docs.columns, "__times"]
+        out = plain.select(*columns).unionByName(each.select(*columns)).unionByName(one.select("__row.*", "__times"))
+    return out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)

@@ -68,6 +68,8 @@ NOBODYS = [str(x) for x in (0, 127, *range(224, 256))]
 
 LABELERS = ("strict", "marks", "gazetteer", "context", "against", "digits")
 LEFT = 32
+#: Characters of a chunk that texts are cut from.
+CHUNK = 1_024
 MOST_ENTRIES = 100_000
 
 
@@ -94,33 +96,54 @@ def gazetteer(spark: SparkSession, entries: DataFrame | None = None) -> Gazettee
     return found._replace(**{k: "|".join(x) if k == "card" else x for k, x in by.items() if x})
 
 
-SPAN = "struct<start:int,end:int,match:string>"
+SPAN = "struct<start:int,end:int,match:string,left:string>"
+
+#: Elements that a fold appends at a time. Appending one by one copies what is there for each element; in blocks it is copied once
+#: a block, so 32,000 spans of one text cost some eight times what 4,000 do.
+FOLD = 256
+
+
+def scanned(n: Column, start: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """array<out> of what step(state, i) gives for i from 1 to n; it returns the next state and the element. start: the first state."""
+
+    def let(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    none = F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, i: Column) -> Column:
+        state, element = step(acc["state"], i)
+        return F.struct(state.alias("state"), F.array_append(acc["out"], element).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        own = F.aggregate(F.sequence(b * FOLD + 1, F.least(n, (b + 1) * FOLD)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(own, lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.ceil(n / FOLD).cast("int") - 1)
+    return F.when(n > 0, F.aggregate(blocks, F.struct(start.alias("state"), none.alias("out")), block, lambda acc: acc["out"])).otherwise(none)
 
 
 def with_spans(docs: DataFrame, patterns: dict[str, tuple[Column, str]]) -> DataFrame:
-    """docs (with text, not null) and, by name, array<struct<start, end, match>> of a pattern's matches. Texts that a cheap
-    condition rules out skip the pattern. The pieces between matches say where each match stands. It takes three projections,
-    so that no pattern runs twice on a text."""
+    """docs (with text, not null) and, by name, array<struct<start, end, match, left>> of a pattern's matches, left being the LEFT
+    characters before it. Texts that a cheap condition rules out skip the pattern. The pieces between matches say where each match
+    stands and what is before it, so no position is looked up in the text. It takes three projections, so that no pattern runs twice
+    on a text."""
     own = docs.columns
     docs = docs.select(*own, *(c.alias(f"c_{k}") for k, (c, _) in patterns.items()))
     none = F.array().cast("array<string>")
     found = [F.when(F.col(f"c_{k}"), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, (_, p) in patterns.items()]
-    between = [F.when(F.col(f"c_{k}"), F.transform(F.split("text", p, -1), F.length)).otherwise(F.array().cast("array<int>")).alias(f"g_{k}") for k, (_, p) in patterns.items()]
+    piece = lambda x: F.struct(F.length(x).alias("n"), F.right(x, F.lit(LEFT)).alias("tail"))
+    between = [F.when(F.col(f"c_{k}"), F.transform(F.split("text", p, -1), piece)).otherwise(F.array().cast("array<struct<n:int,tail:string>>")).alias(f"g_{k}") for k, (_, p) in patterns.items()]
     docs = docs.select(*own, *found, *between)
 
     def placed(k: str) -> Column:
-        ends = F.aggregate(
-            F.sequence(F.lit(1), F.size(f"m_{k}")),
-            F.from_json(F.lit('{"at":0,"out":[]}'), f"struct<at:int,out:array<{SPAN}>>"),
-            lambda acc, i: (
-                lambda match, gap: F.struct(
-                    (acc["at"] + gap + F.length(match)).alias("at"),
-                    F.array_append(acc["out"], F.struct((acc["at"] + gap).alias("start"), (acc["at"] + gap + F.length(match)).alias("end"), match.alias("match"))).alias("out"),
-                )
-            )(F.element_at(f"m_{k}", i), F.element_at(f"g_{k}", i)),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(f"m_{k}") > 0, ends).otherwise(F.array().cast(f"array<{SPAN}>"))
+        def step(state: Column, i: Column) -> tuple[Column, Column]:
+            match, gap = F.element_at(f"m_{k}", i), F.element_at(f"g_{k}", i)
+            at, left = state["at"] + gap["n"], F.right(F.concat(state["left"], gap["tail"]), F.lit(LEFT))
+            end = at + F.length(match)
+            return F.struct(end.alias("at"), F.right(F.concat(left, match), F.lit(LEFT)).alias("left")), F.struct(at.alias("start"), end.alias("end"), match.alias("match"), left.alias("left"))
+
+        return scanned(F.size(f"m_{k}"), F.struct(F.lit(0).alias("at"), F.lit("").alias("left")), SPAN, step)
 
     return docs.select(*own, *(placed(k).alias(k) for k in patterns))
 
@@ -170,9 +193,9 @@ def _near(left: Column, words: tuple[str, ...]) -> Column:
     return left.rlike(r"(?i)(?:^|[^\p{L}])(?:" + "|".join(words) + r")[.:#]*\s*\S{0,12}\s*$")
 
 
-def _votes(kind: str, base: bool, x: Column, text: Column, known: Gazetteer) -> Column:
+def _votes(kind: str, base: bool, x: Column, known: Gazetteer) -> Column:
     """A struct of the labelers' votes: 1 yes, -1 no, 0 none."""
-    match, left = x["match"], F.substring(text, F.greatest(x["start"] + 1 - LEFT, F.lit(1)), F.least(x["start"], F.lit(LEFT)))
+    match, left = x["match"], x["left"]
     none = F.lit(0)
     d = digits(match)
     national = d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{6}$")
@@ -206,13 +229,30 @@ def with_candidates(docs: DataFrame, known: Gazetteer) -> DataFrame:
     docs = marked(docs)
 
     def entry(kind: str, base: bool) -> Callable[[Column], Column]:
-        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, base, x, F.col("text"), known).alias("votes"))
+        return lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, base, x, known).alias("votes"))
 
     base = F.concat(*(F.transform(f"b_{k}", entry(k, True)) for k in KINDS))
-    docs = docs.select(*own, base.alias("base"), *(f"p_{k}" for k in KINDS))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = [F.transform(F.filter(f"p_{k}", free), entry(k, False)) for k in KINDS]
-    return docs.select(*own, F.concat("base", *more).alias("all"))
+    more = F.concat(*(F.transform(f"p_{k}", entry(k, False)) for k in KINDS))
+    docs = docs.select(*own, base.alias("base"), more.alias("more"))
+    # A proposed span must not overlap a base one: by their starts, none before it ends after its start, and the next one starts
+    # after its end. Each is looked at once from either side.
+    first = lambda x: F.struct(x["start"].alias("start"), x["base"].alias("base"), x["end"].alias("end"), x["kind"].alias("kind"), x["votes"].alias("votes"))
+    docs = docs.select("*", F.array_sort(F.concat(F.transform("base", first), F.transform("more", first))).alias("up"))
+    docs = docs.select(*own, "up", F.reverse("up").alias("down"))
+
+    def before(state: Column, i: Column) -> tuple[Column, Column]:
+        x = F.element_at("up", i)
+        return F.when(x["base"], F.greatest(state, x["end"])).otherwise(state), state
+
+    def after(state: Column, i: Column) -> tuple[Column, Column]:
+        x = F.element_at("down", i)
+        return F.when(x["base"], x["start"]).otherwise(state), state
+
+    n = F.size("up")
+    docs = docs.select(*own, "up", scanned(n, F.lit(0), "int", before).alias("reach"), F.reverse(scanned(n, F.lit((1 << 31) - 1), "int", after)).alias("next"))
+    kept = F.filter(F.arrays_zip("up", "reach", "next"), lambda z: z["up"]["base"] | ((z["reach"] <= z["up"]["start"]) & (z["next"] >= z["up"]["end"])))
+    whole = lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "base", "votes")))
+    return docs.select(*own, F.transform(kept, lambda z: whole(z["up"])).alias("all"))
 
 
 def candidates(docs: DataFrame, known: Gazetteer | None = None) -> DataFrame:
@@ -325,18 +365,24 @@ def redact(docs: DataFrame, known: Gazetteer | None = None) -> DataFrame:
     own = with_candidates(own, known).select("row", "text", chosen(F.col("all"), w).alias("found"))
     name = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     order = F.array_sort(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.array(F.substring("text", acc["at"] + 1, x["start"] - acc["at"]), F.get(name, x["kind"])))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, more).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate(
-        order,
-        F.from_json(F.lit('{"at":0,"out":[]}'), "struct<at:int,out:array<string>>"),
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))),
-    )
+    # The text in chunks: a piece between two spans is cut from its first and its last one, whatever stands before them.
+    chunks = F.when(F.size("found") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    own = own.select("row", "found", F.length("text").alias("length"), order.alias("order"), chunks.alias("chunks"))
+
+    def cut(a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        one = lambda at, start, n: F.substring(F.coalesce(F.get("chunks", at), F.lit("")), start, n)
+        within = one(i, a % CHUNK + 1, b - a)
+        across = F.concat(one(i, a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice("chunks", i + 2, F.greatest(j - i - 1, F.lit(0))), ""), one(j, F.lit(1), b % CHUNK))
+        return F.when(i == j, within).otherwise(across)
+
+    def step(at: Column, i: Column) -> tuple[Column, Column]:
+        x = F.element_at("order", i)
+        return F.greatest(at, x["end"]), F.struct(at.alias("from"), x["start"].alias("to"), x["kind"].alias("kind"))
+
+    own = own.select("*", scanned(F.size("order"), F.lit(0), "struct<from:int,to:int,kind:int>", step).alias("gaps"))
+    pieces = F.transform(F.filter("gaps", lambda g: g["to"] >= g["from"]), lambda g: F.concat(cut(g["from"], g["to"]), F.get(name, g["kind"])))
+    cut = F.concat(F.array_join(pieces, ""), cut(F.array_max(F.transform("order", lambda x: x["end"])), F.col("length")))
     own = own.select("row", F.when(F.size("found") > 0, cut).alias("cut"))
     new = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in docs.columns:
