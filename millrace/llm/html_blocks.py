@@ -18,6 +18,7 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -52,6 +53,8 @@ BAD_NAMES = frozenset(
     "teasers toolbar topbar topnav widget widgets".split()
 )
 GOOD_NAMES = frozenset("article articlebody body content entry main maincontent post story".split())
+#: Words of headings over links to other pages.
+MENU_WORDS = frozenset("more related also next previous popular latest recommended trending tags share follow mehr auch ähnliche beliebt plus aussi similaires voir más también relacionados siguiente".split())
 #: Names of classes that say what the page has, not what the element is.
 ABOUT = ("has-", "with-", "no-", "is-", "show-", "hide-", "js-")
 STOP_WORDS = frozenset(
@@ -65,7 +68,7 @@ STOP_WORDS = frozenset(
     "al como con del desde donde e el ella entre era es esta este ha hay la las lo los más me mi muy no nos o para pero por porque que se ser si sin sobre su "
     "sus también te un una y ya".split()
 )
-SHORT, LONG, MANY_LINKS, MOST_LINKS, FEW_STOPS, MANY_STOPS = 70, 200, 0.2, 0.5, 0.2, 0.3
+SHORT, LONG, MANY_LINKS, MOST_LINKS, FEW_STOPS, MANY_STOPS, FOREIGN = 70, 200, 0.2, 0.5, 0.2, 0.3, 0.05
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
@@ -273,10 +276,13 @@ def first_pass(found: list[Block], around: list[int]) -> None:
     # The article is what the strongest mark holds, if that is a fair part of what isn't bad.
     rest = sum(len(b.text) for b in found if not b.sure_bad) or 1
     level = next((n for n in (3, 2, 1) if sum(len(b.text) for b in found if not b.sure_bad and b.level >= n) >= 0.3 * rest), 0)
-    for b in found:
+    counts = [(len(words), sum(w in STOP_WORDS for w in words)) for words in (_WORD.findall(b.text.lower()) for b in found)]
+    own = [n for b, n in zip(found, counts, strict=True) if not b.sure_bad]
+    # In a language that the list doesn't know, length and link density decide alone.
+    foreign = sum(n for _, n in own) < FOREIGN * sum(n for n, _ in own)
+    for b, (n_words, n_stops) in zip(found, counts, strict=True):
         b.article = level > 0 and b.level >= level and not b.sure_bad
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        stops = 1.0 if foreign else n_stops / max(1, n_words)
         density, length = b.linked / len(b.text), len(b.text)
         if b.sure_bad or (level > 0 and not b.article):
             label = "bad"
@@ -291,11 +297,16 @@ def first_pass(found: list[Block], around: list[int]) -> None:
         else:
             label = "near" if stops >= FEW_STOPS else "bad"
         b.label = b.first = label
-    # Several blocks of links in a row are a menu; one alone is undecided.
-    row = [b.label == "links" for b in found]
-    for i, b in enumerate(found):
-        if row[i]:
-            b.label = b.first = "bad" if row[max(i - 1, 0) : i + 2].count(True) > 1 else "short"
+    # Blocks of links inside the article: several in a row at its edge are a menu, unless a heading announces them that isn't a menu's
+    # itself; others are undecided.
+    inside = [i for i, b in enumerate(found) if b.article]
+    runs = [list(g) for links, g in itertools.groupby(range(len(inside)), lambda k: found[inside[k]].label == "links") if links]
+    for run in runs:
+        edge, over = run[0] == 0 or run[-1] == len(inside) - 1, found[inside[run[0] - 1]] if run[0] else None
+        headed = over is not None and over.heading and not MENU_WORDS & {*_WORD.findall(over.text.lower())}
+        for k in run:
+            b = found[inside[k]]
+            b.label = b.first = "bad" if len(run) > 1 and edge and not headed else "short"
 
 
 def _decided(firsts: list[str], labels: tuple[str, ...]) -> list[str]:
@@ -319,14 +330,12 @@ def second_pass(found: list[Block]) -> None:
     own_firsts = [firsts[i] for i in own]
     inside = dict(zip(own, zip(_decided(own_firsts, ("good", "bad")), _decided(own_firsts[::-1], ("good", "bad"))[::-1], [*own_firsts, "edge"][1:], strict=True), strict=True))
     for i, b in enumerate(found):
-        if b.label not in ("short", "near"):
+        if b.label not in ("short", "near") or (b.heading and not b.article):
             continue
         if b.article:
             # Undecided blocks belong to the article unless menus stand on both sides; headings go with what follows.
             one, two, following = inside[i]
             b.label = "bad" if (following == "bad" and not b.title if b.heading else one == two == "bad") else "good"
-        elif b.heading:
-            b.label = "good" if after[i] == "good" else "bad"
         elif b.first == "near":
             b.label = "bad" if before[i] in ("bad", "edge") and after[i] in ("bad", "edge") and some_good else "good"
         elif before[i] == after[i] == "good":
@@ -335,6 +344,13 @@ def second_pass(found: list[Block]) -> None:
             b.label = "good" if left[i] in ("near", "good") and right[i] in ("near", "good") else "bad"
         else:
             b.label = "bad"
+    # Outside the article a heading goes with what the next block of another kind has become.
+    following = "bad"
+    for b in reversed(found):
+        if not b.heading:
+            following = b.label
+        elif not b.article and b.label in ("short", "near"):
+            b.label = "good" if following == "good" else "bad"
     if not any(b.label == "good" for b in found):
         # A page of short blocks only: those that aren't bad for sure are all there is.
         for b in found:

@@ -792,14 +792,16 @@ def test_html_blocks_are_those_of_a_plain_parser():
 
 def plain_labels(found):
     """The passes by looking along the page from every block. found: (text length, stop words' share, link share, bad for sure,
-    in the article, heading of this level or 0, prose)."""
+    in the article, heading of this level or 0, prose, words)."""
     n = len(found)
+    if sum(f[1] * f[7] for f in found if not f[3]) < 0.05 * sum(f[7] for f in found if not f[3]):
+        found = [(f[0], 1.0, *f[2:]) for f in found]
     rest = sum(f[0] for f in found if not f[3]) or 1
     has = sum(f[0] for f in found if not f[3] and f[4]) >= 0.3 * rest
     inside = [has and f[4] and not f[3] for f in found]
 
     def first(i):
-        length, stops, links, bad, _, _, prose = found[i]
+        length, stops, links, bad, _, _, prose, _ = found[i]
         if bad or (has and not inside[i]):
             return "bad"
         if inside[i]:
@@ -813,7 +815,15 @@ def plain_labels(found):
         return ("good" if length > 200 else "near") if stops >= 0.3 else "near" if stops >= 0.2 else "bad"
 
     raw = [first(i) for i in range(n)]
-    firsts = [x if x != "links" else "bad" if "links" in raw[max(i - 1, 0) : i] + raw[i + 1 : i + 2] else "short" for i, x in enumerate(raw)]
+    mine = [i for i in range(n) if inside[i]]
+
+    def menu(i):
+        at = mine.index(i)
+        lo = next((k for k in range(at, -1, -1) if raw[mine[k]] != "links"), -1)
+        hi = next((k for k in range(at, len(mine)) if raw[mine[k]] != "links"), len(mine))
+        return hi - lo > 2 and (lo < 0 or (hi == len(mine) and not found[mine[lo]][5]))
+
+    firsts = [x if x != "links" else "bad" if menu(i) else "short" for i, x in enumerate(raw)]
 
     def look(i, step, kinds, own=False):
         j = i + step
@@ -834,7 +844,7 @@ def plain_labels(found):
         else:
             a, b = look(i, -1, ("good", "bad")), look(i, 1, ("good", "bad"))
             if heading:
-                out.append(b == "good")
+                out.append(None)
             elif x == "near":
                 out.append("good" in (a, b) or "good" not in firsts)
             elif "good" in (a, b):
@@ -842,6 +852,9 @@ def plain_labels(found):
                 out.append(a == b or (look(i, -1, kinds) in ("near", "good") and look(i, 1, kinds) in ("near", "good")))
             else:
                 out.append(False)
+    for i in range(n):
+        if out[i] is None:  # goes with what the next block that is no heading has become
+            out[i] = next((out[j] for j in range(i + 1, n) if not found[j][5]), False)
     return out if any(out) else [x in ("short", "near") and not f[3] for x, f in zip(firsts, found, strict=True)]
 
 
@@ -855,7 +868,7 @@ def test_html_labels_are_those_of_the_plain_passes():
             text = " ".join("the" if rng.random() < stops else "word" for _ in range(n))
             heading = int(rng.choice([0, 0, 0, 1, 2]))
             found.append(html_blocks.Block(text, int(len(text) * rng.choice([0, 0, 0, 0.3, 0.8])), bool(rng.random() < 0.1), 0, int(rng.choice([0, 0, 3])), heading, heading > 0 or rng.random() < 0.5))
-        plain = [(len(b.text), b.text.split().count("the") / len(b.text.split()), b.linked / len(b.text), b.sure_bad, b.level == 3, int(b.title) or 2 * b.heading, b.prose) for b in found]
+        plain = [(len(b.text), b.text.split().count("the") / len(b.text.split()), b.linked / len(b.text), b.sure_bad, b.level == 3, int(b.title) or 2 * b.heading, b.prose, len(b.text.split())) for b in found]
         html_blocks.first_pass(found, [0])
         html_blocks.second_pass(found)
         assert [b.label == "good" for b in found] == plain_labels(plain)
