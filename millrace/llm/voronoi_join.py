@@ -2,8 +2,8 @@
 summaries, only data that can still reach a query group's k-th score are copied to it, and each piece is solved locally.
 
 Scores are inner products of whole numbers, floor(scale * component). With q = p + a, p the pivot of the query's group and
-|a| <= R: q.x <= p.x + R |x|. A first join of each group with its own data gives every query a k-th score; the lowest of a
-group is what any other data must be able to reach. Whole data groups are ruled out by their summary, a ball around their pivot
+|a| <= R: q.x <= p.x + R |x|. A first join of each group with its own data, and with a few rows of others where it has too few,
+gives every query a k-th score; the lowest of a group is what any other data must be able to reach. Whole data groups are ruled out by their summary, a ball around their pivot
 (x = c + b, |b| <= D: q.x <= p.c + |p| D + R (|c| + D)); rows of the others one by one. There are as many pivots as the square
 root of the number of vectors, up to MOST_PIVOTS; they come from a bounded sample (SAMPLE vectors, the first by a hash of their
 id) and only affect how much is copied, never the result.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, collected, numbers, tidy
 
 K, SAMPLE, MOST_PIVOTS, CHUNK, BUNDLE, SCALE = 10, 4096, 512, 4096, 2048, 1024
+#: Rows, in multiples of k, that are taken from other groups where one can't give k scores.
+FILL = 2
 
 
 def _whole(dim: int, scale: int):
@@ -122,6 +124,18 @@ def bundles(order: list[int], n_queries: dict[int, int], most: int) -> dict[int,
     return out
 
 
+def _ahead(c: np.ndarray, g: int, n_rows: dict[int, int], least: int) -> list[int]:
+    """Other groups that hold `least` rows together, those with the highest products of pivots first."""
+    out, held = [], 0
+    for h in np.argsort(-(c @ c[g]), kind="stable").tolist():
+        if held >= least:
+            break
+        if h != g and n_rows.get(h):
+            out.append(h)
+            held += n_rows[h]
+    return out
+
+
 class Bounds:
     """What a row must be able to reach for each query group, and which data groups hold any that can."""
 
@@ -239,8 +253,23 @@ def top_k_with_copies(vectors: DataFrame, is_query, k: int = K, scale: int = SCA
 
     none = F.lit(float("-inf"))
     own = scratch.keep(best(joined(queries.withColumn("low", none), data, "g", counts(by_query), counts(by_data), _solve(k))).drop("rank"))
-    kth = own.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
-    queries = queries.join(kth, "row", "left").withColumn("low", F.when(F.col("n") == k, F.col("low")).otherwise(none))
+
+    def with_low(queries: DataFrame, found: DataFrame) -> DataFrame:
+        kth = found.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
+        return queries.drop("low").join(kth, "row", "left").withColumn("low", F.when(F.col("n") == k, F.col("low")).otherwise(none)).drop("n")
+
+    queries = with_low(queries, own)
+    # Where a query's own group is too small to give k scores, a few rows of the groups ahead of its pivot give a k-th one, which no
+    # group without k rows could. At most a row for each pivot comes here.
+    short = [r.g for r in queries.filter(F.col("low") == none).select("g").distinct().collect()]
+    if short:
+        fills = [(g, h) for g in short for h in _ahead(c, g, {h: r.n for h, r in by_data.items()}, FILL * k)]
+        some = data.filter(F.col("g").isin(sorted({h for _, h in fills}))).withColumn("__i", F.row_number().over(Window.partitionBy("g").orderBy("row")))
+        some = scratch.keep(some.filter(F.col("__i") <= FILL * k).drop("__i"))
+        asked = queries.filter(F.col("low") == none).join(F.broadcast(spark.createDataFrame(fills or [(-1, -1)], "g int, h int")), "g").withColumn("g", F.col("h")).drop("h")
+        n_asked = {r.g: r.n for r in asked.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        more = joined(asked, some, "g", n_asked, {h: min(r.n, FILL * k) for h, r in by_data.items()}, _solve(k))
+        queries = with_low(queries, scratch.keep(best(own.unionByName(more)).drop("rank")))
     floors = {r.g: r.low for r in queries.groupBy("g").agg(F.min("low").alias("low")).collect()}
     by_group = lambda values, absent: np.array([values.get(g, absent) for g in range(len(c))], float)
     bounds = spark.sparkContext.broadcast(Bounds(c, by_group({g: r.far for g, r in by_query.items()}, 0.0), by_group(floors, np.inf), by_group({g: r.far for g, r in by_data.items()}, -1.0)))

@@ -83,3 +83,21 @@ def test_mix_of_rows_without_ids(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     windows = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in line]
     assert not any("windowspecdefinition(doc_id" in line for line in windows)
+
+
+def test_knn_outliers_do_not_copy_the_table(spark):
+    """Queries in groups of their own, with fewer rows than k: bounds come from other groups, and results stay exact."""
+    from millrace.llm import voronoi_join
+
+    from test_llm import brute_top
+
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(200, 16))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    rows = [(i, (centre[i % 200] + 0.03 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(4003)]
+    far = [(10 * (10_000 + i) + 3, (8 * np.sign(rng.normal(size=16))).astype(np.float32).tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows + far, "vec_id bigint, embedding array<float>")
+    asked = lambda i: i % 100 == 3
+    got, n, copies = voronoi_join.top_k_with_copies(df, F.col("vec_id") % 100 == 3, bundle=10)
+    assert n == 4007 and copies < 2 * n
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(rows + far, 10, asked)
