@@ -8,7 +8,8 @@ import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Puzzle = tuple[str, list[str], str]  # state, options, answer
 
@@ -101,14 +102,14 @@ def diatonic_chord(rng: random.Random) -> Puzzle:
 FAMILIES: dict[str, Callable[[random.Random], Puzzle]] = {f.__name__: f for f in (boolean, ordering, free_slot, program_output, diatonic_chord)}
 
 
-def puzzles(spark: SparkSession, n: int, families: tuple[str, ...] = tuple(FAMILIES), seed: str = "0") -> DataFrame:
-    """id, family, state, options, answer: n questions of each family, without repeats of a family's state."""
+def puzzles(ids: DataFrame, families: tuple[str, ...] = tuple(FAMILIES), seed: str = "0") -> DataFrame:
+    """id, family, state, options, answer: a question of each family for each id (id), without repeats of a family's state."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, f, *FAMILIES[f](random.Random(f"{seed}:{f}:{i}"))) for i in pdf["id"] for f in families]
             yield pd.DataFrame(rows, columns=["id", "family", "state", "options", "answer"])
 
-    made = spark.range(n).mapInPandas(run, "id bigint, family string, state string, options array<string>, answer string")
+    made = ids.select(F.col("id").cast("long")).mapInPandas(run, "id bigint, family string, state string, options array<string>, answer string")
     first = made.groupBy("family", "state").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
     return made.join(first, ["family", "state", "id"], "left_semi")

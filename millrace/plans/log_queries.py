@@ -205,52 +205,56 @@ def _pick(seed: str, name: str, n: int, ident: str = "id") -> str:
     return f"(('0x' || md5('{seed}:' || {ident} || ':{name}')[1:8])::UBIGINT::BIGINT % {n})"
 
 
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+
+
 _DAY, _AMOUNT, _UNIT = _pick("dates", "day", 9000), f"({_pick('dates', 'amount', 30)} + 1)", _pick("dates", "unit", 2)
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, (DATE '2000-01-01' + {_DAY.replace('|| id ||', '|| i ||')}::INT) AS b, {_AMOUNT.replace('|| id ||', '|| i ||')} AS n, {_UNIT.replace('|| id ||', '|| i ||')} AS u FROM range(500) t(i)),
+WITH x AS (SELECT i AS id, (DATE '2000-01-01' + {_DAY.replace('|| id ||', '|| i ||')}::INT) AS b, {_AMOUNT.replace('|| id ||', '|| i ||')} AS n, {_UNIT.replace('|| id ||', '|| i ||')} AS u FROM (SELECT o_orderkey AS i FROM orders) t),
 y AS (SELECT id, b, n, u, (b + (CASE u WHEN 1 THEN n * 7 ELSE n END)::INT) AS a FROM x)
 SELECT id, 'Today is ' || strftime(b, '%m/%d/%Y') || '; what is the date in ' || n || CASE u WHEN 1 THEN ' weeks?' ELSE ' days?' END AS state, strftime(a, '%m/%d/%Y') AS answer,
   array_to_string(list_sort(list_transform([-7, -2, -1, 0, 1, 2, 7], lambda k: strftime(a + k::INT, '%m/%d/%Y'))), ' ') AS options FROM y""")
 def gen_dates(spark: SparkSession, d: str) -> DataFrame:
-    return G.dates(spark, 500).withColumn("options", F.array_join("options", " "))
+    return G.dates(_ids(spark, d)).withColumn("options", F.array_join("options", " "))
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('ordinals', f'x{j}', 90, 'i')} + {100 * j}" for j in range(7))}] AS up, {_pick('ordinals', 'k', 7, 'i')} + 1 AS k FROM range(500) t(i))
+WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('ordinals', f'x{j}', 90, 'i')} + {100 * j}" for j in range(7))}] AS up, {_pick('ordinals', 'k', 7, 'i')} + 1 AS k FROM (SELECT o_orderkey AS i FROM orders) t)
 SELECT id, k::INT AS k, up[k] AS smallest, up[8 - k] AS largest FROM x""")
 def gen_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    return G.ordinals(spark, 500).select("id", "k", "smallest", "largest")
+    return G.ordinals(_ids(spark, d)).select("id", "k", "smallest", "largest")
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, [{', '.join(f"{{'d': {_pick('navigate', f'd{j}', 4, 'i')}, 'l': {_pick('navigate', f'l{j}', 5, 'i')} + 1}}" for j in range(6))}] AS w FROM range(500) t(i))
+WITH x AS (SELECT i AS id, [{', '.join(f"{{'d': {_pick('navigate', f'd{j}', 4, 'i')}, 'l': {_pick('navigate', f'l{j}', 5, 'i')} + 1}}" for j in range(6))}] AS w FROM (SELECT o_orderkey AS i FROM orders) t)
 SELECT id, list_sum(list_transform(w, lambda s: CASE s.d WHEN 1 THEN s.l WHEN 3 THEN -s.l ELSE 0 END))::BIGINT AS x, list_sum(list_transform(w, lambda s: CASE s.d WHEN 0 THEN s.l WHEN 2 THEN -s.l ELSE 0 END))::BIGINT AS y FROM x""")
 def gen_navigation(spark: SparkSession, d: str) -> DataFrame:
-    return G.navigation(spark, 500).select("id", "x", "y")
+    return G.navigation(_ids(spark, d)).select("id", "x", "y")
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, {_pick('sums', 'a', 90, 'i')} + 10 AS a, {_pick('sums', 'b', 90, 'i')} + 10 AS b, {_pick('sums', 'c', 90, 'i')} + 10 AS c FROM range(500) t(i))
+WITH x AS (SELECT i AS id, {_pick('sums', 'a', 90, 'i')} + 10 AS a, {_pick('sums', 'b', 90, 'i')} + 10 AS b, {_pick('sums', 'c', 90, 'i')} + 10 AS c FROM (SELECT o_orderkey AS i FROM orders) t)
 SELECT id, a || ' * ' || b || ' - ' || c AS state, a * b - c AS answer FROM x""")
 def gen_sums(spark: SparkSession, d: str) -> DataFrame:
-    return G.sums(spark, 500).select("id", "state", "answer")
+    return G.sums(_ids(spark, d)).select("id", "state", "answer")
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('lies', f's{j}', 2, 'i')} = 1" for j in range(5))}] AS s FROM range(500) t(i))
+WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('lies', f's{j}', 2, 'i')} = 1" for j in range(5))}] AS s FROM (SELECT o_orderkey AS i FROM orders) t)
 SELECT id, len(list_filter(s, lambda v: NOT v)) % 2 = 0 AS truthful FROM x""")
 def gen_truth_chains(spark: SparkSession, d: str) -> DataFrame:
-    return G.truth_chains(spark, 500).select("id", "truthful")
+    return G.truth_chains(_ids(spark, d)).select("id", "truthful")
 
 
 @C.query(f"""
-WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('tracking', f'a{j}', 4, 'i')} * 10 + ({_pick('tracking', f'a{j}', 4, 'i')} + 1 + {_pick('tracking', f'b{j}', 3, 'i')}) % 4" for j in range(5))}] AS s FROM range(500) t(i)),
+WITH x AS (SELECT i AS id, [{', '.join(f"{_pick('tracking', f'a{j}', 4, 'i')} * 10 + ({_pick('tracking', f'a{j}', 4, 'i')} + 1 + {_pick('tracking', f'b{j}', 3, 'i')}) % 4" for j in range(5))}] AS s FROM (SELECT o_orderkey AS i FROM orders) t),
 n AS (SELECT id, s, ['Ann', 'Bea', 'Cal', 'Dee'] AS who FROM x)
 SELECT id, array_to_string(list_transform(s, lambda v: who[v // 10 + 1] || '-' || who[v % 10 + 1]), ' ') AS swaps, who[list_reduce(list_prepend(0, s), lambda p, v: CASE WHEN p = v // 10 THEN v % 10 WHEN p = v % 10 THEN v // 10 ELSE p END) + 1] AS holder FROM n""")
 def gen_tracking(spark: SparkSession, d: str) -> DataFrame:
-    return G.tracking(spark, 500)
+    return G.tracking(_ids(spark, d))
 
 
 @C.query()
@@ -269,11 +273,12 @@ def ordinal_kth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @C.query("""
-SELECT n_regionkey, count(*) AS n, array_to_string(list(n_name ORDER BY md5('shard:' || n_nationkey), n_nationkey), '|') AS names FROM nation WHERE n_nationkey % 5 <> 3 GROUP BY n_regionkey""")
+SELECT c_custkey % 5 AS shard, c_nationkey, count(*) AS n, md5(string_agg(c_name, '|' ORDER BY md5('shard:' || c_custkey), c_custkey)) AS names FROM customer GROUP BY ALL""")
 def shard_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nation").filter("n_nationkey % 5 != 3").select("n_regionkey", F.struct(draw("shard", "n_nationkey").alias("h"), F.col("n_nationkey"), F.col("n_name")).alias("x"))
-    lists = rows.groupBy("n_regionkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("x")).alias("s"))
-    return lists.select("n_regionkey", "n", F.array_join(F.transform("s", lambda x: x["n_name"]), "|").alias("names"))
+    """Customers of all five shards, each nation's in a drawn order."""
+    rows = table(spark, d, "customer").select((F.col("c_custkey") % 5).alias("shard"), "c_nationkey", F.struct(draw("shard", "c_custkey").alias("h"), "c_custkey", "c_name").alias("x"))
+    lists = rows.groupBy("shard", "c_nationkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("x")).alias("s"))
+    return lists.select("shard", "c_nationkey", "n", F.md5(F.array_join(F.transform("s", lambda x: x["c_name"]), "|")).alias("names"))
 
 
 @C.query("SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -158,7 +158,7 @@ def agent_rates(spark: SparkSession, d: str) -> DataFrame:
 
 @C.query()
 def gen_puzzles(spark: SparkSession, d: str) -> DataFrame:
-    return Z.puzzles(spark, 200)
+    return Z.puzzles(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @C.query("""

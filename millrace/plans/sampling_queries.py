@@ -9,6 +9,7 @@ from ..functions import distributions as D
 from ..functions import records as R
 from ..operators import records as O
 from ..operators import sampling as S
+from ..sources import io
 from .base import Catalog, table
 
 C = Catalog()
@@ -260,3 +261,9 @@ def distillation_loss(spark: SparkSession, d: str) -> DataFrame:
     student = F.array(a / (a + b + 0.3), b / (a + b + 0.3), F.lit(0.3) / (a + b + 0.3))
     teacher = F.array(F.lit(0.02), F.lit(0.06), F.lit(0.92))
     return table(spark, d, "part").select("p_partkey", F.round(D.cross_entropy(teacher, student), 9).alias("loss"), F.round(D.softcap(a * 50, 30.0), 9).alias("capped"))
+
+
+@C.query("SELECT event_id, event_type FROM events WHERE value > 5 ORDER BY md5('early:' || event_id), event_id LIMIT 400")
+def early_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample from a pool of files that is filled no further than it needs; a table of one file is the pool."""
+    return io.early_sample(spark, f"{d}/events.parquet", 400, "early", "event_id", 2_000, "value > 5").select("event_id", "event_type")

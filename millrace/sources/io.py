@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .progress import Progress
+
 RECORD = T.StructType(
     [
         T.StructField("id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("state", T.StringType()),
@@ -52,6 +55,25 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
+def early_sample(spark: SparkSession, path: str, n: int, seed: str | int, key: str, buffer: int = 10_000, where: str = "true") -> DataFrame:
+    """n rows of a table's files that meet a condition, drawn from a pool that is filled from files in a drawn order until it has
+    `buffer` rows or more (and n); files beyond are not read. Like a shuffle buffer over a stream of files: what is drawn is random
+    within the pool, and the pool follows the order of the files. Files are counted some at a time, four times as many with each go."""
+    files = sorted(spark.read.parquet(path).inputFiles(), key=lambda f: (hashlib.md5(f"{seed}:{f.rpartition('/')[2]}".encode()).hexdigest(), f))
+    schema = spark.read.parquet(path).schema
+    some = lambda lo, hi: spark.read.schema(schema).parquet(*files[lo:hi]).filter(where)
+    held, lo, step = 0, 0, 1
+    while lo < len(files) and held < max(n, buffer):
+        counts = {r.f: r["count"] for r in some(lo, lo + step).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()}  # a row a file
+        for f in files[lo : lo + step]:
+            lo, held = lo + 1, held + counts.get(unquote(f.rpartition("/")[2]), 0)
+            if held >= max(n, buffer):
+                break
+        step *= 4
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return some(0, lo).orderBy(draw, key).limit(n) if files else spark.read.parquet(path).limit(0)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, position, line: position counts the lines of each file from 0 (text files are numbered within their splits, which
     a whole file is as long as wholetext reads it)."""
@@ -86,25 +108,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key the output doesn't have yet; returns their number. A rerun goes on where the last one ended."""
+    """Append the rows whose key the output doesn't have yet; returns their number, which is counted as they are written. A rerun
+    goes on where the last one ended. One writer at a time: two could both add a key."""
     spark = df.sparkSession
     try:
         df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    before = _rows(spark, path)
-    df.write.mode("append").parquet(path)
-    return _rows(spark, path) - before
-
-
-def _rows(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return 0
-        raise
+    with Progress() as progress:
+        progress.counted(df).write.mode("append").parquet(path)
+    return progress.rows
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:

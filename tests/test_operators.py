@@ -245,7 +245,7 @@ def test_stream_enriches_once(spark, tmp_path):
 def test_puzzles(spark):
     from millrace.operators import puzzles as Z
 
-    got = Z.puzzles(spark, 40).collect()
+    got = Z.puzzles(spark.range(40)).collect()
     assert {r.family for r in got} == set(Z.FAMILIES) and all(r.answer in r.options and len(set(r.options)) == len(r.options) for r in got)
     for r in got:
         if r.family == "boolean":
@@ -257,7 +257,7 @@ def test_puzzles(spark):
             assert repr(eval(call, space)) == r.answer  # noqa: S307
         if r.family == "free_slot":
             assert [h for h in r.options if f" {h}" not in r.state.replace(",", "").replace(".", "")] == [r.answer]
-    assert [tuple(r) for r in Z.puzzles(spark, 40).orderBy("family", "id").collect()] == [tuple(r) for r in Z.puzzles(spark, 40).repartition(3).orderBy("family", "id").collect()]
+    assert [tuple(r) for r in Z.puzzles(spark.range(40)).orderBy("family", "id").collect()] == [tuple(r) for r in Z.puzzles(spark.range(40).repartition(3)).orderBy("family", "id").collect()]
 
 
 def test_expand_with_copies_asked_for(spark):
