@@ -7,12 +7,14 @@ state's distribution, down to the root, which gives every symbol a probability.
 is a suffix of what stands before it; a word in a class also with its share of the class, (c + 1) / (C + V + 1): c its count,
 C and V tokens and kinds of the class, and one kind more for all unknown words.
 
-The tree has two parts. The trunk holds contexts of up to DEPTH symbols that make up P_MIN of all training tokens: DEPTH / P_MIN
-at most whatever the corpus, and MOST_ENTRIES (context, symbol) counts of those that diverge; the tests run in Spark, and only
-what passes comes to the driver and goes to all tasks. The branches hold all other contexts of DEPTH and DEPTH + 1 symbols that
-occur LEAST times, an absolute number, so they grow with the corpus. They are never gathered: every token outside the trunk goes
-to the task of its context, packed, where counts, tests and smoothing take place, and what the branches change in each text's
-score comes back. A context that many tokens share is in the trunk, so no task meets more than P_MIN of the tokens in one.
+Contexts of 1 to DEPTH symbols that occur LEAST times, an absolute number, are all judged, so the tree grows with the corpus.
+Where they are judged hangs on how frequent they are, what comes out doesn't. The trunk has all contexts of one symbol, bounded by
+the alphabet, and longer ones that make up P_MIN of all training tokens, as do all their suffixes: 1 / P_MIN a length at most, and
+about MOST_ENTRIES (context, symbol) counts of states a length; the tests run in Spark, and only what passes comes to the driver and
+goes to all tasks. All other contexts are in the branches, which are never gathered: a token goes, packed, to the task of its
+shortest context that isn't in the trunk, where that one and longer ones are counted, tested and smoothed, and what the branches
+change in each text's score comes back. A context that many tokens share is in the trunk, so no task meets more than P_MIN of the
+tokens in one; states that MOST_ENTRIES has no room for, those of the fewest tokens, are in the branches too.
 
 Counts come from all training documents. Frequent words' counts, at most WORDS of them, go to every task; all other words meet
 their counts in a join.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, Scratch, by_range, collected, id_back, mix, numbers, packed, ranges_of, text_slices, tidy, unpacked, with_id, word_bounds, word_hashes
 
-DEPTH, P_MIN, MIN_BITS, LEAST, MOST_ENTRIES = 3, 1e-5, 0.02, 2, 2_000_000
+DEPTH, P_MIN, MIN_BITS, LEAST, MOST_ENTRIES = 4, 1e-5, 0.02, 2, 2_000_000
 TOP, TAILS, WORDS = 400, 600, 300_000
 BITS, END = 10, 0
 _FLUSH = 3_000_000
@@ -177,10 +179,10 @@ class Tree:
     def n_states(self) -> int:
         return 1 + sum(len(x[0]) for x in self.levels)
 
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        """P(symbol | what stands before it): from the root to the longest state that is a suffix."""
+    def probability(self, keys: np.ndarray, longest: int | None = None) -> np.ndarray:
+        """P(symbol | what stands before it): from the root to the longest state that is a suffix, of `longest` symbols at most."""
         p = self.root[keys & ((1 << BITS) - 1)]
-        for k, (contexts, total, kinds, entries, n) in enumerate(self.levels, 1):
+        for k, (contexts, total, kinds, entries, n) in enumerate(self.levels[:longest], 1):
             if not len(contexts):
                 continue
             own = keys & ((1 << BITS * (k + 1)) - 1)
@@ -201,48 +203,63 @@ def _spread(depth: int) -> tuple[int, int, int]:
     return factor, pow(factor, -1, mask + 1), mask
 
 
+def _listed(contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of own are among these sorted contexts."""
+    return contexts[np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)] == own if len(contexts) else np.zeros(len(own), bool)
+
+
 def _send(frequent, alphabet: Alphabet, depth: int, n_ranges: int):
-    """Tokens whose context of `depth` symbols isn't frequent, by range of the scrambled context: codes (context, the symbol
-    before it, the token) as sorted gaps, and for each the row and whether it is held out."""
-    factor, _, mask = _spread(depth)
-    edges = np.array([-(-(i << BITS * depth) // n_ranges) for i in range(n_ranges + 1)], np.int64)
+    """Tokens that have a context of up to `depth` symbols outside the trunk, by the length of the shortest such and a range of it,
+    scrambled: codes (that context, the symbols before it up to `depth`, the token) as sorted gaps, and for each the row and whether
+    it is held out."""
 
-    def flush(codes: list, rows: list, held: list) -> pa.RecordBatch:
+    def flush(length: int, codes: list, rows: list, held: list) -> list[tuple]:
+        edges = np.array([-(-(i << BITS * length) // n_ranges) for i in range(n_ranges + 1)], np.int64)
         code, row, out_ = np.concatenate(codes), np.concatenate(rows), np.concatenate(held)
         order = np.argsort(code)
         code, row, out_ = code[order], row[order], out_[order]
-        at, out = np.searchsorted(code >> (2 * BITS), edges), []
+        at, out = np.searchsorted(code >> BITS * (depth - length + 1), edges), []
         for r in range(n_ranges):
             cut = slice(at[r], at[r + 1])
             if at[r] < at[r + 1]:
                 base = int(row[cut].min())
-                out.append((r, int(code[at[r]]), *packed(np.diff(code[cut]).astype(np.uint64)), base, *packed(row[cut].astype(np.uint64) - np.uint64(base & 0xFFFFFFFFFFFFFFFF)), np.packbits(out_[cut]).tobytes()))
+                out.append((length * n_ranges + r, int(code[at[r]]), *packed(np.diff(code[cut]).astype(np.uint64)), base, *packed(row[cut].astype(np.uint64) - np.uint64(base & 0xFFFFFFFFFFFFFFFF)), np.packbits(out_[cut]).tobytes()))
+        return out
+
+    def sent(held: dict[int, tuple[list, list, list]]) -> pa.RecordBatch:
+        out = [x for length, parts in held.items() for x in flush(length, *parts)]
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in _SENT.split(", ")])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, rows, held, total = [], [], [], 0
-        contexts = frequent.value
+        waiting, total = {}, 0
+        one = (1 << BITS) - 1
         for batch in batches:
             row, out_ = numbers(batch, "row"), numbers(batch, "held").astype(bool)
             for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
                 starts, stops, first = word_bounds(data, offsets)
-                key, bounds = grams(alphabet.symbols(word_hashes(data, starts, stops), tails(data, starts, stops)), first, depth + 1)
-                context = key >> BITS & mask
-                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-                rare = np.flatnonzero(contexts[at] != context)
+                key, bounds = grams(alphabet.symbols(word_hashes(data, starts, stops), tails(data, starts, stops)), first, depth)
                 sizes = np.diff(bounds)
-                h = context[rare] * factor & mask
-                codes.append(h << (2 * BITS) | (key[rare] >> BITS * (depth + 1)) << BITS | key[rare] & ((1 << BITS) - 1))
-                rows.append(np.repeat(row[lo:hi], sizes)[rare])
-                held.append(np.repeat(out_[lo:hi], sizes)[rare])
-                total += len(rare)
+                of, held = np.repeat(row[lo:hi], sizes), np.repeat(out_[lo:hi], sizes)
+                left = np.arange(len(key))
+                for length in range(2, depth + 1):
+                    factor, _, mask = _spread(length)
+                    context = key[left] >> BITS & mask
+                    here = _listed(frequent.value[length], context)
+                    rare, code = left[~here], context[~here] * factor & mask
+                    left = left[here]
+                    for j in [*range(length + 1, depth + 1), 0]:
+                        code = code << BITS | key[rare] >> BITS * j & one
+                    if len(rare):
+                        for kept, x in zip(waiting.setdefault(length, ([], [], [])), (code, of[rare], held[rare]), strict=True):
+                            kept.append(x)
+                        total += len(rare)
                 if total >= _FLUSH // 2:
-                    yield flush(codes, rows, held)
-                    codes, rows, held, total = [], [], [], 0
+                    yield sent(waiting)
+                    waiting, total = {}, 0
         if total:
-            yield flush(codes, rows, held)
+            yield sent(waiting)
 
     return run
 
@@ -290,26 +307,29 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 def _branch(tree, depth: int, least: int, min_bits: float, n_ranges: int):
     """What the branches of a range of contexts add to the log10 probability of each text, as far as it isn't 0, packed by row;
     and as range -1 the number of states."""
-    _, inverse, mask = _spread(depth)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        length = int(pdf["range"].iloc[0]) // n_ranges
+        _, inverse, mask = _spread(length)
+        one, below = (1 << BITS) - 1, BITS * (depth - length + 1)
         code = np.concatenate([np.cumsum(np.concatenate([np.array([r.first], np.uint64), unpacked(r.gaps, r.gw)]), dtype=np.uint64) for r in pdf.itertuples()]).astype(np.int64)
         row = np.concatenate([(unpacked(r.rows, r.rw) + np.uint64(r.base & 0xFFFFFFFFFFFFFFFF)).astype(np.int64) for r in pdf.itertuples()])
         train = np.concatenate([np.unpackbits(np.frombuffer(r.held, np.uint8), count=len(r.rows) // r.rw) == 0 for r in pdf.itertuples()])
-        _, group = np.unique(code >> 2 * BITS, return_inverse=True)
+        _, group = np.unique(code >> below, return_inverse=True)
         some = (np.bincount(group[train], minlength=group.max() + 1) >= least)[group]
         code, row, train = code[some], row[some], train[some]
         n_states = 0
         if len(code):
-            _, group = np.unique(code >> 2 * BITS, return_inverse=True)
-            kinds, entry = np.unique(code >> 2 * BITS << BITS | code & ((1 << BITS) - 1), return_inverse=True)
-            context = (kinds >> BITS) * inverse & mask
-            q = tree.value.probability(context << BITS | kinds & ((1 << BITS) - 1))[entry]
-            p, _, n_states = _level(group, entry, train, q, least, min_bits)
-            _, longer = np.unique(code >> BITS, return_inverse=True)
-            _, entry = np.unique(code, return_inverse=True)
-            p, _, more = _level(longer, entry, train, p, least, min_bits)
-            n_states += more
+            kinds, entry = np.unique(code >> below << BITS | code & one, return_inverse=True)
+            # What the trunk says: its states are suffixes of this context.
+            q = tree.value.probability(((kinds >> BITS) * inverse & mask) << BITS | kinds & one, length - 1)[entry]
+            p = q
+            for j in range(length, depth + 1):
+                context = code >> BITS * (depth - j + 1)
+                _, group = np.unique(context, return_inverse=True)
+                _, entry = np.unique(context << BITS | code & one, return_inverse=True)
+                p, _, more = _level(group, entry, train, p, least, min_bits)
+                n_states += more
             moved = np.flatnonzero(p != q)
             rows, which = np.unique(row[moved], return_inverse=True)
             delta = np.bincount(which, np.log10(p[moved] / q[moved]), len(rows))
@@ -393,46 +413,50 @@ def _with_probability(tree):
     return run
 
 
-def trunk(counts_of, size: int, n_tokens: int, depth: int, p_min: float, min_bits: float, most_entries: int, spark: SparkSession) -> tuple[Tree, np.ndarray]:
-    """The trunk, and its frequent contexts of `depth` symbols, sorted. counts_of: key, n of contexts of a length, those listed
-    or, for None, all. The divergence of a context is sum(n log2(n / q)) / total - log2(total)."""
+def trunk(counts_of, size: int, n_tokens: int, depth: int, p_min: float, least: int, min_bits: float, most_entries: int, spark: SparkSession) -> tuple[Tree, dict[int, np.ndarray]]:
+    """The trunk, and by length from 2 on the contexts that it answers for, sorted. counts_of: key, n of contexts of a length, those
+    listed or, for None, all. The divergence of a context is sum(n log2(n / q)) / total - log2(total)."""
     # Contexts of one symbol are bounded by the alphabet.
-    first = counts_of(1, None)
-    every = collected(first)
-    tree, contexts = Tree(size, (every["key"].to_numpy(), every["n"].to_numpy())), None
+    counts = counts_of(1, None)
+    every = collected(counts)
+    tree, answered = Tree(size, (every["key"].to_numpy(), every["n"].to_numpy())), {}
+    often = max(least, p_min * n_tokens)
     for k in range(1, depth + 1):
-        counts = first if k == 1 else counts_of(k, contexts)
+        if k > 1:
+            # Beginnings of the last length's counts; 0 is the beginning of a text. At most 1 / p_min contexts.
+            found = np.union1d(collected(counts.filter(F.col("n") >= often).select("key"))["key"].to_numpy(np.int64), [0])
+            own = found & ((1 << BITS * (k - 1)) - 1)
+            answered[k] = found[_listed(answered[k - 1], own)] if k > 2 else found
+            counts = counts_of(k, answered[k])
         judged = counts.mapInArrow(_with_probability(spark.sparkContext.broadcast(tree)), "key bigint, n bigint, q double")
         by = judged.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log2(F.col("n") / F.col("q"))).alias("s"))
-        by = by.withColumn("bits", F.col("s") / F.col("total") - F.log2("total")).filter(F.col("total") >= p_min * n_tokens)
-        # At most 1 / p_min contexts.
-        kept = collected(by.filter(diverges(F.col("bits"), F.col("total"), F.col("kinds"), min_bits)).select("context", "kinds", (F.col("total") * F.col("bits")).alias("gain")))
-        kept = kept.sort_values(["gain", "context"], ascending=[False, True])
-        kept = kept[kept["kinds"].cumsum() <= most_entries]
+        by = by.withColumn("bits", F.col("s") / F.col("total") - F.log2("total")).filter(F.col("total") >= least)
+        kept = collected(by.filter(diverges(F.col("bits"), F.col("total"), F.col("kinds"), min_bits)).select("context", "kinds", "total")).sort_values("total", ascending=False)
+        # Where there is no room for all, those of the fewest tokens are the branches'.
+        over = kept[kept["kinds"].cumsum() > most_entries] if k > 1 else kept[:0]
+        left = kept[kept["total"] <= over["total"].max()] if len(over) else over
+        kept = kept.drop(left.index)
+        if k > 1:
+            answered[k] = np.setdiff1d(answered[k], left["context"].to_numpy(np.int64))
         chosen = spark.sparkContext.broadcast(np.sort(kept["context"].to_numpy(np.int64)))
         entries = collected(counts.mapInArrow(_of_contexts(chosen), "key bigint, n bigint"))
         tree.grow(entries["key"].to_numpy(np.int64), entries["n"].to_numpy(np.int64))
-        if k < depth:
-            contexts = np.union1d(collected(counts.filter(F.col("n") >= p_min * n_tokens).select("key"))["key"].to_numpy(np.int64), [0])
-    return tree, contexts if depth > 1 else np.zeros(1, np.int64)
+    return tree, answered
 
 
 def _of_contexts(chosen):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = chosen.value
         for batch in batches:
-            own = batch.column(0).to_numpy() >> BITS
-            at = np.searchsorted(contexts, own)
-            hit = contexts[np.minimum(at, len(contexts) - 1)] == own if len(contexts) else np.zeros(len(own), bool)
-            yield batch.filter(pa.array(hit))
+            yield batch.filter(pa.array(_listed(chosen.value, batch.column(0).to_numpy() >> BITS)))
 
     return run
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float = P_MIN, min_bits: float = MIN_BITS, top: int = TOP, most_tails: int = TAILS, most_words: int = WORDS, least: int = LEAST, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_states of documents (doc_id, text). held_out: a
-    condition on doc_id; those documents are only scored. top + most_tails + 2 are at most 2 ** BITS."""
+    condition on doc_id; those documents are only scored. top + most_tails + 2 are at most 2 ** BITS, depth at most 5. p_min and
+    most_entries deal work out and change no score."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix-tree")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
@@ -465,12 +489,12 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float =
         held_counts.append(scratch.keep(counted.groupBy("key").agg(F.sum("n").alias("n"))))
         return held_counts[-1]
 
-    tree, frequent = trunk(counts_of, alphabet.size, n_tokens, depth, p_min, min_bits, most_entries, spark)
+    tree, frequent = trunk(counts_of, alphabet.size, n_tokens, depth, p_min, least, min_bits, most_entries, spark)
     scratch.drop(*held_counts)
     trunk_value, frequent_value = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent)
     n_ranges = ranges_of(spark, n_tokens)
     sent = docs.select("row", "held", "text").mapInArrow(_send(frequent_value, alphabet, depth, n_ranges), _SENT)
-    changed = by_range(sent, n_ranges).applyInPandas(_branch(trunk_value, depth, least, min_bits, n_ranges), _CHANGED)
+    changed = by_range(sent, (depth - 1) * n_ranges).applyInPandas(_branch(trunk_value, depth, least, min_bits, n_ranges), _CHANGED)
     branches = scratch.keep(by_range(changed, n_ranges).applyInPandas(_summed, "row bigint, delta double"))
     n_states = tree.n_states + int(branches.filter("row is null").agg(F.sum("delta").alias("n")).first().n or 0)
     listed = collected(_most_frequent(plain.filter("n > 3"), most_words).select("word", "n"))

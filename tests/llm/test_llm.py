@@ -64,7 +64,7 @@ def test_lm_probabilities_sum_to_one():
 class PlainTree:
     """The model in dictionaries, text by text: contexts are tuples of symbols, the nearest first."""
 
-    def __init__(self, rows, held, depth, p_min, top, n_tails, least, min_bits=suffix_tree_lm.MIN_BITS):
+    def __init__(self, rows, held, depth, top, n_tails, least, min_bits=suffix_tree_lm.MIN_BITS):
         self.depth, train = depth, [self.words(t) for i, t in rows if not held(i)]
         self.counts = Counter(w for ws in train for w in ws)
         n_all = sum(self.counts.values()) + len(train)
@@ -82,20 +82,15 @@ class PlainTree:
         for w, n in self.counts.items():
             if w not in best:
                 self.weight[self.symbol(w)] += n + 1
-        grams = [Counter() for _ in range(depth + 2)]  # by length of context: (context, symbol)
+        grams = [Counter() for _ in range(depth + 1)]  # by length of context: (context, symbol)
         for ws in train:
-            for k in range(depth + 2):
+            for k in range(depth + 1):
                 grams[k].update(self.tokens(ws, k))
         self.root = [(1 + sum(n for (_, s), n in grams[1].items() if s == x)) for x in range(self.size)]
         self.root = [x / sum(self.root) for x in self.root]
-        self.states, frequent = {}, None
+        self.states = {}
         for k in range(1, depth + 1):
-            own = grams[k] if frequent is None else Counter({g: n for g, n in grams[k].items() if g[0] in frequent})
-            self.keep(own, lambda total: total >= p_min * n_all, min_bits)
-            frequent = {(s, *c) for (c, s), n in own.items() if n >= p_min * n_all} | {(0,) * (k + 1)} if k < depth else frequent
-        self.trunk = len(self.states)
-        for k in (depth, depth + 1):
-            self.keep(Counter({g: n for g, n in grams[k].items() if g[0][:depth] not in frequent}), lambda total: total >= least, min_bits)
+            self.keep(grams[k], lambda total: total >= least, min_bits)
 
     @staticmethod
     def words(t):
@@ -127,7 +122,7 @@ class PlainTree:
 
     def score(self, t):
         ws = self.words(t)
-        out = sum(math.log10(self.probability(c, s)) for c, s in self.tokens(ws, self.depth + 1))
+        out = sum(math.log10(self.probability(c, s)) for c, s in self.tokens(ws, self.depth))
         return out + sum(math.log10((self.counts[w] + 1) / (1 + self.weight[self.symbol(w)])) for w in ws if self.symbol(w) > self.n_top)
 
 
@@ -151,10 +146,10 @@ def test_lm_scores_are_those_of_a_plain_tree(spark, again, monkeypatch):
     held = lambda i: (1 if i is None else i) % 7 == 2
     often = sorted(Counter(w for i, t in rows if not held(i) for w in (t or "").split()).values(), reverse=True)
     # A number of top words that no tie makes open.
-    more = {"depth": 2, "p_min": 0.01, "top": next(k for k in range(25, 60) if often[k - 1] > often[k]), "least": 2}
-    got = suffix_tree_lm.score(docs(spark, rows), F.coalesce(F.col("doc_id"), F.lit(1)) % 7 == 2, most_tails=6, **more).collect()
+    more = {"depth": 3 + again, "top": next(k for k in range(25, 60) if often[k - 1] > often[k]), "least": 2 + again}
+    got = suffix_tree_lm.score(docs(spark, rows), F.coalesce(F.col("doc_id"), F.lit(1)) % 7 == 2, most_tails=6, p_min=0.01, most_entries=40 if again else 10_000, **more).collect()
     plain = PlainTree(rows, held, n_tails=6, **more)
-    assert 10 < plain.trunk < len(plain.states) - 10
+    assert all(sum(len(c) == k for c in plain.states) > 3 for k in range(1, more["depth"] + 1))
     assert {r.n_states for r in got} == {1 + len(plain.states)}
     key = lambda i, x: (-1 if i is None else i, round(x, 7))
     assert sorted(key(r.doc_id, r.score) for r in got) == sorted(key(i, plain.score(t)) for i, t in rows)
@@ -178,7 +173,7 @@ def test_lm_learns(spark):
 
 
 def test_lm_keeps_contexts_of_a_fifty_thousandth(spark):
-    """A context seen in 0.001% to 0.005% of the training tokens is a state by default."""
+    """A context seen in 0.001% to 0.005% of the training tokens is a state by default, wherever it is judged."""
     rng = np.random.default_rng(3)
     texts = [" ".join(f"v{x}" for x in rng.integers(0, 300, 1000)) for _ in range(250)]
     texts = [t + " v0 v1 v2" if i < 6 else t for i, t in enumerate(texts)]
@@ -187,10 +182,42 @@ def test_lm_keeps_contexts_of_a_fifty_thousandth(spark):
     assert 1e-5 * len(n) <= seen < 5e-5 * len(n)
     rows = docs(spark, [(i * 7, t) for i, t in enumerate(texts)] + [(1, "v0 v1 v2")])
     held = F.col("doc_id") % 7 == 1
-    got, few = (table(suffix_tree_lm.score(rows, held, **more).filter("held_out")).iloc[0] for more in ({}, {"p_min": 5e-5}))
+    got, same, few = (table(suffix_tree_lm.score(rows, held, **more).filter("held_out")).iloc[0] for more in ({}, {"p_min": 1e-3}, {"least": 50}))
+    assert got.n_states == same.n_states and got.score == pytest.approx(same.score, abs=1e-9)
     assert got.n_states > few.n_states and got.score > few.score
 
 
+@pytest.mark.parametrize("p_min", [1e-3, 1e-5])
+def test_lm_other_text_takes_no_state_away(spark, p_min):
+    """A phrase seen 40 times is worth as much in a large corpus as in a small one, however the work is dealt."""
+    rng = np.random.default_rng(5)
+    phrase = [f"u{i} alpha beta gamma" for i in range(40)]
+    texts = [" ".join(phrase[i : i + 10] + [f"z{x}" for x in rng.integers(0, 400, 40)]) for i in range(0, 40, 10)]
+    other = [" ".join(f"z{x}" for x in rng.integers(0, 400, 900)) for _ in range(100)]
+    held = F.col("doc_id") == 9_999
+    gain = []
+    for more in ([], other):
+        rows = [(i, t) for i, t in enumerate(texts + more)] + [(9_999, "alpha beta gamma")]
+        got = table(suffix_tree_lm.score(docs(spark, rows), held, p_min=p_min).filter("held_out")).iloc[0]
+        gain.append(got.score - got.base_score)
+    assert gain[1] > gain[0] > 1  # what the words alone are worth falls, what the phrase is worth stays
+
+
+def test_lm_frequent_contexts_have_longer_states(spark):
+    """What follows is clear only from four symbols back, all the shorter contexts being frequent."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(60):
+        out = []
+        for _ in range(30):
+            x = int(rng.integers(0, 2))
+            out.append(f"k{x} of the old m{x}")
+        texts.append(" ".join(out))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, "k0 of the old m0"), (901, "k0 of the old m1")]
+    got = table(suffix_tree_lm.score(docs(spark, rows), F.col("doc_id") >= 900)).set_index("doc_id")
+    assert got.score[900] - got.score[901] > 2
+
+
 def test_lm_empty(spark):
     assert suffix_tree_lm.score(docs(spark, []), F.lit(False)).count() == 0
     only_held = table(suffix_tree_lm.score(docs(spark, [(1, "a b")]), F.lit(True)))
