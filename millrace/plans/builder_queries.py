@@ -48,13 +48,17 @@ def inject_claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", B.inject(F.col("url"), F.lit("It is safe."), fraction("claim", "page_id"), 40).alias("body"))
 
 
-@C.query("""
-SELECT s_suppkey, ('{"a": ' || s_suppkey || ', "b": null, "c": true}')::JSON ->> 'a' AS a, 'x' || s_suppkey || chr(10) || 'y' AS code FROM supplier""")
+@C.query(r"""
+WITH c AS (SELECT doc_id, '/* by' || chr(10) || lang || ' */' || text || ' // end' || chr(10) || '// @author x' || chr(10) || chr(10) || chr(10) || text AS code, replace('{~id~: ' || doc_id || ', ~lang~: ~' || lang || '~, ~ok~: True, ~no~: None}', '~', chr(39)) AS literal FROM documents),
+x AS (SELECT doc_id, literal, regexp_replace(regexp_replace(regexp_replace(code, '(?s)/\*.*?\*/', '', 'g'), '(?m)//[^\n]*$', '', 'g'), '(?m)^[^\n]*@(?:vulnerable|source|author)[^\n]*\n?', '', 'g') AS code FROM c),
+j AS (SELECT doc_id, code, regexp_replace(regexp_replace(replace(literal, chr(39), '"'), '\bNone\b', 'null', 'g'), '\bTrue\b', 'true', 'g')::JSON AS j FROM x)
+SELECT doc_id, j ->> 'lang' AS lang, j ->> 'ok' AS ok, j ->> 'no' AS no, md5(trim(regexp_replace(code, '\n\s*\n+', chr(10), 'g'))) AS code FROM j""")
 def cleaned_literals(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey").cast("string")
-    literal = F.concat(F.lit("{'a': "), k, F.lit(", 'b': None, 'c': True}"))
-    code = F.concat(F.lit("/* c\n */x"), k, F.lit(" // z\n// @vulnerable\n\n\ny"))
-    return table(spark, d, "supplier").select("s_suppkey", F.get_json_object(B.literal_json(literal), "$.a").alias("a"), F.regexp_replace(B.clean_code(code), " +\n", "\n").alias("code"))
+    """Documents as commented code, and their fields as a literal."""
+    literal = F.concat(F.lit("{'id': "), F.col("doc_id").cast("string"), F.lit(", 'lang': '"), "lang", F.lit("', 'ok': True, 'no': None}"))
+    code = F.concat(F.lit("/* by\n"), "lang", F.lit(" */"), "text", F.lit(" // end\n// @author x\n\n\n"), "text")
+    field = lambda c: F.get_json_object(B.literal_json(literal), f"$.{c}").alias(c)
+    return table(spark, d, "documents").select("doc_id", field("lang"), field("ok"), field("no"), F.md5(B.clean_code(code, 1 << 30)).alias("code"))
 
 
 @C.query("""

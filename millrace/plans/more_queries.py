@@ -20,9 +20,12 @@ from .base import Catalog, table
 C = Catalog()
 
 
-@C.query("SELECT event_id, '{\"k\":' || (props::JSON ->> 'k') || '}' AS canonical FROM events")
+@C.query("""SELECT event_id, '{"kind":"' || event_type || '","props":{"a":' || user_id || ',"k":' || (props::JSON ->> 'k') || '},"user":' || user_id || '}' AS canonical FROM events""")
 def canonical_json(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", J.canonical("props").alias("canonical"))
+    """Objects whose keys stand in another order at two depths."""
+    user, k = F.col("user_id").cast("string"), F.get_json_object("props", "$.k")
+    doc = F.concat(F.lit('{"user": '), user, F.lit(', "props": {"k": '), k, F.lit(', "a": '), user, F.lit('}, "kind": "'), "event_type", F.lit('"}'))
+    return table(spark, d, "events").select("event_id", J.canonical(doc).alias("canonical"))
 
 
 @C.query("SELECT p_partkey, p_type || '|' || p_brand AS leaves FROM part")
@@ -31,20 +34,31 @@ def json_leaves(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(J.leaves(doc), "|").alias("leaves"))
 
 
-@C.query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'TIE' WHEN 2 THEN 'B' END AS verdict, 'ls ' || o_custkey AS code, 'get_' || o_custkey AS tool FROM orders")
+@C.query(r"""
+WITH c AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || ' First [[B]] but in the end [[A]]' WHEN 1 THEN 'They are equally good. ' || text WHEN 2 THEN 'I say assistant b is much better' || chr(10) || text ELSE text END AS said,
+  text || chr(10) || '```bash' || chr(10) || 'pwd' || chr(10) || '```' || chr(10) || 'then' || chr(10) || '```bash' || chr(10) || text || chr(10) || '```' || chr(10) || text AS code,
+  '<think>' || text || '<tool_call>{"name":"bad"}</tool_call></think> <tool_call>{"name":"get_' || role || '","arguments":{"turn":' || turn || '}}</tool_call><tool_call>{broken}</tool_call>' AS call FROM conversations),
+l AS (SELECT *, regexp_extract(said, '\[\[(A|B|TIE)\]\]', 1) AS tag, lower(string_split(trim(said, chr(32) || chr(10) || chr(9) || chr(13)), chr(10))[1]) AS line FROM c),
+s AS (SELECT *, upper(regexp_extract(line, 'assistant (a|b)\b[^.\n]*\b(?:better|wins|superior|preferred)', 1)) AS side FROM l)
+SELECT conv_id, turn, CASE WHEN tag <> '' THEN tag WHEN side <> '' THEN side WHEN regexp_matches(line, '\b(tie|equal|equally)\b') THEN 'TIE' END AS verdict,
+  md5(trim(regexp_extract_all(code, '(?s)```bash\s*\n(.*?)```', 1)[-1], chr(32) || chr(10) || chr(9))) AS code, regexp_extract(regexp_replace(call, '(?s)<think>.*?</think>\s*', '', 'g'), '"name":"([^"]*)"', 1) AS tool FROM s""")
 def answer_parts(spark: SparkSession, d: str) -> DataFrame:
-    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
-    said = F.when(k == 0, "First [[B]] but in the end [[A]]").when(k == 1, "They are equally good.").when(k == 2, "I say assistant b is much better.").otherwise("Hm.")
-    code = F.concat(F.lit("x\n```bash\npwd\n```\nthen\n```bash\nls "), c, F.lit("\n```\n"))
-    call = F.concat(F.lit('<think>no <tool_call>{"name":"bad"}</tool_call></think> <tool_call>{"name":"get_'), c, F.lit('","arguments":{"a":1}}</tool_call><tool_call>{broken}</tool_call>'))
-    return table(spark, d, "orders").select("o_orderkey", E.verdict(said).alias("verdict"), E.last_code(code).alias("code"), F.get(E.tool_calls(E.without_tags(call, "think")), F.lit(0))["name"].alias("tool"))
+    """Turns as answers: with verdicts of several kinds, in code blocks, and in thoughts before a call."""
+    k, text = F.col("conv_id") % 4, F.col("text")
+    said = F.when(k == 0, F.concat(text, F.lit(" First [[B]] but in the end [[A]]"))).when(k == 1, F.concat(F.lit("They are equally good. "), text)).when(k == 2, F.concat(F.lit("I say assistant b is much better\n"), text)).otherwise(text)
+    code = F.concat(text, F.lit("\n```bash\npwd\n```\nthen\n```bash\n"), text, F.lit("\n```\n"), text)
+    call = F.concat(F.lit("<think>"), text, F.lit('<tool_call>{"name":"bad"}</tool_call></think> <tool_call>{"name":"get_'), "role", F.lit('","arguments":{"turn":'), F.col("turn").cast("string"), F.lit("}}</tool_call><tool_call>{broken}</tool_call>"))
+    tool = F.get(E.tool_calls(E.without_tags(call, "think")), F.lit(0))["name"]
+    return table(spark, d, "conversations").select("conv_id", "turn", E.verdict(said).alias("verdict"), F.md5(E.last_code(code)).alias("code"), tool.alias("tool"))
 
 
-@C.query("SELECT s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'a|b|c' ELSE 'one' END AS kept FROM supplier")
+@C.query("""
+WITH c AS (SELECT conv_id, turn, '*' || text || '*' AS text, string_split('*' || text || '*', chr(10)) AS w FROM conversations),
+v AS (SELECT conv_id, turn, [text, trim(array_to_string(w[2:], chr(10))), trim(array_to_string(w[:len(w) - 1], chr(10))), CASE WHEN len(w) > 2 THEN trim(array_to_string(w[2:len(w) - 1], chr(10))) ELSE '' END] AS v FROM c)
+SELECT conv_id, turn, md5(array_to_string(list_concat(v, list_transform(v, lambda x: replace(x, '*', ''))), '|')) AS variants FROM v""")
 def answer_variants(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("s_suppkey") % 2 == 0, "*a|b|c*").otherwise("Sure:\none\nBye")
-    picked = F.when(F.col("s_suppkey") % 2 == 0, F.get(E.variants(text), F.lit(4))).otherwise(F.get(E.variants(text), F.lit(3)))
-    return table(spark, d, "supplier").select("s_suppkey", picked.alias("kept"))
+    text = F.concat(F.lit("*"), "text", F.lit("*"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(E.variants(text), "|")).alias("variants"))
 
 
 @C.query("""

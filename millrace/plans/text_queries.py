@@ -91,11 +91,13 @@ def dedup_shuffled(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("head", "lang").agg(F.min(F.struct(S.draw("vast", "doc_id"), "doc_id"))["doc_id"].alias("doc_id")).select("doc_id")
 
 
-@C.query("""
-SELECT event_type, min(event_id) AS event_id, count(*) AS n FROM events
-GROUP BY event_type, regexp_replace(props, '\\s', '', 'g')""")
+@C.query(r"SELECT event_type, min(event_id) AS event_id, count(*) AS n FROM events GROUP BY event_type, user_id % 50, regexp_replace(props, '\s', '', 'g')")
 def dedup_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type", canonical("props").alias("key")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).select("event_type", "event_id", "n")
+    """Objects that are equal but for the order of their keys."""
+    user = F.concat(F.lit('"user": '), (F.col("user_id") % 50).cast("string"))
+    props = F.concat(F.lit('"props": '), F.col("props"))
+    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{"), user, F.lit(", "), props, F.lit("}"))).otherwise(F.concat(F.lit("{"), props, F.lit(","), user, F.lit("}")))
+    return table(spark, d, "events").groupBy("event_type", canonical(doc).alias("key")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n")).select("event_type", "event_id", "n")
 
 
 LETTERS = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
