@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import running
 
@@ -57,16 +61,45 @@ def with_header(lines: DataFrame, position: str, header: Column, by: list[str])
 
 
 def ema(values: DataFrame, by: list[str], position: str, value: str, alpha: float, spike: float) -> DataFrame:
-    """by, n, ema, skipped: exponential mean in order of position; values above spike times it are skipped."""
-    lists = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(position, F.col(value).cast("double").alias("v")))).alias("s"))
-    start = F.from_json(F.lit('{"k":0}'), "struct<m:double,k:int>")
-
-    def step(acc: Column, x: Column) -> Column:
-        skip = acc["m"].isNotNull() & (x["v"] > spike * acc["m"])
-        m = F.when(acc["m"].isNull(), x["v"]).when(skip, acc["m"]).otherwise((1 - alpha) * acc["m"] + alpha * x["v"])
-        return F.struct(m.alias("m"), (acc["k"] + skip.cast("int")).alias("k"))
-
-    return lists.withColumn("__r", F.aggregate("s", start, step)).select(*by, F.size("s").cast("long").alias("n"), F.col("__r.m").alias("ema"), F.col("__r.k").alias("skipped"))
+    """by, n, ema, skipped: exponential mean in order of position; values above spike times it are skipped. Null values count in n
+    alone. The mean is sequential within a group, so groups are what runs in parallel, but a group is a stream of sorted rows and
+    never held."""
+    rows = values.select(*by, position, F.col(value).cast("double").alias("__v"))
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, position, "__v").select(*by, "__v")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("ema", T.DoubleType()), T.StructField("skipped", T.IntegerType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, mean, skipped, done, kinds = None, 0, None, 0, [], None
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.int64(), pa.float64(), pa.int32()], strict=True)], schema.names)
+
+        for batch in parts:
+            kinds = [f.type for f in batch.schema][:-1]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *now, v in zip(*columns, strict=True):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, n, mean, skipped))
+                    key, n, mean, skipped = now, 0, None, 0
+                n += 1
+                if v is None:
+                    continue
+                if mean is None:
+                    mean = v
+                elif v > spike * mean:
+                    skipped += 1
+                else:
+                    mean = (1 - alpha) * mean + alpha * v
+            if len(done) >= 10_000:
+                yield out()
+                done = []
+        if key is not None:
+            done.append((*key, n, mean, skipped))
+            yield out()
+
+    return rows.mapInArrow(run, schema)
 
 
 def batches(rows: DataFrame, by: list[str], key: str, length: str, budget: int) -> DataFrame:

@@ -161,6 +161,18 @@ def test_batches(spark):
     assert L.batches(df.filter("false"), ["g"], "k", "n", 40).count() == 0
 
 
+def test_ema(spark):
+    rows = [("a", 2, 2.0), ("a", 1, 1.0), ("a", 3, 9.0), ("a", 4, None), (None, 1, 5.0), ("b", 1, None), ("b", 2, 4.0)] + [("long", i, float(1 + i % 2)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, at int, x double")
+    got = {r.g: (r.n, r.ema, r.skipped) for r in L.ema(df, ["g"], "at", "x", 0.5, 3.0).collect()}
+    mean = 1.0
+    for i in range(1, 5000):
+        mean = 0.5 * mean + 0.5 * (1 + i % 2)
+    assert got == {"a": (4, 1.5, 1), None: (1, 5.0, 0), "b": (2, 4.0, 0), "long": (5000, pytest.approx(mean), 0)}
+    assert [tuple(r) for r in L.ema(df.filter("g = 'a'"), [], "at", "x", 0.5, 3.0).collect()] == [(4, 1.5, 1)]
+    assert L.ema(df.filter("false"), ["g"], "at", "x", 0.5, 3.0).count() == 0
+
+
 def test_fit_tail(spark):
     df = spark.range(10).select(F.lit(1).alias("c"), F.col("id").alias("p"), F.lit(100).alias("n"))
     kept = lambda budget: sorted(r.p for r in L.fit_tail(df, "c", "p", F.col("n"), 6, budget).filter("kept").collect())
