@@ -1,7 +1,8 @@
 """Running sums over an order within groups, where a group may hold most of the rows.
 
-A window by group alone is one task a group. Here each group is cut at a bounded, fixed set of its own rows, windows run within
-the pieces, and the pieces' totals are summed on the side.
+A window by group alone is one task a group. Groups of up to WHOLE rows are counted first and, if none is larger, get just that.
+Else each group is cut at a bounded, fixed set of its own rows, windows run within the pieces, and the pieces' totals are summed on
+the side.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: Cuts a group: the rows of smallest hash, so they are the same on every run. They decide how work is split, never results.
 CUTS = 63
 
+#: Rows of a group that one task takes; they are light, without what the caller doesn't select.
+WHOLE = 1_000_000
+
 
 def running(df: DataFrame, by: list[str], order: list[str], **weights: Column) -> DataFrame:
     """df with <name>_before, the sum of each weight over the group's rows that stand before this one in rising order (nulls
@@ -21,7 +25,12 @@ def running(df: DataFrame, by: list[str], order: list[str], **weights: Column) -
     at = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
     # A struct of the group's columns: fields of null are equal in it, so groups of null join.
     rows = df.withColumn("__g", F.struct(*by) if by else F.struct(F.lit(0).alias("all"))).withColumn("__at", at)
-    picked = Window.partitionBy("__g").orderBy(F.xxhash64("__at"), "__at")
+    own = Window.partitionBy("__g")
+    if (rows.groupBy("__g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= WHOLE:
+        so_far = own.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        sums = {f"{n}_before": F.coalesce(F.sum(f"__w_{n}").over(so_far), F.lit(0)) for n in weights} | {f"{n}_all": F.sum(f"__w_{n}").over(own) for n in weights}
+        return rows.withColumns(sums).drop("__g", "__at", *(f"__w_{n}" for n in weights))
+    picked = own.orderBy(F.xxhash64("__at"), "__at")
     cuts = rows.select("__g", "__at").distinct().withColumn("__k", F.row_number().over(picked)).filter(F.col("__k") <= CUTS)
     cuts = cuts.groupBy("__g").agg(F.array_sort(F.collect_list("__at")).alias("__cuts"))
     # One row a group, of at most CUTS positions; the planner broadcasts it where its size allows.

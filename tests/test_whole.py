@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import metrics as M
+from millrace.operators import ranks
 from millrace.operators.ranks import running
 from millrace.plans import catalog
 
@@ -127,7 +128,10 @@ def test_training_mix_compares_and_keeps_whole_texts(spark, made):
     assert all(json.loads(p)["state"] == texts[i] for i, ps in prompts.items() for p in ps)
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("whole", [0, 1_000_000])
+def test_running_sums(spark, monkeypatch, whole):
+    """In pieces of a group, and in one window."""
+    monkeypatch.setattr(ranks, "WHOLE", whole)
     rng = random.Random(5)
     rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 0.5, -1.0, 2.0, rng.random()]), i, rng.choice([None, 1, 2, 5])) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, x double, id int, n int")
