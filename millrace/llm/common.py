@@ -108,17 +108,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: the worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
-    """A function over Arrow batches that gives freed memory back at the end: the worker process lives on for other tasks."""
+    """A function over Arrow batches that gives freed memory back at the end."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
+
+    return tidied
+
+
+def tidy_group(run):
+    """A function of a group that gives freed memory back after each."""
+
+    @functools.wraps(run)
+    def tidied(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(pdf)
+        finally:
+            _give_back()
 
     return tidied
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_range, collected, id_back, mix, numbers, packed, ranges_of, shingle_hashes, text_slices, tidy, unpacked, with_id, word_bounds, word_hashes
+from .common import Scratch, by_range, collected, id_back, mix, numbers, packed, ranges_of, shingle_hashes, text_slices, tidy, tidy_group, unpacked, with_id, word_bounds, word_hashes
 from .components import components
 
 WORDS, PERCENT, HOT = 5, 80, 1 << 20
@@ -94,6 +94,7 @@ def _count_map(n_ranges: int):
 
 
 def _count_reduce(least: int):
+    @tidy_group
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in pdf.itertuples():
@@ -234,6 +235,7 @@ def _cold_map(n_ranges: int):
 _BLOBS = "range int, first bigint, base bigint, gaps binary, gw int, ids binary, iw int, ns binary, nw int, at binary, aw int"
 
 
+@tidy_group
 def _cold_reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     """List entries of the tokens that two groups or more have."""
     token = np.concatenate([np.cumsum(np.concatenate([np.array([r.first], np.uint64), unpacked(r.gaps, r.gw)]), dtype=np.uint64) for r in pdf.itertuples()])
