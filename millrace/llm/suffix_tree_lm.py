@@ -40,6 +40,8 @@ DEPTH, P_MIN, MIN_BITS, LEAST, MOST_ENTRIES = 4, 1e-5, 0.02, 2, 2_000_000
 TOP, TAILS, WORDS = 400, 600, 300_000
 BITS, END = 10, 0
 _FLUSH = 3_000_000
+#: Texts of a range, about, and ranges at least, for what the branches change in texts' scores.
+TEXTS, LEAST_TEXT_RANGES = 25_000, 8
 
 
 def tails(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pd.array(rows, "Int64"), "delta": np.bincount(which, delta, len(rows))})
 
 
-def _branch(tree, depth: int, least: int, min_bits: float, n_ranges: int):
+def _branch(tree, depth: int, least: int, min_bits: float, n_ranges: int, text_ranges: int):
     """What the branches of a range of contexts add to the log10 probability of each text, as far as it isn't 0, packed by row;
     and as range -1 the number of states."""
 
@@ -335,7 +337,7 @@ def _branch(tree, depth: int, least: int, min_bits: float, n_ranges: int):
             delta = np.bincount(which, np.log10(p[moved] / q[moved]), len(rows))
         else:
             rows, delta = np.zeros(0, np.int64), np.zeros(0)
-        out = [*_by_rows(rows, delta, n_ranges), (-1, 0, b"", 1, np.array([n_states], "<f8").tobytes())]
+        out = [*_by_rows(rows, delta, text_ranges), (-1, 0, b"", 1, np.array([n_states], "<f8").tobytes())]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _CHANGED.split(", ")])
 
     return run
@@ -494,8 +496,10 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float =
     trunk_value, frequent_value = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent)
     n_ranges = ranges_of(spark, n_tokens)
     sent = docs.select("row", "held", "text").mapInArrow(_send(frequent_value, alphabet, depth, n_ranges), _SENT)
-    changed = by_range(sent, (depth - 1) * n_ranges).applyInPandas(_branch(trunk_value, depth, least, min_bits, n_ranges), _CHANGED)
-    branches = scratch.keep(by_range(changed, n_ranges).applyInPandas(_summed, "row bigint, delta double"))
+    # What comes back to the texts has as many ranges as these need, not as many as tokens do.
+    text_ranges = max(LEAST_TEXT_RANGES, -(-docs.count() // TEXTS))
+    changed = by_range(sent, (depth - 1) * n_ranges).applyInPandas(_branch(trunk_value, depth, least, min_bits, n_ranges, text_ranges), _CHANGED)
+    branches = scratch.keep(by_range(changed, text_ranges).applyInPandas(_summed, "row bigint, delta double"))
     n_states = tree.n_states + int(branches.filter("row is null").agg(F.sum("delta").alias("n")).first().n or 0)
     listed = collected(_most_frequent(plain.filter("n > 3"), most_words).select("word", "n"))
     hashes = listed["word"].to_numpy().view(np.uint64)
