@@ -1007,4 +1007,4 @@ def test_queries_match_sql(spark, small, name):
 
 def test_queries_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
