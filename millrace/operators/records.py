@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
@@ -47,11 +47,13 @@ def blended(a: DataFrame, b: DataFrame, weight: float, keys: list[str]) -> DataF
 
 
 def averaged(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, option, p: mean over the teachers of a question, an option that a teacher lacks counting 0, normalised.
+    """keys, option, p: mean over the teachers of a question, an option that a teacher lacks counting 0, normalised. What it is
+    divided by is the sum over options, in their order, of what the teachers give each, so the order of rows doesn't show in it.
     labels: keys, teacher, option, p."""
-    n = labels.groupBy(*keys).agg(F.countDistinct("teacher").alias("n"), F.sum("p").alias("z"))
     each = labels.groupBy(*keys, "option").agg(F.sum("p").alias("s"))
-    return each.join(n, keys).select(*keys, "option", (F.col("s") / F.when(F.col("z") == 0, F.lit(1.0)).otherwise(F.col("z"))).alias("p"))
+    whole = Window.partitionBy(*keys).orderBy("option").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    each = each.withColumn("z", F.sum("s").over(whole))
+    return each.select(*keys, "option", (F.col("s") / F.when(F.col("z") == 0, F.lit(1.0)).otherwise(F.col("z"))).alias("p"))
 
 
 def agreed(pairs: DataFrame, options: Column, a: Column, b: Column, veto: Column | None = None, yes_no: Column | None = None) -> DataFrame:

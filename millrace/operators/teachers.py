@@ -26,7 +26,7 @@ def by_prefix(sources: DataFrame, rules: DataFrame, longest: bool = False) -> Da
 def attached(questions: DataFrame, labels: DataFrame, rules: DataFrame, fallbacks: DataFrame) -> DataFrame:
     """qid, status, probs for questions (qid, source). labels (teacher, qid, probs) of the teachers that rules (prefix, teacher) name for
     the source, as often as they name them, are averaged, an option that one lacks counting 0. Without any, the label of the first of
-    fallbacks (teacher, priority) that has one. status: <n>_teachers, fallback or none; probs null for none."""
+    fallbacks (teacher, priority) that has one, divided by its sum unless that is 1 already. status: <n>_teachers, fallback or none; probs null for none."""
     who = by_prefix(questions, rules).select("source", "teacher")
     asked = questions.select("qid", "source").distinct()
     own = asked.join(who, "source").join(labels, ["teacher", "qid"])
@@ -35,7 +35,7 @@ def attached(questions: DataFrame, labels: DataFrame, rules: DataFrame, fallback
     main = averaged(each, ["qid"]).groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("option", "p")))).alias("probs")).join(n, "qid")
     main = main.select("qid", F.concat(F.col("n").cast("string"), F.lit("_teachers")).alias("status"), "probs")
     spare = asked.join(main, "qid", "left_anti").join(labels, "qid").join(fallbacks, "teacher")
-    spare = per_group(spare, ["qid"], 1, ["priority", "teacher"]).select("qid", F.lit("fallback").alias("status"), D.normalised(F.col("probs")).alias("probs"))
+    spare = per_group(spare, ["qid"], 1, ["priority", "teacher"]).select("qid", F.lit("fallback").alias("status"), F.when(F.abs(D.total(F.col("probs")) - 1) < 1e-9, F.col("probs")).otherwise(D.normalised(F.col("probs"))).alias("probs"))
     found = main.unionByName(spare)
     return asked.select("qid").distinct().join(found, "qid", "left").withColumn("status", F.coalesce("status", F.lit("none")))
 

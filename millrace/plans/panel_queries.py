@@ -96,7 +96,8 @@ def _attached(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 g AS (SELECT qid, any_value(status) AS status, string_agg(option || '=' || printf('%.6f', round(p, 6)), ' ' ORDER BY option) AS probs FROM x GROUP BY qid)
 SELECT q.qid, coalesce(status, 'none') AS status, coalesce(probs, '') AS probs FROM q LEFT JOIN g USING (qid)""")
 def attached_teachers(spark: SparkSession, d: str) -> DataFrame:
-    shown = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("decimal(10,6)").cast("string"))
+    # Millionths are rounded as binary numbers, as in the SQL; round(p, 6) would round the shortest decimal that stands for p.
+    shown = lambda e: F.concat(e["key"], F.lit("="), (F.round(e["value"] * 1e6) / 1e6).cast("decimal(10,6)").cast("string"))
     return _attached(spark, d)[2].select("qid", "status", F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("probs")), shown), " "), F.lit("")).alias("probs"))
 
 

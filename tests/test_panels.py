@@ -1,6 +1,7 @@
 """Views, panels, pairs and teachers' labels against plain versions."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import panels as P
 from millrace.operators import teachers as T
+from millrace.operators.records import averaged
 
 
 def md5(*parts):
@@ -119,6 +121,36 @@ def test_attached_teachers(spark):
     }
 
 
+def test_the_order_of_labels_does_not_show_in_averages(spark):
+    # R's mean is 0.90625 / 4, halfway between two millionths: it must not depend on the order in which labels are added up.
+    given = {"t1": {"A": 0.09375, "R": 0.90625}, "t2": {"A": 0.7608695652173914, "N": 0.2391304347826087}, "t0": {"N": 1.0}}
+    rows, n = [], 0
+    for teachers in itertools.permutations(given):
+        for flip in itertools.product([1, -1], repeat=2):
+            turned = {"t1": flip[0], "t2": flip[1], "t0": 1}
+            rows += [(t, n, dict([*given[t].items()][:: turned[t]])) for t in teachers]
+            n += 1
+    labels = spark.createDataFrame(rows, f"teacher string, qid int, probs {MAP}").coalesce(1)
+    rules = spark.createDataFrame([("", "t1"), ("h", "t2"), ("hf", "t0"), ("hf/", "t2")], "prefix string, teacher string")
+    questions = spark.createDataFrame([(q, "hf/x") for q in range(n)], "qid int, source string")
+    got = {(r.status, tuple(sorted(r.probs.items()))) for r in T.attached(questions, labels, rules, rules.selectExpr("teacher", "0 priority").limit(0)).collect()}
+    assert len(got) == 1 and dict(got.pop()[1])["R"] == 0.2265625
+    each = spark.createDataFrame([(k, q, o, p) for q, order in enumerate(itertools.permutations([(k, o, p) for k, t in enumerate(("t1", "t2", "t0")) for o, p in given[t].items()])) for k, o, p in order], "teacher int, qid int, option string, p double")
+    assert len({(r.option, r.p) for r in averaged(each.coalesce(1), ["qid"]).collect()}) == 3
+
+
+def test_a_fallback_that_adds_up_to_one_stays(spark):
+    probs = {"A": 3 / 384, "N": 100 / 384, "R": 281 / 384}
+    bad = {"A": 0.1, "N": 0.2, "R": 0.7}  # adds up to 0.9999999999999999 in one order
+    labels = spark.createDataFrame([("f", 1, probs), ("f", 2, bad), ("f", 3, {"A": 3.0, "B": 1.0})], f"teacher string, qid int, probs {MAP}")
+    one = F.map_from_arrays(F.array(*map(F.lit, "ARN")), F.array(*(F.lit(bad[k]) for k in "ARN")))
+    labels = labels.withColumn("probs", F.when(F.col("qid") == 2, one).otherwise(F.col("probs")))
+    questions = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "qid int, source string")
+    rules = spark.createDataFrame([("x", "none")], "prefix string, teacher string")
+    fallbacks = spark.createDataFrame([("f", 0)], "teacher string, priority int")
+    assert {r.qid: r.probs for r in T.attached(questions, labels, rules, fallbacks).collect()} == {1: probs, 2: bad, 3: {"A": 0.75, "B": 0.25}}
+
+
 def test_student_targets(spark):
     rows = [("a", False, {"x": 1.0}), ("a~2", None, {"x": 1.0}), ("b", True, {"x": 1.0}), ("b~2", True, None), ("c", False, None), ("d", False, {"x": 1.0})]
     examples = spark.createDataFrame(rows, f"id string, replay boolean, probs {MAP}")
