@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .sampling import draw, fraction, per_group
 
 #: First candidates a row, in multiples of k: they only set the similarity to beat.
 FIRST = 4
+#: Templates of at most so many characters in all go to every task; beyond, templates and lines meet in a shuffle.
+SENT = 4_000_000
 
 
 def similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -55,15 +59,23 @@ def fits(line: Column, template: Column) -> Column:
     return F.coalesce(F.aggregate(F.split(template, r"<\*>", -1), F.lit(1), step) > 0, F.lit(False))
 
 
-def anchors(templates: DataFrame, lines: DataFrame) -> DataFrame:
+def _held(templates: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables of a row a template, or of its words, are joined with lines. Lines are never the side that is held: their size is
+    guessed from files that may be much smaller than their rows, and Spark would send all of them to the driver and every task."""
+    size = templates.agg(F.sum(F.length("template") + 64)).first()[0] or 0
+    return F.broadcast if size <= SENT else lambda df: df.hint("shuffle_hash")
+
+
+def anchors(templates: DataFrame, lines: DataFrame, held: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """template columns (system, event, template) with token: of the words that stand whole in a fixed part, between characters that
     are no word's, the one that the fewest lines (system, line) have; null where there is none. A line that fits has it."""
+    held = held or _held(templates)
     parts = F.split("template", r"<\*>", -1)
     whole = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])"), F.lit(0)))))
     each = templates.select("system", "event", "template", F.explode_outer(whole).alias("token"))
     known = each.select("system", "token").distinct()
-    counts = lines.select("system", F.explode(_tokens("line")).alias("token")).join(known, ["system", "token"], "left_semi").groupBy("system", "token").agg(F.count("*").alias("n"))
-    return per_group(each.join(counts, ["system", "token"], "left"), ["system", "event"], 1, [F.coalesce("n", F.lit(0)), F.asc_nulls_last("token")]).drop("n", "rn")
+    counts = lines.select("system", F.explode(_tokens("line")).alias("token")).join(held(known), ["system", "token"], "left_semi").groupBy("system", "token").agg(F.count("*").alias("n"))
+    return per_group(each.join(held(counts), ["system", "token"], "left"), ["system", "event"], 1, [F.coalesce("n", F.lit(0)), F.asc_nulls_last("token")]).drop("n", "rn")
 
 
 def _tokens(line: str) -> Column:
@@ -73,12 +85,14 @@ def _tokens(line: str) -> Column:
 def fitting(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """system, line_id, event: the templates (system, event, template) that fit each line (system, line_id, line). A line is only held
     against templates whose rarest word it has, and those that have no whole word."""
-    some = lines.filter("line is not null")
-    asked = anchors(templates.filter("template is not null"), some)
-    with_word = some.select("system", "line_id", "line", F.explode(_tokens("line")).alias("token")).join(asked.filter("token is not null"), ["system", "token"])
-    without = some.select("system", "line_id", "line").join(asked.filter("token is null").drop("token"), "system")
+    some, templates = lines.filter("line is not null"), templates.filter("template is not null")
+    held = _held(templates)
+    asked = anchors(templates, some, held)
+    with_word = some.select("system", "line_id", "line", F.explode(_tokens("line")).alias("token")).join(held(asked.filter("token is not null")), ["system", "token"])
+    without = some.select("system", "line_id", "line").join(held(asked.filter("token is null").drop("token")), "system")
     met = with_word.select("system", "line_id", "line", "event", "template").unionByName(without)
-    return met.filter(fits(F.col("line"), F.col("template"))).select("system", "line_id", "event")
+    # An array of one event or none, and no filter: Spark derives a filter on templates alone from that, which fails for want of the line.
+    return met.select("system", "line_id", F.explode(F.when(fits(F.col("line"), F.col("template")), F.array("event"))).alias("event"))
 
 
 def distractors(lines: DataFrame, templates: DataFrame, seed: str | int, least: int = 6, most: int = 8) -> DataFrame:

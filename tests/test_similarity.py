@@ -1,13 +1,17 @@
 """Similar rows and templates of lines against all pairs."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import similarity as Y
+from millrace.plans import catalog
 
 
 def plain_similar(left, right, k):
@@ -83,6 +87,35 @@ def test_lines_meet_only_templates_whose_word_they_have(spark):
     assert all(t is None or t in form for form, t in rare.items())
 
 
+@pytest.mark.parametrize("sent", [0, Y.SENT])
+def test_templates_are_held_and_never_lines(spark, small, tmp_path, monkeypatch, sent):
+    # Files of lines are far smaller than the lines; Spark's guess from them made it send all lines through the driver.
+    monkeypatch.setattr(Y, "SENT", sent)
+    lines, templates, some, forms = made(spark, 4)
+    lines.write.parquet(f"{tmp_path}/lines")
+    templates.write.parquet(f"{tmp_path}/templates")
+    for df in (Y.fitting(spark.read.parquet(f"{tmp_path}/lines"), spark.read.parquet(f"{tmp_path}/templates")), catalog.QUERIES["template_fits"](spark, small)):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        kind = "BroadcastHashJoin" if sent else "ShuffledHashJoin"
+        assert joins and all(kind in x and "BuildRight" in x for x in joins)
+        # No filter on templates alone is made of whether a line fits; in the first query of a session it failed.
+        assert not any("Filter" in x and "aggregate(" in x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    got = sorted((r.system, r.line_id, r.event) for r in Y.fitting(lines, templates).collect())
+    assert got == sorted((s, i, e) for s, i, x, _ in some for t, e, form in forms if s == t and s is not None and plain_fits(x, form))
+
+
+def test_fits_in_a_new_session():
+    """The same as the first query of a process."""
+    code = """
+from pyspark.sql import SparkSession
+from millrace.plans import catalog
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", catalog.QUERIES["template_fits"](spark, "/root/testdata/sf0.001").count())
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))})
+    assert "rows 400" in got.stdout, got.stderr[-2000:]
+
+
 def test_distractors(spark):
     lines, templates, some, forms = made(spark, 3)
     asked = lines.filter("line_id < 60")
