@@ -38,9 +38,9 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 class WordCache:
     """Ids of whole texts from the ids of their parts, which this tokenizer treats each on its own: it drops white space and no
     merge crosses it, and marks between an ASCII letter and white space are a token of their own. Parts are encoded once and
-    kept in one flat array; the memory is bounded."""
+    kept in one flat array; the memory is bounded: beyond so many parts, or bytes of them, the cache starts anew."""
 
-    MOST = 400_000
+    MOST, MOST_BYTES = 1_000_000, 32_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,7 +52,8 @@ class WordCache:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.at = array("H"), array("Q", [0])
+        self.held = 0
+        self.flat, self.at = array("H"), array("q", [0])
 
     def learn(self, new: list[bytes], many: int = 1000) -> None:
         """Words of letters alone are encoded in one go: each ends with the only id that closes a word."""
@@ -78,6 +79,7 @@ class WordCache:
         self.flat.frombytes(ids.astype(np.uint16).tobytes())
         self.at.extend([base + len(ids)] if ends is None else (base + ends).tolist())
         self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.held += sum(map(len, parts))
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the bounds of each text's within them."""
@@ -89,7 +91,13 @@ class WordCache:
                     lower[a:b], plain[a:b] = data[a:b], False
         starts, ends, first = word_bounds(data, offsets)
         # The last byte of each word that isn't a mark: if it is a letter, and not the word's last, the word is cut after it.
-        tail = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(1, len(data) + 1)))[ends - 1] if len(ends) else ends
+        tail, odd = ends.copy(), np.flatnonzero(_MARK[data[ends - 1]])
+        for _ in range(16):
+            tail[odd] -= 1
+            odd = odd[tail[odd] > starts[odd]]
+            odd = odd[_MARK[data[tail[odd] - 1]]]
+        if len(odd):  # many marks in a row
+            tail[odd] = np.maximum.accumulate(np.where(_MARK[data], 0, np.arange(1, len(data) + 1)))[tail[odd] - 1]
         cut = (tail > starts) & (tail < ends)
         cut[cut] = _LETTER[data[tail[cut] - 1]] & plain[starts[cut]]
         more = np.concatenate([[0], np.cumsum(cut)])
@@ -101,13 +109,16 @@ class WordCache:
         _, one, which = np.unique(word_hashes(lower, lo, hi, lower=False), return_index=True, return_inverse=True)
         raw = lower.tobytes()
         parts = [raw[a:b] for a, b in zip(lo[one].tolist(), hi[one].tolist(), strict=True)]
-        new = [w for w in parts if w not in self.index]
-        if len(self.index) + len(new) > self.MOST:
+        at = np.fromiter(map(self.index.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        unknown = np.flatnonzero(at < 0)
+        if len(self.index) + len(unknown) > self.MOST or self.held > self.MOST_BYTES:
             self.clear()
-            new = parts
+            unknown = np.arange(len(parts))
+        new = [parts[k] for k in unknown.tolist()]
         self.learn(new)
-        which = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))[which]
-        bound, flat = np.frombuffer(self.at, np.uint64).astype(np.int64), np.frombuffer(self.flat, np.uint16)
+        at[unknown] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        which = at[which]
+        bound, flat = np.frombuffer(self.at, np.int64), np.frombuffer(self.flat, np.uint16)
         start, sizes = bound[which], bound[which + 1] - bound[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return flat[np.arange(total[-1]) + np.repeat(start - total[:-1], sizes)], total[first]

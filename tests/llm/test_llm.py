@@ -936,6 +936,23 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize(("most", "most_bytes"), [(1_000_000, 32_000_000), (50, 32_000_000), (1_000_000, 300)])
+def test_parts_of_long_runs_of_marks_and_a_cache_that_starts_anew(monkeypatch, most, most_bytes):
+    monkeypatch.setattr(packing.WordCache, "MOST", most)
+    monkeypatch.setattr(packing.WordCache, "MOST_BYTES", most_bytes)
+    cache = packing.WordCache(queries.tokenizer_path())
+    texts = [f"{a}{'!' * n}{b}" for n in (0, 1, 2, 15, 16, 17, 18, 40, 300) for a in ("", "x", "x ", "é", "1", "a.b") for b in ("", " y", "y", "\n" + "?" * n)] + [prose(40, k) for k in range(40)]
+    seen = set()
+    for lo in range(0, len(texts), 8):
+        some = [x.encode() for x in texts[lo : lo + 8]]
+        flat, bounds = cache.ids(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+        for k, x in enumerate(some):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == cache.tokenizer.encode(x.decode(), add_special_tokens=False).ids, x
+        assert cache.held == sum(map(len, cache.index))
+        seen |= {*cache.index}
+    assert (len(cache.index) == len(seen)) == (most > 50 and most_bytes > 300)
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(0)
     for seed in range(20):
