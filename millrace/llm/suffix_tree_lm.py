@@ -17,7 +17,8 @@ change in each text's score comes back. A context that many tokens share is in t
 tokens in one; states that MOST_ENTRIES has no room for, those of the fewest tokens, are in the branches too.
 
 Counts come from all training documents. Frequent words' counts, at most WORDS of them, go to every task; all other words meet
-their counts in a join.
+their counts in a join. Texts are taken apart twice, for the words' counts and then for symbols, which are written, two bytes a token;
+what comes after reads these.
 
 Defined cases: a null text is empty, its end alone is scored; repeated rows are scored each; without training tokens the model
 is uniform; rows of one doc_id are told apart; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
@@ -39,7 +40,10 @@ from .common import _LOWER, Scratch, by_range, collected, id_back, mix, numbers,
 DEPTH, P_MIN, MIN_BITS, LEAST, MOST_ENTRIES = 4, 1e-5, 0.02, 2, 2_000_000
 TOP, TAILS, WORDS = 400, 600, 300_000
 BITS, END = 10, 0
+ONE = (1 << BITS) - 1
 _FLUSH = 3_000_000
+#: Tokens that are worked on at a time, about (a longer text is worked on whole).
+_TOKENS = 200_000
 #: Texts of a range, about, and ranges at least, for what the branches change in texts' scores.
 TEXTS, LEAST_TEXT_RANGES = 25_000, 8
 
@@ -85,56 +89,125 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([-1], pa.int32()), pa.array([ends], pa.int64())], ["word", "tail", "n"])
 
 
+class Places:
+    """Where numbers stand in a sorted list of numbers that are spread evenly: first by their highest bits, then one by one."""
+
+    def __init__(self, listed: np.ndarray, bits: int):
+        """listed: distinct, of so many bits."""
+        self.listed, width = listed.view(np.uint64), min(bits, max(10, len(listed).bit_length() + 2))
+        self.shift = np.uint64(bits - width)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((self.listed >> self.shift).astype(np.int64), minlength=1 << width))]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.listed)
+
+    def __call__(self, numbers: np.ndarray) -> np.ndarray:
+        """-1 for those not listed."""
+        own = numbers.view(np.uint64)
+        part = (own >> self.shift).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        out, left = np.full(len(own), -1, np.int64), np.flatnonzero(at < end)
+        at, end, own = at[left], end[left], own[left]
+        while len(left):
+            hit = self.listed[at] == own
+            out[left[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            left, at, end, own = left[more], at[more] + 1, end[more], own[more]
+        return out
+
+
 class Alphabet:
     """Symbols: 0 the end, then the top words, then classes by tail; the last is for all other tails."""
 
     def __init__(self, top: np.ndarray, classes: np.ndarray):
         """top: hashes of the top words, most frequent first. classes: tails."""
         order = np.argsort(top)
-        self.top, self.top_symbol = top[order], order + 1
+        self.top, self.top_symbol = Places(top[order], 64), order + 1
         self.by_tail = np.full(1 << 16, len(top) + len(classes) + 1, np.int64)
         self.by_tail[classes] = len(top) + 1 + np.arange(len(classes))
         self.n_top, self.size = len(top), len(top) + len(classes) + 2
 
     def symbols(self, hashes: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = self.by_tail[tail]
-        if self.n_top and len(hashes):
-            at = np.minimum(np.searchsorted(self.top, hashes), self.n_top - 1)
-            hit = self.top[at] == hashes
-            out[hit] = self.top_symbol[at[hit]]
+        out, at = self.by_tail[tail], self.top(hashes)
+        hit = np.flatnonzero(at >= 0)
+        out[hit] = self.top_symbol[at[hit]]
         return out
 
 
-def grams(symbols: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens of a slice, ends included: the token (lowest bits) and depth symbols before it, ends before a text;
-    and the bounds of each text's."""
+def with_ends(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all tokens of a slice, ends included, and the bounds of each text's."""
     n_docs = len(first) - 1
     bounds = first + np.arange(n_docs + 1)
     out = np.full(bounds[-1], END, np.int64)
     out[np.arange(len(symbols)) + np.repeat(np.arange(n_docs), np.diff(first))] = symbols
-    key = out.copy()
-    place = np.arange(len(out)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return out, bounds
+
+
+def token_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, symbols, bounds of each text's from 0) of slices of a column of symbols, ends included."""
+    if not len(column):
+        return
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    bounds, lo = (offsets - offsets[0]) // 2, 0
+    while lo < len(column):
+        hi = min(len(column), max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + _TOKENS, "right")) - 1))
+        yield lo, hi, np.frombuffer(data, "<u2", int(bounds[hi] - bounds[lo]), int(offsets[lo])).astype(np.int64), bounds[lo : hi + 1] - bounds[lo]
+        lo = hi
+
+
+def grams(symbols: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of all tokens of a slice: the token (lowest bits) and depth symbols before it, ends before a text."""
+    key = symbols.copy()
+    before = symbols
     for k in range(1, depth + 1):
-        before = np.zeros_like(out)
-        before[k:] = out[:-k] if k < len(out) else out[:0]
-        before[place < k] = END
+        # The symbol of k tokens before; a text begins with ends, and so does what lies before its first k.
+        before = np.concatenate([[END], before[:-1]])
+        before[bounds[:-1]] = END
         key |= before << (BITS * k)
-    return key, bounds
+    return key
+
+
+def _spread(depth: int) -> tuple[int, int, int]:
+    """A one-to-one scramble of contexts of `depth` symbols: factor, its inverse, mask."""
+    mask = (1 << BITS * depth) - 1
+    factor = 0x9E3779B97F4A7C15 & mask | 1
+    return factor, pow(factor, -1, mask + 1), mask
+
 
+class Contexts:
+    """A list of contexts of a length."""
 
-def _count_grams(alphabet: Alphabet, depth: int, contexts: np.ndarray | None):
-    """key, n of contexts of depth symbols, those listed (sorted) or all, and the next."""
+    def __init__(self, contexts: np.ndarray, length: int):
+        self.factor, _, self.mask = _spread(length)
+        self.places = Places(np.sort(contexts * self.factor & self.mask), BITS * length)
+
+    def scrambled(self, keys: np.ndarray) -> np.ndarray:
+        """The contexts in keys, scrambled."""
+        return (keys >> BITS) * self.factor & self.mask
+
+
+def _count_grams(depth: int, answered: dict[int, np.ndarray]):
+    """key, n of contexts of depth symbols and the next; of those listed whose suffixes are, if depth is 2 or more."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if depth == 1:
+            total = np.zeros(1 << 2 * BITS, np.int64)
+            for batch in batches:
+                for _, _, symbols, bounds in token_slices(batch.column(0)):
+                    total += np.bincount(grams(symbols, bounds, 1), minlength=len(total))
+            own = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["key", "n"])
+            return
+        lists = [Contexts(answered[k], k) for k in range(2, depth + 1)]
         held, total = [], 0
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                starts, stops, first = word_bounds(data, offsets)
-                key, _ = grams(alphabet.symbols(word_hashes(data, starts, stops), tails(data, starts, stops)), first, depth)
-                if contexts is not None:
-                    at = np.minimum(np.searchsorted(contexts, key >> BITS), len(contexts) - 1)
-                    key = key[contexts[at] == key >> BITS]
+            for _, _, symbols, bounds in token_slices(batch.column(0)):
+                key = grams(symbols, bounds, depth)
+                for listed in lists:
+                    key = key[listed.places(listed.scrambled(key)) >= 0]
                 own, n = np.unique(key, return_counts=True)
                 held.append((own, n))
                 total += len(own)
@@ -157,60 +230,59 @@ def diverges(bits, total, kinds, min_bits: float):
 
 
 class Tree:
-    """States by length of context: contexts (sorted), totals, numbers of next symbols, and (context, symbol) entries."""
+    """States by length of context: contexts, totals, numbers of next symbols, which these are and how often each comes."""
 
     def __init__(self, size: int, first: tuple[np.ndarray, np.ndarray] | None = None):
         """first: keys, as in `grams`, and counts of all contexts of one symbol; the root is made of them."""
         self.root = np.ones(size)
         if first is not None:
             keys, n = first
-            self.root += np.bincount(keys & ((1 << BITS) - 1), n, size)
+            self.root += np.bincount(keys & ONE, n, size)
         self.root /= self.root.sum()
         self.levels: list[tuple[np.ndarray, ...]] = []
 
     def grow(self, keys: np.ndarray, n: np.ndarray) -> None:
         """One more level, of these states' entries."""
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context = keys >> BITS
-        at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        total = np.add.reduceat(n, at) if len(at) else np.zeros(0)
-        self.levels.append((context[at], total, np.diff(np.append(at, len(keys))).astype(float), keys, n))
+        contexts = Contexts(np.unique(keys >> BITS), len(self.levels) + 1)
+        state, symbol = contexts.places(contexts.scrambled(keys)), keys & ONE
+        order = np.argsort(state << BITS | symbol)
+        state, symbol, n = state[order], symbol[order], n[order].astype(float)
+        # A bit for each next symbol of a state, 64 to a word, and where a word's first entry stands.
+        word = state << BITS - 6 | symbol >> 6
+        at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        has, start = np.zeros(len(contexts.places) << BITS - 6, np.uint64), np.zeros(len(contexts.places) << BITS - 6, np.int32)
+        if len(at):
+            has[word[at]], start[word[at]] = np.bitwise_or.reduceat(np.uint64(1) << (symbol & 63).astype(np.uint64), at), at
+        self.levels.append((contexts, np.bincount(state, n, len(contexts.places)), np.bincount(state, minlength=len(contexts.places)).astype(float), has, start, np.append(n, 0.0)))
 
     @property
     def n_states(self) -> int:
-        return 1 + sum(len(x[0]) for x in self.levels)
+        return 1 + sum(len(x[0].places) for x in self.levels)
 
     def probability(self, keys: np.ndarray, longest: int | None = None) -> np.ndarray:
         """P(symbol | what stands before it): from the root to the longest state that is a suffix, of `longest` symbols at most."""
-        p = self.root[keys & ((1 << BITS) - 1)]
-        for k, (contexts, total, kinds, entries, n) in enumerate(self.levels[:longest], 1):
-            if not len(contexts):
+        p, symbols = self.root[keys & ONE], keys & ONE
+        for contexts, total, kinds, has, start, n in self.levels[:longest]:
+            if not len(contexts.places):
                 continue
-            own = keys & ((1 << BITS * (k + 1)) - 1)
-            context = own >> BITS
-            s = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            hit = np.flatnonzero(contexts[s] == context)
-            s = s[hit]
-            e = np.minimum(np.searchsorted(entries, own[hit]), len(entries) - 1)
-            count = np.where(entries[e] == own[hit], n[e], 0.0)
+            s = contexts.places(contexts.scrambled(keys))
+            hit = np.flatnonzero(s >= 0)
+            s, symbol = s[hit], symbols[hit]
+            word = s << BITS - 6 | symbol >> 6
+            bit = np.uint64(1) << (symbol & 63).astype(np.uint64)
+            of = has[word]
+            at = start[word] + np.bitwise_count(of & (bit - np.uint64(1)))
+            count = n[np.where(of & bit != 0, at, len(n) - 1)]
             p[hit] = (count + kinds[s] * p[hit]) / (total[s] + kinds[s])
         return p
 
 
-def _spread(depth: int) -> tuple[int, int, int]:
-    """A one-to-one scramble of contexts of `depth` symbols: factor, its inverse, mask."""
-    mask = (1 << BITS * depth) - 1
-    factor = 0x9E3779B97F4A7C15 & mask | 1
-    return factor, pow(factor, -1, mask + 1), mask
-
-
 def _listed(contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Which of own are among these sorted contexts."""
     return contexts[np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)] == own if len(contexts) else np.zeros(len(own), bool)
 
 
-def _send(frequent, alphabet: Alphabet, depth: int, n_ranges: int):
+def _send(frequent, depth: int, n_ranges: int):
     """Tokens that have a context of up to `depth` symbols outside the trunk, by the length of the shortest such and a range of it,
     scrambled: codes (that context, the symbols before it up to `depth`, the token) as sorted gaps, and for each the row and whether
     it is held out."""
@@ -236,23 +308,20 @@ def _send(frequent, alphabet: Alphabet, depth: int, n_ranges: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, total = {}, 0
-        one = (1 << BITS) - 1
+        lists = {k: Contexts(x, k) for k, x in frequent.value.items()}
         for batch in batches:
             row, out_ = numbers(batch, "row"), numbers(batch, "held").astype(bool)
-            for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
-                starts, stops, first = word_bounds(data, offsets)
-                key, bounds = grams(alphabet.symbols(word_hashes(data, starts, stops), tails(data, starts, stops)), first, depth)
-                sizes = np.diff(bounds)
+            for lo, hi, symbols, bounds in token_slices(batch.column(batch.schema.get_field_index("symbols"))):
+                key, sizes = grams(symbols, bounds, depth), np.diff(bounds)
                 of, held = np.repeat(row[lo:hi], sizes), np.repeat(out_[lo:hi], sizes)
                 left = np.arange(len(key))
                 for length in range(2, depth + 1):
-                    factor, _, mask = _spread(length)
-                    context = key[left] >> BITS & mask
-                    here = _listed(frequent.value[length], context)
-                    rare, code = left[~here], context[~here] * factor & mask
-                    left = left[here]
+                    code = lists[length].scrambled(key[left])
+                    here = lists[length].places(code) >= 0
+                    rare, code = left[~here], code[~here]
+                    left, rest = left[here], key[rare]
                     for j in [*range(length + 1, depth + 1), 0]:
-                        code = code << BITS | key[rare] >> BITS * j & one
+                        code = code << BITS | rest >> BITS * j & ONE
                     if len(rare):
                         for kept, x in zip(waiting.setdefault(length, ([], [], [])), (code, of[rare], held[rare]), strict=True):
                             kept.append(x)
@@ -343,55 +412,66 @@ def _branch(tree, depth: int, least: int, min_bits: float, n_ranges: int, text_r
     return run
 
 
-def _score(model, depth: int):
+def _read(model):
+    """For each text what its words give, and its symbols; the words whose counts are still to come, and how often each occurs."""
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, alphabet, class_log, words, log_counts, top_logs = model.value
+        alphabet, class_log, listed, log_counts, top_logs = model.value
         for batch in batches:
-            rows, ids = numbers(batch, "row"), numbers(batch, "doc_id")
             for lo, hi, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
                 starts, stops, first = word_bounds(data, offsets)
-                hashes = word_hashes(data, starts, stops)
+                hashes, n = word_hashes(data, starts, stops), hi - lo
                 symbols = alphabet.symbols(hashes, tails(data, starts, stops))
-                key, bounds = grams(symbols, first, depth)
-                own, inverse = np.unique(key, return_inverse=True)
-                score = np.add.reduceat(np.log10(tree.probability(own))[inverse], bounds[:-1])
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                per_doc = lambda x: np.bincount(doc, x, hi - lo)
-                is_top = symbols <= alphabet.n_top
-                logs = np.zeros(len(hashes))
-                logs[is_top] = top_logs[symbols[is_top]]
-                found = is_top.copy()
-                if len(words) and len(hashes):
-                    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    listed = (words[at] == hashes) & ~is_top
-                    logs[listed] = log_counts[at[listed]]
-                    found |= listed
+                doc = np.repeat(np.arange(n), np.diff(first))
+                logs, shares, found = np.zeros(len(hashes)), np.zeros(len(hashes)), symbols <= alphabet.n_top
+                logs[found] = top_logs[symbols[found]]
+                other = np.flatnonzero(~found)
+                at = listed(hashes[other])
+                logs[other] = log_counts[at]
+                found[other] = at >= 0
                 # A word's share of its class, but for its own count where that is still to come.
-                score += per_doc(np.where(is_top, 0.0, logs - class_log[symbols]))
-                rare = np.flatnonzero(~found)
+                shares[other] = logs[other] - class_log[symbols[other]]
+                rare = other[at < 0]
                 kinds, which = np.unique(hashes[rare], return_inverse=True)
                 pair, times = np.unique((doc[rare] << 32) | which, return_counts=True)
-                at, which = pair >> 32, pair & 0xFFFFFFFF
-                n, m = hi - lo, len(pair)
-                none = pa.nulls(m, pa.int64())
+                of = pa.array(np.searchsorted(pair >> 32, np.arange(n + 1)).astype(np.int32))
+                tokens, bounds = with_ends(symbols, first)
+                raw = pa.py_buffer(tokens.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([rows[lo:hi], rows[lo:hi][at]])),
-                        pa.concat_arrays([pa.array(ids[lo:hi], pa.int64()), none]),
-                        pa.concat_arrays([pa.array(np.diff(first) + 1, pa.int64()), none]),
-                        pa.array(np.concatenate([per_doc(found), times]).astype(np.int64)),
-                        pa.concat_arrays([pa.array(per_doc(logs)), pa.nulls(m, pa.float64())]),
-                        pa.concat_arrays([pa.array(score), pa.nulls(m, pa.float64())]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(kinds[which].view(np.int64))]),
+                        *(batch.column(batch.schema.get_field_index(c)).slice(lo, n) for c in ("row", "doc_id", "held")),
+                        pa.array(np.diff(bounds)),
+                        pa.array(np.bincount(doc[found], minlength=n)),
+                        pa.array(np.bincount(doc, logs, n)),
+                        pa.array(np.bincount(doc, shares, n)),
+                        pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((2 * bounds).astype(np.int64).tobytes()), raw]).cast(pa.binary()),
+                        pa.ListArray.from_arrays(of, pa.array(kinds[pair & 0xFFFFFFFF].view(np.int64))),
+                        pa.ListArray.from_arrays(of, pa.array(times.astype(np.int64))),
                     ],
-                    ["row", "doc_id", "n_tokens", "known", "logs", "score", "word"],
+                    [c.split()[0] for c in _READ.split(", ")],
                 )
 
     return run
 
 
-_SCORED = "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, score double, word bigint"
+_READ = "row bigint, doc_id bigint, held boolean, n_tokens bigint, known bigint, logs double, shares double, symbols binary, words array<bigint>, times array<bigint>"
+
+
+def _score(tree, depth: int):
+    """Adds the trunk's log10 probabilities to the shares."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *plain, shares, symbols = batch.columns
+            scores = [np.add.reduceat(np.log10(tree.value.probability(grams(x, bounds, depth))), bounds[:-1]) for _, _, x, bounds in token_slices(symbols)]
+            yield pa.RecordBatch.from_arrays([*plain, pa.array(np.concatenate([*scores, np.zeros(0)]) + shares.to_numpy())], [c.split()[0] for c in _SCORED.split(", ")])
+
+    return run
+
+
+_SCORED = "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, score double"
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -416,10 +496,10 @@ def _with_probability(tree):
 
 
 def trunk(counts_of, size: int, n_tokens: int, depth: int, p_min: float, least: int, min_bits: float, most_entries: int, spark: SparkSession) -> tuple[Tree, dict[int, np.ndarray]]:
-    """The trunk, and by length from 2 on the contexts that it answers for, sorted. counts_of: key, n of contexts of a length, those
-    listed or, for None, all. The divergence of a context is sum(n log2(n / q)) / total - log2(total)."""
+    """The trunk, and by length from 2 on the contexts that it answers for, sorted. counts_of: key, n of contexts of a length, of
+    those listed from 2 on. The divergence of a context is sum(n log2(n / q)) / total - log2(total)."""
     # Contexts of one symbol are bounded by the alphabet.
-    counts = counts_of(1, None)
+    counts = counts_of(1, {})
     every = collected(counts)
     tree, answered = Tree(size, (every["key"].to_numpy(), every["n"].to_numpy())), {}
     often = max(least, p_min * n_tokens)
@@ -429,7 +509,7 @@ def trunk(counts_of, size: int, n_tokens: int, depth: int, p_min: float, least:
             found = np.union1d(collected(counts.filter(F.col("n") >= often).select("key"))["key"].to_numpy(np.int64), [0])
             own = found & ((1 << BITS * (k - 1)) - 1)
             answered[k] = found[_listed(answered[k - 1], own)] if k > 2 else found
-            counts = counts_of(k, answered[k])
+            counts = counts_of(k, answered)
         judged = counts.mapInArrow(_with_probability(spark.sparkContext.broadcast(tree)), "key bigint, n bigint, q double")
         by = judged.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log2(F.col("n") / F.col("q"))).alias("s"))
         by = by.withColumn("bits", F.col("s") / F.col("total") - F.log2("total")).filter(F.col("total") >= least)
@@ -461,11 +541,9 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float =
     most_entries deal work out and change no score."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix-tree")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held"), "text")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        docs = docs.withColumn("row", with_id())
-    else:
-        # Ids don't tell rows apart: numbers do, that are written once.
-        docs = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()))
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    # Where ids don't tell rows apart, numbers do; they are written with the symbols, once.
+    docs = docs.withColumn("row", with_id() if unique else F.monotonically_increasing_id())
     training = docs.filter(~F.col("held")).select("text")
     counted = training.mapInArrow(_count_words, "word bigint, tail int, n bigint")
     words = scratch.keep(counted.groupBy("word", "tail").agg(F.sum("n").alias("n")))
@@ -483,11 +561,19 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float =
     weight = np.ones(alphabet.size)
     for t, (n, v) in by_tail.items():
         weight[alphabet.by_tail[t]] += n + v
+    listed = collected(_most_frequent(plain.filter("n > 3"), most_words).select("word", "n"))
+    hashes = listed["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    top_logs = np.log10(np.array([0, *(r.n for r in best)], float) + 1)
+    # The last number is for words that are not listed.
+    model = spark.sparkContext.broadcast((alphabet, np.log10(weight), Places(hashes[order], 64), np.log10(np.append(listed["n"].to_numpy()[order], 0) + 1.0), top_logs))
+    read = scratch.keep(docs.select(with_id(), "row", "held", "text").mapInArrow(_read(model), _READ))
+    symbols = read.filter(~F.col("held")).select("symbols")
     # Level by level, as a context can't be frequent if its beginning isn't.
     held_counts = []
 
-    def counts_of(k: int, contexts: np.ndarray | None) -> DataFrame:
-        counted = training.mapInArrow(_count_grams(alphabet, k, contexts), "key bigint, n bigint")
+    def counts_of(k: int, answered: dict[int, np.ndarray]) -> DataFrame:
+        counted = symbols.mapInArrow(_count_grams(k, {j: answered[j] for j in range(2, k + 1)}), "key bigint, n bigint")
         held_counts.append(scratch.keep(counted.groupBy("key").agg(F.sum("n").alias("n"))))
         return held_counts[-1]
 
@@ -495,21 +581,16 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, p_min: float =
     scratch.drop(*held_counts)
     trunk_value, frequent_value = spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent)
     n_ranges = ranges_of(spark, n_tokens)
-    sent = docs.select("row", "held", "text").mapInArrow(_send(frequent_value, alphabet, depth, n_ranges), _SENT)
+    sent = read.select("row", "held", "symbols").mapInArrow(_send(frequent_value, depth, n_ranges), _SENT)
     # What comes back to the texts has as many ranges as these need, not as many as tokens do.
-    text_ranges = max(LEAST_TEXT_RANGES, -(-docs.count() // TEXTS))
+    text_ranges = max(LEAST_TEXT_RANGES, -(-read.count() // TEXTS))
     changed = by_range(sent, (depth - 1) * n_ranges).applyInPandas(_branch(trunk_value, depth, least, min_bits, n_ranges, text_ranges), _CHANGED)
     branches = scratch.keep(by_range(changed, text_ranges).applyInPandas(_summed, "row bigint, delta double"))
     n_states = tree.n_states + int(branches.filter("row is null").agg(F.sum("delta").alias("n")).first().n or 0)
-    listed = collected(_most_frequent(plain.filter("n > 3"), most_words).select("word", "n"))
-    hashes = listed["word"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    top_logs = np.log10(np.array([0, *(r.n for r in best)], float) + 1)
-    model = spark.sparkContext.broadcast((tree, alphabet, np.log10(weight), hashes[order], np.log10(listed["n"].to_numpy()[order] + 1.0), top_logs))
-    scored = scratch.keep(docs.select(with_id(), "text", "row").mapInArrow(_score(model, depth), _SCORED))
-    rare = scored.filter("word is not null").select("row", "word", F.col("known").alias("times"))
+    scored = scratch.keep(read.select("row", "doc_id", "n_tokens", "known", "logs", "shares", "symbols").mapInArrow(_score(trunk_value, depth), _SCORED))
+    rare = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.words", "x.times").withColumnRenamed("words", "word")
     met = rare.join(plain, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
-    each = scored.filter("word is null").join(met, "row", "left").join(branches, "row", "left")
+    each = scored.join(met, "row", "left").join(branches, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     base = F.col("logs") + more + float(np.log10(n_ends + 1)) - F.col("n_tokens") * float(np.log10(n_tokens + n_kinds + 1))
     each = each.withColumn("doc_id", id_back())

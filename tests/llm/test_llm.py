@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,6 +220,46 @@ def test_lm_frequent_contexts_have_longer_states(spark):
     assert got.score[900] - got.score[901] > 2
 
 
+@pytest.mark.parametrize("depth", [2, 4])
+def test_lm_takes_texts_apart_twice(spark, tmp_path, depth):
+    """Once for the words' counts and once for symbols, however long contexts are; one more pass is over ids."""
+
+    def passed(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = docs(spark, [(i, prose(40, i)) for i in range(30)]).select("doc_id", "text").coalesce(1)
+    got = suffix_tree_lm.score(rows.mapInArrow(passed, "doc_id bigint, text string"), F.col("doc_id") % 7 == 2, depth=depth)
+    assert got.count() == 30 and len(list(tmp_path.iterdir())) == 3
+
+
+def test_lm_places():
+    """Numbers are found wherever they stand, also where many begin alike."""
+    rng = np.random.default_rng(8)
+    for bits, listed in ((20, rng.integers(0, 1 << 20, 5000)), (10, np.arange(1024)), (40, np.arange(700) + 5), (64, rng.integers(0, 1 << 63, 3000) * 2 + 1), (64, np.zeros(0, np.int64))):
+        listed = np.unique(listed.astype(np.uint64))
+        places = suffix_tree_lm.Places(listed, bits)
+        top = np.uint64((1 << bits) - 1)
+        others = np.concatenate([listed + np.uint64(1), rng.integers(0, 1 << 62, 5000).astype(np.uint64), np.array([0, top], np.uint64)]) & top
+        at = {int(x): i for i, x in enumerate(listed)}
+        for asked in (listed, others, listed[:0]):
+            assert places(asked).tolist() == [at.get(int(x), -1) for x in asked]
+
+
+def test_lm_tokens_of_slices(monkeypatch):
+    """What stands before a token is of its own text, wherever slices and batches are cut; long texts are whole."""
+    monkeypatch.setattr(suffix_tree_lm, "_TOKENS", 7)
+    texts = [[5, 6, 7, 0], [0], [0], [8, 0], [9] * 20 + [0], [1, 2, 3, 4, 5, 0], [1023, 0]]
+    column = pa.array([b"skipped", *(np.array(t, "<u2").tobytes() for t in texts)], pa.binary()).slice(1)
+    got, slices = [], 0
+    for lo, hi, symbols, bounds in suffix_tree_lm.token_slices(column):
+        assert lo == len(got) and hi - lo == len(bounds) - 1
+        keys, slices = suffix_tree_lm.grams(symbols, bounds, 4).tolist(), slices + 1
+        got += [keys[a:b] for a, b in itertools.pairwise(bounds)]
+    want = [[sum((t[i - j] if i >= j else 0) << 10 * j for j in range(5)) for i in range(len(t))] for t in texts]
+    assert got == want and slices > 3
+
+
 def test_lm_empty(spark):
     assert suffix_tree_lm.score(docs(spark, []), F.lit(False)).count() == 0
     only_held = table(suffix_tree_lm.score(docs(spark, [(1, "a b")]), F.lit(True)))
